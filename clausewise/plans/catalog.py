@@ -158,3 +158,79 @@ def q_event_precursors(spark, sf):
     pre = W.precursors(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 7, trigger_id="event_id")
     return pre.select("user_id", "event_id", "event_type", F.col("trigger_of").alias("trigger_event_id"),
                       "precursor_distance")
+
+
+# ---------------------------------------------------------------- evaluation (report level)
+from clausewise.operators import evaluate as V  # noqa: E402
+
+_EVAL = O.with_clauses(O.DOCPRED_CTE, O.GOLD_CTE, O.TEST_CTE, O.PAIRS_CTE, O.CELLS_CTE)
+
+
+def _doc_pairs(spark, sf):
+    return V.gold_vs_pred(D.doc_gold(spark, sf), D.doc_predictions(spark, sf), key="report_id",
+                          test_ids=D.test_reports(spark, sf))
+
+
+@register("confusion", _EVAL +
+          "SELECT l.gold_label, coalesce(count_if(pred = 'pos'), 0)::BIGINT AS pos, "
+          "coalesce(count_if(pred = 'neg'), 0)::BIGINT AS neg FROM (VALUES ('pos'), ('neg')) l(gold_label) "
+          "LEFT JOIN pairs ON pairs.gold = l.gold_label GROUP BY l.gold_label")
+def q_confusion(spark, sf):
+    return V.confusion_matrix(_doc_pairs(spark, sf))
+
+
+@register("macro_prf", _EVAL + O.macro_sql())
+def q_macro_prf(spark, sf):
+    m = V.macro_prf(_doc_pairs(spark, sf))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@register("error_analysis", O.with_clauses(O.DOCPRED_CTE, O.GOLD_CTE, O.TEST_CTE) +
+          "SELECT p.report_id, p.prediction, coalesce(g.aggression, 'not annotated') AS true_label "
+          "FROM docpred p LEFT JOIN gold g USING (report_id) WHERE p.report_id IN (SELECT report_id FROM testids)")
+def q_error_analysis(spark, sf):
+    return V.error_analysis(D.doc_predictions(spark, sf), D.doc_gold(spark, sf), D.test_reports(spark, sf),
+                            key="report_id").select("report_id", "prediction", "true_label")
+
+
+@register("label_distribution", O.with_clauses() +
+          "SELECT label, count, round(100.0 * count / sum(count) OVER (), 1) AS percent FROM "
+          "(SELECT CASE WHEN trigger THEN 'pos' ELSE 'neg' END AS label, count(*) AS count FROM clauses GROUP BY 1)")
+def q_label_distribution(spark, sf):
+    pred = classify_clauses_lexicon(D.clauses(spark, sf), lexicon=TEST_LEXICON)
+    return V.label_distribution(pred, "prediction")
+
+
+_AGREE = ("WITH a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pos' WHEN quality = 0 THEN 'neg' END AS l FROM labels), "
+          "b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'pos' WHEN toxic = 0 THEN 'neg' END AS l FROM labels), "
+          "pairs AS (SELECT a.doc_id, a.l AS ann1, b.l AS ann2 FROM a JOIN b USING (doc_id)) ")
+
+
+def _agree_pairs(spark, sf):
+    a = D.doc_gold(spark, sf, "quality")
+    b = D.doc_gold(spark, sf, "toxic")
+    return V.shared_annotations(a, b, key="report_id")
+
+
+@register("agreement", _AGREE + "SELECT round(avg((ann1 = ann2)::DOUBLE), 6) AS agreement FROM pairs")
+def q_agreement(spark, sf):
+    return V.percent_agreement(_agree_pairs(spark, sf)).select(F.round("agreement", 6).alias("agreement"))
+
+
+@register("kappa", _AGREE +
+          ", s AS (SELECT count(*)::DOUBLE AS n, count_if(ann1 = ann2)::DOUBLE AS agree, "
+          "count_if(ann1 = 'pos')::DOUBLE AS a0, count_if(ann2 = 'pos')::DOUBLE AS b0, "
+          "count_if(ann1 = 'neg')::DOUBLE AS a1, count_if(ann2 = 'neg')::DOUBLE AS b1 FROM pairs "
+          "WHERE ann1 IN ('pos', 'neg') AND ann2 IN ('pos', 'neg')), "
+          "k AS (SELECT agree / n AS po, (a0 / n) * (b0 / n) + (a1 / n) * (b1 / n) AS pe FROM s) "
+          "SELECT round(CASE WHEN pe <> 1.0 THEN (po - pe) / (1.0 - pe) END, 6) AS kappa FROM k")
+def q_kappa(spark, sf):
+    return V.cohen_kappa(_agree_pairs(spark, sf)).select(F.round("kappa", 6).alias("kappa"))
+
+
+@register("agreement_matrix", _AGREE +
+          "SELECT l.gold_label, coalesce(count_if(ann2 = 'pos'), 0)::BIGINT AS pos, "
+          "coalesce(count_if(ann2 = 'neg'), 0)::BIGINT AS neg FROM (VALUES ('pos'), ('neg')) l(gold_label) "
+          "LEFT JOIN pairs ON pairs.ann1 = l.gold_label GROUP BY l.gold_label")
+def q_agreement_matrix(spark, sf):
+    return V.agreement_matrix(_agree_pairs(spark, sf))

@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from clausewise.constants import TEST_LEXICON
 from clausewise.functions.text import lexicon_regex, normalize_text, word_list
 from clausewise.operators.segment import clause_array, with_ids
+from clausewise.session import spread
 
 DEV_SHARE = 7   # dev/test split of reports: doc_id % 10 < 7 is dev, the rest is test
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, heavy: bool = False) -> DataFrame:
+    """Pruned scan; ``heavy`` tables (long texts) are spread over the default parallelism if needed."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if heavy else df
 
 
 def trigger_expr(clause: Column, lexicon=TEST_LEXICON) -> Column:
@@ -30,7 +33,7 @@ def trigger_expr(clause: Column, lexicon=TEST_LEXICON) -> Column:
 
 def report_clause_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: ``report_id``, ``clauses`` (array of struct), with trigger flags."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", heavy=True)
     arr = clause_array(normalize_text(F.col("text")))
     flagged = F.transform(arr, lambda c: c.withField("trigger", trigger_expr(c["clause"])))
     return docs.select(F.col("doc_id").alias("report_id"), flagged.alias("clauses"))
@@ -53,3 +56,27 @@ def clause_words(clauses_df: DataFrame) -> DataFrame:
 
 def lexicon_regex_for_tests() -> str:
     return lexicon_regex(TEST_LEXICON)
+
+
+def doc_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report-level prediction: pos when any clause triggers (no shuffle: the clauses are in the row)."""
+    arr = report_clause_arrays(spark, sf_dir)
+    hit = F.exists("clauses", lambda c: c["trigger"])
+    return arr.select("report_id", F.when(hit, F.lit("pos")).otherwise(F.lit("neg")).alias("prediction"))
+
+
+def doc_gold(spark: SparkSession, sf_dir: str, col: str = "toxic", out: str = "aggression") -> DataFrame:
+    """Report-level gold labels from ``labels`` (1 -> pos, 0 -> neg)."""
+    lab = table(spark, sf_dir, "labels", "doc_id", col)
+    return lab.select(F.col("doc_id").alias("report_id"),
+                      F.when(F.col(col) == 1, F.lit("pos")).when(F.col(col) == 0, F.lit("neg")).alias(out))
+
+
+def test_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    return docs.filter(~is_dev(F.col("doc_id"))).select(F.col("doc_id").alias("report_id"))
+
+
+def dev_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    return docs.filter(is_dev(F.col("doc_id"))).select(F.col("doc_id").alias("report_id"))

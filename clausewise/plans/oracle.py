@@ -63,3 +63,30 @@ def with_clauses(*more: str) -> str:
 WORDS_CTE = ("words AS (SELECT report_id, sent_no, clause_no, clause_id, sentence_id, "
              "(w.i - 1)::BIGINT AS i, w.word FROM clauses, "
              "unnest(list_filter(string_split(clause, ' '), lambda x: x <> '')) WITH ORDINALITY AS w(word, i))")
+
+
+DOCPRED_CTE = ("docpred AS (SELECT d.report_id, CASE WHEN coalesce(bool_or(c.trigger), false) THEN 'pos' ELSE 'neg' END "
+               "AS prediction FROM docs d LEFT JOIN clauses c USING (report_id) GROUP BY d.report_id)")
+GOLD_CTE = ("gold AS (SELECT doc_id AS report_id, CASE WHEN toxic = 1 THEN 'pos' WHEN toxic = 0 THEN 'neg' END "
+            "AS aggression FROM labels)")
+TEST_CTE = "testids AS (SELECT doc_id AS report_id FROM documents WHERE NOT (doc_id % 10 < 7))"
+PAIRS_CTE = ("pairs AS (SELECT g.report_id, g.aggression AS gold, p.prediction AS pred FROM gold g "
+             "JOIN docpred p USING (report_id) WHERE g.report_id IN (SELECT report_id FROM testids))")
+CELLS_CTE = ("cells AS (SELECT count_if(gold='pos' AND pred='pos') AS tp, count_if(gold='pos' AND pred='neg') AS fn, "
+             "count_if(gold='neg' AND pred='pos') AS fp, count_if(gold='neg' AND pred='neg') AS tn FROM pairs)")
+
+
+def sdiv(a: str, b: str) -> str:
+    return f"coalesce(CASE WHEN ({b}) <> 0 THEN ({a})::DOUBLE / ({b}) END, 0.0)"
+
+
+def macro_sql(cells: str = "cells") -> str:
+    p_pos, r_pos = sdiv("tp", "tp + fp"), sdiv("tp", "tp + fn")
+    p_neg, r_neg = sdiv("tn", "tn + fn"), sdiv("tn", "tn + fp")
+    f_pos = sdiv(f"2 * {p_pos} * {r_pos}", f"{p_pos} + {r_pos}")
+    f_neg = sdiv(f"2 * {p_neg} * {r_neg}", f"{p_neg} + {r_neg}")
+    hp, hn = "(CASE WHEN tp + fn + fp > 0 THEN 1 ELSE 0 END)", "(CASE WHEN tn + fn + fp > 0 THEN 1 ELSE 0 END)"
+    k = f"({hp} + {hn})"
+    return (f"SELECT round({sdiv(f'{p_pos} * {hp} + {p_neg} * {hn}', k)}, 6) AS precision, "
+            f"round({sdiv(f'{r_pos} * {hp} + {r_neg} * {hn}', k)}, 6) AS recall, "
+            f"round({sdiv(f'{f_pos} * {hp} + {f_neg} * {hn}', k)}, 6) AS f1 FROM {cells}")
