@@ -78,6 +78,8 @@ TEST_LEXICON: list[str] = [
     "trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic",
     "loser", "stupid", "disgusting",
 ]
+# Cause words of the synthetic token annotations.
+CAUSE_WORDS: list[str] = ["that", "que", "weil", "parce"]
 # Coordinating conjunctions per language for the surface clause splitter.
 CONJUNCTIONS: dict[str, list[str]] = {
     "en": ["and", "or", "but"],

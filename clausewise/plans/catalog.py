@@ -234,3 +234,98 @@ def q_kappa(spark, sf):
           "LEFT JOIN pairs ON pairs.ann1 = l.gold_label GROUP BY l.gold_label")
 def q_agreement_matrix(spark, sf):
     return V.agreement_matrix(_agree_pairs(spark, sf))
+
+
+# ---------------------------------------------------------------- annotation projection (A*)
+from clausewise.operators import annotate as A  # noqa: E402
+from clausewise.operators import stats as X  # noqa: E402
+
+_ALIGN = O.with_clauses(*O.ALIGN_CTES)
+
+
+@register("align_tokens", _ALIGN +
+          "SELECT report_id, clause_id, pos, concat_ws('-', sent_id, token_id) AS token_key, token FROM aligned")
+def q_align_tokens(spark, sf):
+    al = A.align_tokens(D.clauses(spark, sf), A.filter_tokens(D.report_tokens(spark, sf)))
+    return A.token_ids(al).select("report_id", "clause_id", "pos", "token_key", "token")
+
+
+@register("project_labels", _ALIGN +
+          "SELECT report_id, clause_id, clause, aggression, cause, n_tokens FROM annot")
+def q_project_labels(spark, sf):
+    return D.annotations(spark, sf).select("report_id", "clause_id", "clause", "aggression", "cause", "n_tokens")
+
+
+@register("alignment_mismatches", _ALIGN +
+          "SELECT report_id, clause_id, n_words, n_tokens FROM annot WHERE n_words <> n_tokens")
+def q_alignment_mismatches(spark, sf):
+    return A.alignment_mismatches(D.annotations(spark, sf)).select("report_id", "clause_id", "n_words", "n_tokens")
+
+
+# ---------------------------------------------------------------- annotation statistics (X*)
+_X2 = ("x2 AS (SELECT report_id, "
+       "coalesce(array_to_string(list(clause_id ORDER BY sent_no, clause_no) FILTER (WHERE aggression = 'pos'), ','), '') "
+       "AS aggression_ids, "
+       "coalesce(array_to_string(list(clause_id ORDER BY sent_no, clause_no) FILTER (WHERE cause = 'pos'), ','), '') "
+       "AS cause_ids, count_if(aggression = 'pos')::BIGINT AS n_aggression, count_if(cause = 'pos')::BIGINT AS n_cause "
+       "FROM annot GROUP BY report_id HAVING count_if(aggression = 'pos') + count_if(cause = 'pos') > 0)")
+
+
+@register("positives", O.with_clauses(*O.ALIGN_CTES, _X2) + "SELECT * FROM x2")
+def q_positives(spark, sf):
+    return X.positives_per_report(D.annotations(spark, sf))
+
+
+@register("positives_histogram", O.with_clauses(*O.ALIGN_CTES, _X2) +
+          "SELECT element, n_positives, count(*) AS n_reports FROM (SELECT 'aggression' AS element, n_aggression AS "
+          "n_positives FROM x2 UNION ALL SELECT 'cause', n_cause FROM x2) GROUP BY element, n_positives")
+def q_positives_histogram(spark, sf):
+    return X.positives_histogram(D.annotations(spark, sf))
+
+
+@register("position_thirds", O.with_clauses(*O.ALIGN_CTES,
+          "th AS (SELECT *, CASE WHEN sent_no <= floor(m / 3) THEN 'first part' WHEN sent_no <= floor(m * 2 / 3) "
+          "THEN 'middle part' ELSE 'last part' END AS position FROM "
+          "(SELECT *, max(sent_no) OVER (PARTITION BY report_id) AS m FROM annot))") +
+          "SELECT type, position, count(*) AS count FROM (SELECT 'Aggression' AS type, position FROM th "
+          "WHERE aggression = 'pos' UNION ALL SELECT 'Cause', position FROM th WHERE cause = 'pos') GROUP BY type, position")
+def q_position_thirds(spark, sf):
+    return X.position_thirds(D.annotations(spark, sf))
+
+
+_DIST = [
+    "xr AS (SELECT *, row_number() OVER o AS rn, "
+    "count_if(aggression = 'pos') OVER (PARTITION BY report_id) AS n_a, "
+    "count_if(cause = 'pos') OVER (PARTITION BY report_id) AS n_c, "
+    "min(CASE WHEN aggression = 'pos' THEN rn0 END) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_a, "
+    "min(CASE WHEN aggression = 'pos' THEN rn0 END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_a, "
+    "max(CASE WHEN aggression = 'pos' THEN rn0 END) OVER (PARTITION BY report_id) AS only_a "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY sent_no, clause_no) AS rn0 FROM annot) "
+    "WINDOW o AS (PARTITION BY report_id ORDER BY sent_no, clause_no))",
+    "xs AS (SELECT *, min(rn) OVER (PARTITION BY report_id, sent_no) AS sent_first FROM xr WHERE n_a + n_c > 0)",
+    "asg AS (SELECT report_id, rn AS c_rn, sent_first, CASE WHEN n_a = 1 THEN only_a ELSE next_a END AS a_rn "
+    "FROM xs WHERE cause = 'pos' UNION ALL SELECT report_id, rn, sent_first, after_a FROM xs "
+    "WHERE cause = 'pos' AND aggression = 'pos' AND n_a > 1)",
+    "best AS (SELECT report_id, a_rn, d FROM (SELECT report_id, a_rn, sent_first - a_rn AS d, row_number() OVER "
+    "(PARTITION BY report_id, a_rn ORDER BY abs(sent_first - a_rn) DESC, c_rn) AS k FROM asg WHERE a_rn IS NOT NULL) "
+    "WHERE k = 1)",
+    "dist AS (SELECT b.report_id, t.clause_id AS trigger_clause_id, b.d::VARCHAR AS distance FROM best b "
+    "JOIN xs t ON t.report_id = b.report_id AND t.rn = b.a_rn "
+    "UNION ALL SELECT report_id, CASE WHEN max(n_a) = 1 THEN max(CASE WHEN aggression = 'pos' THEN clause_id END) END, "
+    "'Not present' FROM xs GROUP BY report_id HAVING (max(n_a) = 1 AND max(n_c) = 0) OR max(n_a) = 0)",
+]
+
+
+@register("cause_distance", O.with_clauses(*O.ALIGN_CTES, *_DIST) + "SELECT * FROM dist")
+def q_cause_distance(spark, sf):
+    return X.cause_distances(D.annotations(spark, sf))
+
+
+@register("distance_buckets", O.with_clauses(*O.ALIGN_CTES, *_DIST,
+          "bc AS (SELECT CASE WHEN distance = '0' THEN 'Same sentence' ELSE distance END AS bucket, count(*) AS n "
+          "FROM dist GROUP BY 1)",
+          "fb AS (SELECT CASE WHEN n < 8 THEN 'Other' ELSE bucket END AS bucket, n FROM bc UNION ALL SELECT 'Other', 0)",
+          "agg AS (SELECT bucket, sum(n)::BIGINT AS count FROM fb GROUP BY bucket)") +
+          "SELECT bucket, count, round(100.0 * count / sum(count) OVER (), 1) AS percent FROM agg")
+def q_distance_buckets(spark, sf):
+    return X.bucket_distances(X.cause_distances(D.annotations(spark, sf)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.constants import TEST_LEXICON
+from clausewise.constants import CAUSE_WORDS, TEST_LEXICON
 from clausewise.functions.text import lexicon_regex, normalize_text, word_list
 from clausewise.operators.segment import clause_array, with_ids
 from clausewise.session import spread
@@ -80,3 +80,29 @@ def test_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dev_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id")
     return docs.filter(is_dev(F.col("doc_id"))).select(F.col("doc_id").alias("report_id"))
+
+
+TOKEN_BREAK = "[ \t\n\r\f]+"
+
+
+def report_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token annotations (D7) of the test reports: every sentence split on whitespace
+    with commas as tokens of their own; ``agressie`` = lexicon token, ``aanleiding`` =
+    cause word."""
+    from clausewise.operators.segment import split_sentences
+    sents = split_sentences(table(spark, sf_dir, "documents", "doc_id", "text", heavy=True))
+    toks = F.filter(F.split(F.replace(F.col("sentence"), F.lit(","), F.lit(" , ")), TOKEN_BREAK, -1),
+                    lambda x: x != F.lit(""))
+    lex = F.array(*[F.lit(w) for w in TEST_LEXICON])
+    cause = F.array(*[F.lit(w) for w in CAUSE_WORDS])
+    out = sents.select("report_id", F.col("sent_no").alias("sent_id"), F.posexplode(toks).alias("p", "token"))
+    return out.select(
+        "report_id", "sent_id", (F.col("p") + 1).cast("long").alias("token_id"), "token",
+        F.when(F.array_contains(lex, F.col("token")), F.lit("pos")).otherwise(F.lit("neg")).alias("agressie"),
+        F.when(F.array_contains(cause, F.col("token")), F.lit("pos")).otherwise(F.lit("neg")).alias("aanleiding"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold clause annotations (A2 -> A3 -> A4 over the token annotations)."""
+    from clausewise.operators.annotate import project_annotations
+    return project_annotations(clauses(spark, sf_dir), report_tokens(spark, sf_dir))

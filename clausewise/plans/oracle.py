@@ -6,7 +6,7 @@ no lookbehind, so the sentence split uses a sentinel and N4 walks characters.
 
 from __future__ import annotations
 
-from clausewise.constants import REPLACEMENT_RULES, TEST_LEXICON, THREAT_VERBS, TOPIC_STOP_WORDS
+from clausewise.constants import CAUSE_WORDS, REPLACEMENT_RULES, TEST_LEXICON, THREAT_VERBS, TOPIC_STOP_WORDS
 from clausewise.functions.text import lexicon_regex
 
 
@@ -90,3 +90,33 @@ def macro_sql(cells: str = "cells") -> str:
     return (f"SELECT round({sdiv(f'{p_pos} * {hp} + {p_neg} * {hn}', k)}, 6) AS precision, "
             f"round({sdiv(f'{r_pos} * {hp} + {r_neg} * {hn}', k)}, 6) AS recall, "
             f"round({sdiv(f'{f_pos} * {hp} + {f_neg} * {hn}', k)}, 6) AS f1 FROM {cells}")
+
+
+
+def sql_list(words) -> str:
+    return "[" + ", ".join(q(w) for w in words) + "]"
+
+
+TOKENS_CTE = (
+    "tokens AS (SELECT report_id, sent_no AS sent_id, t.token_id::BIGINT AS token_id, t.token, "
+    f"CASE WHEN list_contains({sql_list(TEST_LEXICON)}, t.token) THEN 'pos' ELSE 'neg' END AS agressie, "
+    f"CASE WHEN list_contains({sql_list(CAUSE_WORDS)}, t.token) THEN 'pos' ELSE 'neg' END AS aanleiding "
+    "FROM sents, unnest(list_filter(string_split_regex(replace(sentence, ',', ' , '), '[ \t\n\r\f]+'), "
+    "lambda x: x <> '')) WITH ORDINALITY AS t(token, token_id))")
+ALIGN_CTES = [
+    TOKENS_CTE,
+    "tokpos AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY sent_id, token_id)::BIGINT AS pos "
+    "FROM tokens WHERE token NOT IN (' ', ','))",
+    "cw AS (SELECT *, len(list_filter(string_split(clause, ' '), lambda x: x <> ''))::BIGINT AS n_words FROM clauses)",
+    "cspan AS (SELECT *, sum(n_words) OVER (PARTITION BY report_id ORDER BY sent_no, clause_no "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS span_end FROM cw)",
+    "covered AS (SELECT report_id, clause_id, unnest(range(span_end - n_words + 1, span_end + 1))::BIGINT AS pos FROM cspan)",
+    "aligned AS (SELECT c.report_id, c.clause_id, c.pos, t.sent_id, t.token_id, t.token, t.agressie, t.aanleiding "
+    "FROM covered c JOIN tokpos t ON c.report_id = t.report_id AND c.pos = t.pos)",
+    "tagg AS (SELECT clause_id, bool_or(agressie = 'pos') AS a, bool_or(aanleiding = 'pos') AS c, count(*) AS n "
+    "FROM aligned GROUP BY clause_id)",
+    "annot AS (SELECT cw.report_id, cw.sent_no, cw.clause_no, cw.clause_id, cw.clause, cw.n_words, "
+    "CASE WHEN coalesce(tagg.a, false) THEN 'pos' ELSE 'neg' END AS aggression, "
+    "CASE WHEN coalesce(tagg.c, false) THEN 'pos' ELSE 'neg' END AS cause, coalesce(tagg.n, 0)::BIGINT AS n_tokens "
+    "FROM cw LEFT JOIN tagg USING (clause_id))",
+]
