@@ -329,3 +329,129 @@ def q_cause_distance(spark, sf):
           "SELECT bucket, count, round(100.0 * count / sum(count) OVER (), 1) AS percent FROM agg")
 def q_distance_buckets(spark, sf):
     return X.bucket_distances(X.cause_distances(D.annotations(spark, sf)))
+
+
+# ---------------------------------------------------------------- embeddings (E*) and similarity (Q*)
+from clausewise.functions.vectors import cosine as _cos, summary as _summ  # noqa: E402
+from clausewise.operators import embeddings as E  # noqa: E402
+from clausewise.operators import similarity as Q  # noqa: E402
+
+_VEC = lambda *more: O.with_clauses(*O.VEC_CTES, *more)
+
+
+def _wmap(spark, sf, cl=None):
+    occ = D.word_occurrences(spark, sf, cl)
+    return E.word_vectors(occ, pos_col=F.struct("clause_no", "i"))
+
+
+def _clause_emb(spark, sf, cl=None):
+    cl = cl if cl is not None else D.clauses(spark, sf)
+    return E.clause_embedding(D.clause_word_rows(cl), _wmap(spark, sf, cl), D.vectors(spark, sf))
+
+
+@register("word_vectors", _VEC() + "SELECT sentence_id, word, vec_id FROM wmap")
+def q_word_vectors(spark, sf):
+    return _wmap(spark, sf)
+
+
+@register("clause_embedding", _VEC() +
+          "SELECT clause_id, n_vec, emb_sum, emb_norm FROM cemb JOIN cnt USING (clause_id)")
+def q_clause_embedding(spark, sf):
+    return _clause_emb(spark, sf).select("clause_id", "n_vec", *_summ("embedding", "emb"))
+
+
+@register("oov", _VEC() + "SELECT word, count(*) AS n FROM cwords c WHERE NOT EXISTS "
+          "(SELECT 1 FROM wmap m WHERE m.sentence_id = c.sentence_id AND m.word = c.word) GROUP BY word")
+def q_oov(spark, sf):
+    cl = D.clauses(spark, sf)
+    return E.oov_counts(D.clause_word_rows(cl), _wmap(spark, sf, cl))
+
+
+@register("default_vectors", _VEC() +
+          "SELECT c.clause_id, e.clause_id IS NOT NULL AS has_vec, coalesce(e.emb_sum, 0.0) AS emb_sum, "
+          "coalesce(e.emb_norm, 0.0) AS emb_norm FROM clauses c LEFT JOIN cemb e USING (clause_id)")
+def q_default_vectors(spark, sf):
+    cl = D.clauses(spark, sf)
+    dim = D.table(spark, sf, "embeddings", "embedding").select(F.max(F.size("embedding"))).scalar()
+    out = E.with_default_vector(cl.select("clause_id"), _clause_emb(spark, sf, cl), dim)
+    return out.select("clause_id", "has_vec", *_summ("embedding", "emb"))
+
+
+@register("sum_layers", _VEC(*O.PIECE_CTES) +
+          f"SELECT sentence_id, clause_no, i, j, piece, {O.vsum_sql('v')} AS vec_sum, {O.vnorm_sql('v')} AS vec_norm FROM pv")
+def q_sum_layers(spark, sf):
+    pv = E.sum_last_layers(D.word_pieces(spark, sf), "layers", 2)
+    return pv.select("sentence_id", "clause_no", "i", F.col("j").cast("long").alias("j"), "piece",
+                     *_summ("vector", "vec"))
+
+
+def _pieces_summed(spark, sf):
+    return E.sum_last_layers(D.word_pieces(spark, sf), "layers", 2).withColumn("j", F.col("j").cast("long"))
+
+
+@register("merge_pieces", _VEC(*O.PIECE_CTES, O.merged_cte("mw", "sentence_id", "clause_no, i, j")) +
+          f"SELECT sentence_id, word_idx, word, {O.vsum_sql('v')} AS vec_sum, {O.vnorm_sql('v')} AS vec_norm FROM mw")
+def q_merge_pieces(spark, sf):
+    mw = E.merge_word_pieces(_pieces_summed(spark, sf), ["sentence_id"], ["clause_no", "i", "j"])
+    return mw.select("sentence_id", "word_idx", "word", *_summ("vector", "vec"))
+
+
+@register("sentence_embedding", _VEC(*O.PIECE_CTES, O.merged_cte("mw", "sentence_id", "clause_no, i, j"),
+          "sd AS (SELECT sentence_id, d.k, avg(d.x) AS m, count(*) AS n FROM mw, unnest(v) WITH ORDINALITY AS d(x, k) "
+          "GROUP BY sentence_id, d.k)") +
+          "SELECT sentence_id, max(n)::BIGINT AS n_words, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
+          "AS emb_norm FROM sd GROUP BY sentence_id")
+def q_sentence_embedding(spark, sf):
+    mw = E.merge_word_pieces(_pieces_summed(spark, sf), ["sentence_id"], ["clause_no", "i", "j"])
+    se = E.sentence_embedding(mw, ["sentence_id"], "vector")
+    return se.select("sentence_id", "n_words", *_summ("embedding", "emb"))
+
+
+def _next_pairs(cl):
+    a = cl.select(F.col("sentence_id"), F.col("clause_no"), F.col("clause_id").alias("id_a"))
+    b = cl.select(F.col("sentence_id"), (F.col("clause_no") + 1).alias("clause_no"), F.col("clause_id").alias("id_b"))
+    return a.join(b, ["sentence_id", "clause_no"], "inner").select("id_a", "id_b")
+
+
+_PAIRS_SQL = ("pairs AS (SELECT a.clause_id AS id_a, b.clause_id AS id_b FROM clauses a JOIN clauses b "
+              "ON a.sentence_id = b.sentence_id AND a.clause_no = b.clause_no + 1)")
+
+
+@register("pairwise_cosine", _VEC(_PAIRS_SQL) +
+          "SELECT id_a, id_b, (round(list_cosine_similarity(x.e, y.e), 6) + 0.0) AS cosine FROM pairs "
+          "JOIN cemb x ON x.clause_id = id_a JOIN cemb y ON y.clause_id = id_b")
+def q_pairwise_cosine(spark, sf):
+    cl = D.clauses(spark, sf)
+    ce = _clause_emb(spark, sf, cl).withColumnRenamed("clause_id", "id")
+    out = Q.pairwise_cosine(_next_pairs(cl), ce)
+    return out.select("id_a", "id_b", (F.round("cosine", 6) + 0.0).alias("cosine"))
+
+
+@register("vector_lookup", _VEC() +
+          "SELECT clause_id, emb_sum, emb_norm FROM cemb WHERE clause_id IN (SELECT clause_id FROM clauses WHERE trigger)")
+def q_vector_lookup(spark, sf):
+    cl = D.clauses(spark, sf)
+    ids = cl.filter("trigger").select(F.col("clause_id").alias("id"))
+    ce = _clause_emb(spark, sf, cl).withColumnRenamed("clause_id", "id")
+    return Q.lookup_vectors(ids, ce).select(F.col("id").alias("clause_id"), *_summ("embedding", "emb"))
+
+
+@register("compare_embeddings", _VEC(_PAIRS_SQL, *O.PIECE_CTES, O.merged_cte("mc", "sentence_id, clause_no", "i, j"),
+          "bd AS (SELECT m.sentence_id, m.clause_no, d.k, avg(d.x) AS m FROM mc m, unnest(v) WITH ORDINALITY AS d(x, k) "
+          "GROUP BY m.sentence_id, m.clause_no, d.k)",
+          "bemb AS (SELECT c.clause_id, list(m ORDER BY k) AS e FROM bd JOIN clauses c "
+          "ON c.sentence_id = bd.sentence_id AND c.clause_no = bd.clause_no GROUP BY c.clause_id)") +
+          "SELECT id_a, id_b, (round(list_cosine_similarity(x.e, y.e), 6) + 0.0) AS cosine_a, "
+          "(round(list_cosine_similarity(u.e, w.e), 6) + 0.0) AS cosine_b FROM pairs "
+          "JOIN cemb x ON x.clause_id = id_a JOIN cemb y ON y.clause_id = id_b "
+          "JOIN bemb u ON u.clause_id = id_a JOIN bemb w ON w.clause_id = id_b")
+def q_compare_embeddings(spark, sf):
+    cl = D.clauses(spark, sf)
+    enc_a = _clause_emb(spark, sf, cl).withColumnRenamed("clause_id", "id")
+    mc = E.merge_word_pieces(E.sum_last_layers(D.word_pieces(spark, sf, cl), "layers", 2)
+                             .withColumn("j", F.col("j").cast("long")),
+                             ["sentence_id", "clause_id"], ["i", "j"])
+    enc_b = mc.groupBy(F.col("clause_id").alias("id")).agg(E.mean_vector("vector").alias("embedding"))
+    out = Q.compare_embeddings(_next_pairs(cl), enc_a, enc_b)
+    return out.select("id_a", "id_b", (F.round("cosine_a", 6) + 0.0).alias("cosine_a"),
+                      (F.round("cosine_b", 6) + 0.0).alias("cosine_b"))

@@ -106,3 +106,54 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold clause annotations (A2 -> A3 -> A4 over the token annotations)."""
     from clausewise.operators.annotate import project_annotations
     return project_annotations(clauses(spark, sf_dir), report_tokens(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- vectors of the test tables
+PIECE_LEN = 6
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+
+
+def n_vectors(spark: SparkSession, sf_dir: str) -> Column:
+    """Row count of ``embeddings`` as a scalar subquery (evaluated once, inlined)."""
+    return table(spark, sf_dir, "embeddings", "vec_id").select(F.count(F.lit(1))).scalar()
+
+
+def vec_hash(text: Column, n: Column, extra: Column | None = None) -> Column:
+    h = F.length(text).cast("long") * 31 + F.ascii(text).cast("long") * 7
+    if extra is not None:
+        h = h + extra
+    return (h % n).cast("long")
+
+
+def clause_word_rows(cl: DataFrame) -> DataFrame:
+    """Every space-separated word of every clause (empty words kept, as in the original split)."""
+    return cl.select("report_id", "sentence_id", "clause_id", "clause_no",
+                     F.posexplode(F.split(F.col("clause"), " ", -1)).alias("i", "word"))
+
+
+def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+    """Words with a vector (they start with a-z); the vector id depends on the word
+    and its clause, so a repeated word in a sentence can carry different vectors."""
+    cl = cl if cl is not None else clauses(spark, sf_dir)
+    w = clause_word_rows(cl).filter(F.col("word").rlike("^[a-z]"))
+    return w.withColumn("vec_id", vec_hash(F.col("word"), n_vectors(spark, sf_dir), F.col("clause_no")))
+
+
+def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+    """Word pieces of every vector word: 6-letter slices, later ones prefixed ``##``;
+    two hidden layers per piece taken from the vector table (ids h and h + 1)."""
+    occ = word_occurrences(spark, sf_dir, cl)
+    k = F.floor((F.length("word") + PIECE_LEN - 1) / PIECE_LEN).cast("int")
+    pieces = occ.select("sentence_id", "clause_id", "clause_no", "i", F.posexplode(F.transform(
+        F.sequence(F.lit(0), k - 1),
+        lambda j: F.concat(F.when(j > 0, F.lit("##")).otherwise(F.lit("")),
+                           F.substr(F.col("word"), j * PIECE_LEN + 1, F.lit(PIECE_LEN))))).alias("j", "piece"))
+    n = n_vectors(spark, sf_dir)
+    pieces = pieces.withColumn("h0", vec_hash(F.col("piece"), n)).withColumn("h1", (F.col("h0") + 1) % n)
+    v = vectors(spark, sf_dir)
+    return (pieces.join(v.select(F.col("vec_id").alias("h0"), F.col("embedding").alias("l0")), "h0")
+                  .join(v.select(F.col("vec_id").alias("h1"), F.col("embedding").alias("l1")), "h1")
+                  .withColumn("layers", F.array("l0", "l1")).drop("l0", "l1", "h0", "h1"))

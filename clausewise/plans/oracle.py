@@ -120,3 +120,51 @@ ALIGN_CTES = [
     "CASE WHEN coalesce(tagg.c, false) THEN 'pos' ELSE 'neg' END AS cause, coalesce(tagg.n, 0)::BIGINT AS n_tokens "
     "FROM cw LEFT JOIN tagg USING (clause_id))",
 ]
+
+
+VEC_CTES = [
+    "cwords AS (SELECT report_id, sentence_id, clause_id, clause_no, (w.i - 1)::BIGINT AS i, w.word FROM clauses, "
+    "unnest(string_split(clause, ' ')) WITH ORDINALITY AS w(word, i))",
+    "nvec AS (SELECT count(*) AS n FROM embeddings)",
+    "occ AS (SELECT cwords.*, ((length(word) * 31 + ascii(word) * 7 + clause_no) % (SELECT n FROM nvec))::BIGINT "
+    "AS vec_id FROM cwords WHERE regexp_matches(word, '^[a-z]'))",
+    "wmap AS (SELECT sentence_id, word, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, word "
+    "ORDER BY clause_no DESC, i DESC) AS k FROM occ) WHERE k = 1)",
+    "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "hits AS (SELECT c.clause_id, c.sentence_id, v.e FROM cwords c JOIN wmap m USING (sentence_id, word) "
+    "JOIN vecs v USING (vec_id))",
+    "cdims AS (SELECT clause_id, d.k, avg(d.x) AS m FROM hits, unnest(e) WITH ORDINALITY AS d(x, k) GROUP BY clause_id, d.k)",
+    "cemb AS (SELECT clause_id, list(m ORDER BY k) AS e, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
+    "AS emb_norm FROM cdims GROUP BY clause_id)",
+    "cnt AS (SELECT clause_id, count(*)::BIGINT AS n_vec FROM hits GROUP BY clause_id)",
+]
+
+PIECE_CTES = [
+    "pieces0 AS (SELECT sentence_id, clause_id, clause_no, i, p.j::BIGINT AS j, "
+    "CASE WHEN p.j > 0 THEN '##' ELSE '' END || substr(word, (p.j * 6 + 1)::INTEGER, 6) AS piece "
+    "FROM occ, unnest(range(0, (floor((length(word) + 5) / 6))::BIGINT)) AS p(j))",
+    "pieces AS (SELECT *, ((length(piece) * 31 + ascii(piece) * 7) % (SELECT n FROM nvec))::BIGINT AS h0 FROM pieces0)",
+    "pv AS (SELECT p.sentence_id, p.clause_id, p.clause_no, p.i, p.j, p.piece, "
+    "list_transform(list_zip(v0.e, v1.e), lambda q: q[1] + q[2]) AS v FROM pieces p "
+    "JOIN vecs v0 ON v0.vec_id = p.h0 JOIN vecs v1 ON v1.vec_id = (p.h0 + 1) % (SELECT n FROM nvec))",
+]
+
+
+def vsum_sql(e: str) -> str:
+    return f"(round(list_sum({e}), 6) + 0.0)"
+
+
+def vnorm_sql(e: str) -> str:
+    return f"round(sqrt(list_sum(list_transform({e}, lambda x: x * x))), 6)"
+
+
+FOLD_SQL = ("list_reduce(list(v ORDER BY {order}), lambda acc, x: list_transform(list_zip(acc, x), "
+            "lambda q: (q[1] + q[2]) / 2))")
+
+
+def merged_cte(name: str, group: str, order: str) -> str:
+    return (f"{name}0 AS (SELECT *, sum(CASE WHEN starts_with(piece, '##') THEN 0 ELSE 1 END) OVER "
+            f"(PARTITION BY {group} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT "
+            f"AS word_idx FROM pv), "
+            f"{name} AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY {order}) "
+            f"AS word, {FOLD_SQL.format(order=order)} AS v FROM {name}0 GROUP BY {group}, word_idx)")
