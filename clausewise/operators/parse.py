@@ -34,3 +34,188 @@ def classify_clauses_lexicon(df, clause_col: str = "clause", lexicon: Sequence[s
     """P9 as a DataFrame operator: adds ``prediction`` in {pos, neg}; a null clause is ``neg``."""
     hit = lexicon_hit(F.col(clause_col), lexicon, threat_words)
     return df.withColumn(out_col, F.when(hit, F.lit("pos")).otherwise(F.lit("neg")))
+
+
+# ---------------------------------------------------------------- token table -> tree work
+from pyspark.sql import DataFrame  # noqa: E402
+
+from clausewise.constants import (  # noqa: E402
+    FRAME_RELATIONS, REFLEXIVE_OBJECTS, STAFF_WORDS)
+
+TOKEN_FIELDS = ("i", "text", "lemma", "dep", "head")
+
+
+def attach_tokens(clauses: DataFrame, annotator=None, schema: str | None = None,
+                  tokens: DataFrame | None = None, key: str = "clause_id") -> DataFrame:
+    """A token table for the clauses.
+
+    Either run a user-supplied vectorised annotator (pandas batch of clauses ->
+    pandas batch of token rows with ``schema``) inside the executors with
+    ``mapInPandas``, or equi-join an existing token table on ``key``.
+    """
+    if annotator is not None:
+        def run(batches):
+            for b in batches:
+                yield annotator(b)
+        return clauses.mapInPandas(run, schema=schema)
+    if tokens is None:
+        raise ValueError("give an annotator or a token table")
+    return tokens.join(clauses.select(key), key, "left_semi")
+
+
+def token_arrays(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
+    """Tokens of a clause gathered into one row, sorted by ``i`` (a clause is a small group).
+
+    Token indices are positions ``0..n-1`` inside the clause, the root points to itself.
+    """
+    st = F.struct(F.col("i").cast("int").alias("i"), "text", "lemma", "dep", F.col("head").cast("int").alias("head"))
+    return tokens.groupBy(key).agg(F.array_sort(F.collect_list(st)).alias("tokens"))
+
+
+def _ancestor_history(toks: DataFrame) -> DataFrame:
+    """Adds ``hist``: ``hist[s][t]`` is the ancestor of token t at distance s+1 (a root
+    stays at itself).  All tokens walk up together, one level per step; once every
+    pointer sits on a root the remaining steps are no-ops, so the cost is n x depth."""
+    x = toks.withColumn("H", F.transform("tokens", lambda t: t["head"]))
+
+    def parent(p):
+        return F.element_at(F.col("H"), p + 1)
+
+    init = F.struct(F.col("H").alias("ptr"), F.array(F.col("H")).alias("hist"),
+                    F.forall("H", lambda p: parent(p) == p).alias("done"))
+
+    def step(acc, _k):
+        nxt = F.transform(acc["ptr"], parent)
+        return F.when(acc["done"], acc).otherwise(F.struct(
+            nxt.alias("ptr"), F.array_append(acc["hist"], nxt).alias("hist"),
+            F.forall(nxt, lambda p: parent(p) == p).alias("done")))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("H"), F.lit(1))), init, step)
+    return x.withColumn("hist", walk["hist"])
+
+
+def _ancestors_of(t: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform("hist", lambda h: F.element_at(h, t + 1)), lambda a: a != t))
+
+
+def token_ancestors(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
+    """Every token with its ancestors, nearest first (``ancestors array<int>``)."""
+    h = _ancestor_history(token_arrays(tokens, key))
+    per = F.transform("tokens", lambda t: F.struct(t["i"].alias("i"), _ancestors_of(t["i"]).alias("ancestors")))
+    return h.select(key, F.inline(per))
+
+
+def closure(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
+    """Transitive ancestor edges ``(key, i, a, d)``: ``a`` is an ancestor of ``i`` at distance ``d``."""
+    anc = token_ancestors(tokens, key)
+    return anc.select(key, "i", F.posexplode("ancestors").alias("d", "a")).withColumn("d", F.col("d") + 1)
+
+
+def subtree(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
+    """All transitive children of every token that has any:
+    ``(key, head, descendants array<int>, quoted boolean, n_descendants)``."""
+    edges = closure(tokens, key).join(tokens.select(key, "i", "text"), [key, "i"], "inner")
+    return edges.groupBy(key, F.col("a").alias("head")).agg(
+        F.array_sort(F.collect_list("i")).alias("descendants"),
+        F.bool_or(F.col("text") == '"').alias("quoted"),
+        F.count(F.lit(1)).alias("n_descendants"))
+
+
+def tokens_by_ids(tokens_col: Column, ids: Column) -> Column:
+    """Texts of the given token ids, in the order of the id list."""
+    return F.transform(ids, lambda i: F.element_at(tokens_col, i + 1)["text"])
+
+
+def verb_frames(tokens: DataFrame, rels: Sequence[str] = FRAME_RELATIONS, key: str = "clause_id") -> DataFrame:
+    """One frame per head that has children in ``rels``: per relation the text of
+    the last such child, the head's lemma, the lemma of the head's own head (itself
+    for a root), and the head's descendants."""
+    rel_tok = tokens.filter(F.col("dep").isin(*rels) & (F.col("head") != F.col("i")))
+    roles = [F.max_by(F.when(F.col("dep") == r, F.col("text")), F.when(F.col("dep") == r, F.col("i"))).alias(
+        r.replace(":", "_")) for r in rels]
+    frames = rel_tok.groupBy(key, "head").agg(*roles)
+    tk = tokens.select(key, F.col("i").alias("head"), "lemma", F.col("head").alias("hh"))
+    hh = tokens.select(key, F.col("i").alias("hh"), F.col("lemma").alias("head_lemma"))
+    st = subtree(tokens, key)
+    return (frames.join(tk, [key, "head"], "inner").join(hh, [key, "hh"], "left")
+                  .join(st, [key, "head"], "left")
+                  .withColumn("descendants", F.coalesce("descendants", F.array().cast("array<int>")))
+                  .withColumn("quoted", F.coalesce("quoted", F.lit(False)))
+                  .withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long"))
+                  .drop("hh"))
+
+
+def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERBS,
+                     staff: Sequence[str] = STAFF_WORDS, reflexive: Sequence[str] = REFLEXIVE_OBJECTS,
+                     threats: Sequence[str] = THREAT_VERBS) -> DataFrame:
+    """P5: ``passes`` iff the head lemma is in the lexicon and none of the excluding
+    rules holds (as coded in the original, R3 and R4 included):
+
+    R1 subject is staff; R2 object is reflexive; R3 passive subject is staff;
+    R4 an agent is present and is not staff; R5 the verb's head has a threatening
+    lemma; R6 a descendant token is a double quote.
+    """
+    def isin(c, words):
+        return F.coalesce(F.col(c).isin(*words), F.lit(False))
+    rules = {
+        "r1": isin("nsubj", staff),
+        "r2": isin("obj", reflexive),
+        "r3": isin("nsubj_pass", staff),
+        "r4": F.col("obl_agent").isNotNull() & ~isin("obl_agent", staff),
+        "r5": isin("head_lemma", threats),
+        "r6": F.col("quoted"),
+    }
+    excluded = rules["r1"] | rules["r2"] | rules["r3"] | rules["r4"] | rules["r5"] | rules["r6"]
+    return frames.withColumn("passes", isin("lemma", lexicon) & ~excluded)
+
+
+def classify_clauses_rules(clauses: DataFrame, judged: DataFrame, key: str = "clause_id") -> DataFrame:
+    """P6 + P7: clause ``pos`` iff any frame passes (null or frameless clause: ``neg``),
+    with the union of head and descendant ids of the passing frames."""
+    ok = judged.filter("passes").select(key, F.concat(F.array(F.col("head").cast("int")), "descendants").alias("ids"))
+    per = ok.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("aggressive_ids"))
+    out = clauses.join(per, key, "left")
+    return (out.withColumn("prediction", F.when(F.col("aggressive_ids").isNotNull() & F.col("clause").isNotNull(),
+                                                F.lit("pos")).otherwise(F.lit("neg")))
+               .withColumn("aggressive_ids", F.coalesce("aggressive_ids", F.array().cast("array<int>"))))
+
+
+def rule_job(clauses: DataFrame, tokens: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERBS,
+             staff: Sequence[str] = STAFF_WORDS, reflexive: Sequence[str] = REFLEXIVE_OBJECTS,
+             threats: Sequence[str] = THREAT_VERBS, key: str = "clause_id") -> DataFrame:
+    """Clauses + tokens -> frames -> rules -> clause predictions."""
+    judged = apply_role_rules(verb_frames(tokens, key=key), lexicon, staff, reflexive, threats)
+    return classify_clauses_rules(clauses, judged, key)
+
+
+def clauses_from_parse(tokens: DataFrame, key: str = "clause_id", group: Sequence[str] = ("sentence_id",),
+                       order: Sequence[str] = ("clause_no",)) -> DataFrame:
+    """G3 + G5: split a parsed span into clauses: every child of a root with relation
+    ``conj`` makes a clause of its subtree, the remaining tokens form the root clause;
+    clauses are ordered by head index.  Numbers run per ``group`` across spans in
+    ``order``; a clause that is empty after stripping is dropped but keeps its number.
+
+    ``tokens`` carries ``key`` plus the ``group``/``order`` columns of its span.
+    """
+    from pyspark.sql import Window
+    meta = tokens.select(key, *group, *order).distinct()
+    h = _ancestor_history(token_arrays(tokens, key))
+    idx = F.sequence(F.lit(0), F.size("tokens") - 1)
+
+    def chead(t):
+        path = F.concat(F.array(t), _ancestors_of(t))
+        root = F.element_at(path, -1)
+        top = F.when(F.size(path) >= 2, F.element_at(path, -2)).otherwise(t)
+        return F.when((top != root) & (F.element_at(F.col("tokens"), top + 1)["dep"] == "conj"), top).otherwise(root)
+
+    h = h.withColumn("ch", F.when(F.size("tokens") > 0, F.transform(idx, chead)).otherwise(F.array().cast("array<int>")))
+    heads = F.array_sort(F.array_distinct("ch"))
+    chunks = F.transform(heads, lambda hd: F.struct(hd.alias("clause_head"), F.trim(F.array_join(F.transform(
+        F.filter(idx, lambda t: F.element_at(F.col("ch"), t + 1) == hd),
+        lambda t: F.trim(F.element_at(F.col("tokens"), t + 1)["text"])), " ")).alias("text")))
+    parts = h.select(key, F.posexplode(chunks).alias("sub_no", "c")).join(meta, key, "inner")
+    w = Window.partitionBy(*group).orderBy(*order, "sub_no")
+    numbered = parts.withColumn("parse_clause_no", F.row_number().over(w).cast("long"))
+    return numbered.filter(F.col("c.text") != "").select(
+        *group, key, "parse_clause_no", F.col("c.clause_head").cast("long").alias("clause_head"),
+        F.col("c.text").alias("clause"))

@@ -455,3 +455,86 @@ def q_compare_embeddings(spark, sf):
     out = Q.compare_embeddings(_next_pairs(cl), enc_a, enc_b)
     return out.select("id_a", "id_b", (F.round("cosine_a", 6) + 0.0).alias("cosine_a"),
                       (F.round("cosine_b", 6) + 0.0).alias("cosine_b"))
+
+
+# ---------------------------------------------------------------- parse-table operators (P*, G3)
+from clausewise.constants import FRAME_RELATIONS  # noqa: E402
+from clausewise.operators import parse as P  # noqa: E402
+
+# rule parameters for the synthetic parse: frequent words, so that every rule fires
+PARSE_RULES = dict(lexicon=["the", "of", "and"], staff=["in", "is"], reflexive=["a", "la"], threats=["to", "de"])
+
+
+def _rec(*ctes):
+    return O.with_clauses(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _ids_str(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@register("subtree", _rec(*O.PARSE_CTES) + "SELECT clause_id, head::BIGINT AS head, descendants, n_descendants FROM sub")
+def q_subtree(spark, sf):
+    st = P.subtree(D.parse_tokens(spark, sf))
+    return st.select("clause_id", F.col("head").cast("long").alias("head"), _ids_str("descendants").alias("descendants"),
+                     "n_descendants")
+
+
+@register("token_ancestors", _rec(*O.PARSE_CTES) +
+          "SELECT t.clause_id, t.i::BIGINT AS i, coalesce(string_agg(a.a::VARCHAR, ',' ORDER BY a.d), '') AS ancestors "
+          "FROM tok t LEFT JOIN anc a ON a.clause_id = t.clause_id AND a.i = t.i GROUP BY t.clause_id, t.i")
+def q_token_ancestors(spark, sf):
+    an = P.token_ancestors(D.parse_tokens(spark, sf))
+    return an.select("clause_id", F.col("i").cast("long").alias("i"), _ids_str("ancestors").alias("ancestors"))
+
+
+@register("verb_frames", _rec(*O.PARSE_CTES, O.frames_cte(FRAME_RELATIONS)) +
+          "SELECT clause_id, head::BIGINT AS head, lemma, head_lemma, nsubj, obj, iobj, nsubj_pass, obl_agent, "
+          "descendants, quoted, n_descendants FROM frames")
+def q_verb_frames(spark, sf):
+    fr = P.verb_frames(D.parse_tokens(spark, sf))
+    return fr.select("clause_id", F.col("head").cast("long").alias("head"), "lemma", "head_lemma", "nsubj", "obj",
+                     "iobj", "nsubj_pass", "obl_agent", _ids_str("descendants").alias("descendants"), "quoted",
+                     "n_descendants")
+
+
+def _rules_sql() -> str:
+    r = PARSE_RULES
+    lst = O.sql_list
+    passes = (f"(list_contains({lst(r['lexicon'])}, lemma) AND NOT (coalesce(list_contains({lst(r['staff'])}, nsubj), false) "
+              f"OR coalesce(list_contains({lst(r['reflexive'])}, obj), false) "
+              f"OR coalesce(list_contains({lst(r['staff'])}, nsubj_pass), false) "
+              f"OR (obl_agent IS NOT NULL AND NOT list_contains({lst(r['staff'])}, obl_agent)) "
+              f"OR coalesce(list_contains({lst(r['threats'])}, head_lemma), false) OR quoted))")
+    return _rec(*O.PARSE_CTES, O.frames_cte(FRAME_RELATIONS),
+                f"judged AS (SELECT *, {passes} AS passes FROM frames)",
+                "ids AS (SELECT clause_id, unnest(list_concat([head], CASE WHEN descendants = '' THEN []::INTEGER[] "
+                "ELSE list_transform(string_split(descendants, ','), lambda x: x::INTEGER) END)) AS id FROM judged WHERE passes)",
+                "agg AS (SELECT clause_id, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id::VARCHAR) AS s, "
+                "list_sort(list_distinct(list(id))) AS l FROM ids GROUP BY clause_id)") + (
+        "SELECT c.clause_id, CASE WHEN agg.l IS NOT NULL AND c.clause IS NOT NULL THEN 'pos' ELSE 'neg' END AS prediction, "
+        "coalesce(array_to_string(agg.l, ','), '') AS aggressive_ids FROM clauses c LEFT JOIN agg USING (clause_id)")
+
+
+@register("rules_parse", _rules_sql())
+def q_rules_parse(spark, sf):
+    cl = D.clauses(spark, sf)
+    out = P.rule_job(cl, D.parse_tokens(spark, sf, cl), **PARSE_RULES)
+    return out.select("clause_id", "prediction", _ids_str("aggressive_ids").alias("aggressive_ids"))
+
+
+@register("clauses_from_parse", _rec(*O.PARSE_CTES,
+          "ti AS (SELECT t.*, max(a.d) AS maxd, arg_max(a.a, a.d) AS root0 FROM tok t LEFT JOIN anc a "
+          "ON a.clause_id = t.clause_id AND a.i = t.i GROUP BY ALL)",
+          "tp AS (SELECT ti.*, coalesce(root0, ti.i) AS root, CASE WHEN maxd IS NULL OR maxd = 1 THEN ti.i "
+          "ELSE (SELECT a.a FROM anc a WHERE a.clause_id = ti.clause_id AND a.i = ti.i AND a.d = ti.maxd - 1) END AS top "
+          "FROM ti)",
+          "th AS (SELECT tp.*, CASE WHEN tp.top <> tp.root AND x.dep = 'conj' THEN tp.top ELSE tp.root END AS chead "
+          "FROM tp JOIN tok x ON x.clause_id = tp.clause_id AND x.i = tp.top)",
+          "ch AS (SELECT sentence_id, clause_id, clause_no, chead, trim(string_agg(trim(text), ' ' ORDER BY i)) AS clause "
+          "FROM th GROUP BY sentence_id, clause_id, clause_no, chead)",
+          "nb AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY clause_no, chead)::BIGINT AS parse_clause_no "
+          "FROM ch)") +
+          "SELECT sentence_id, clause_id, parse_clause_no, chead::BIGINT AS clause_head, clause FROM nb WHERE clause <> ''")
+def q_clauses_from_parse(spark, sf):
+    return P.clauses_from_parse(D.parse_tokens(spark, sf))

@@ -157,3 +157,23 @@ def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -
     return (pieces.join(v.select(F.col("vec_id").alias("h0"), F.col("embedding").alias("l0")), "h0")
                   .join(v.select(F.col("vec_id").alias("h1"), F.col("embedding").alias("l1")), "h1")
                   .withColumn("layers", F.array("l0", "l1")).drop("l0", "l1", "h0", "h1"))
+
+
+# ---------------------------------------------------------------- synthetic parse of the test clauses
+DEPS = ["nsubj", "obj", "conj", "obl:agent", "nsubj:pass", "iobj", "advmod", "punct"]
+
+
+def parse_tokens(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+    """Deterministic token table (D8) for the clause words: a heap-ordered tree
+    (``head = (i - 1) div 2``, root ``i = 0``), relations cycling by word length
+    and position, lemma = the word's letters.  No parser is involved."""
+    cl = cl if cl is not None else clauses(spark, sf_dir)
+    w = cl.select("report_id", "sentence_id", "clause_id", "sent_no", "clause_no",
+                  F.posexplode(word_list(F.col("clause"))).alias("i", "text"))
+    deps = F.array(*[F.lit(d) for d in DEPS])
+    return w.select(
+        "report_id", "sentence_id", "clause_id", "sent_no", "clause_no", F.col("i").cast("int").alias("i"), "text",
+        F.regexp_replace("text", r"[^\p{L}]", "").alias("lemma"),
+        F.when(F.col("i") == 0, F.lit("ROOT")).otherwise(
+            F.element_at(deps, ((F.length("text") + F.col("i")) % 8 + 1).cast("int"))).alias("dep"),
+        F.when(F.col("i") == 0, F.lit(0)).otherwise(F.floor((F.col("i") - 1) / 2)).cast("int").alias("head"))

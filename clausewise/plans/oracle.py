@@ -168,3 +168,31 @@ def merged_cte(name: str, group: str, order: str) -> str:
             f"AS word_idx FROM pv), "
             f"{name} AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY {order}) "
             f"AS word, {FOLD_SQL.format(order=order)} AS v FROM {name}0 GROUP BY {group}, word_idx)")
+
+
+DEPS_SQL = "['nsubj', 'obj', 'conj', 'obl:agent', 'nsubj:pass', 'iobj', 'advmod', 'punct']"
+PARSE_CTES = [
+    "tok AS (SELECT report_id, sentence_id, clause_id, sent_no, clause_no, (w.i - 1)::INTEGER AS i, w.word AS text, "
+    "regexp_replace(w.word, '[^\\p{L}]', '', 'g') AS lemma, "
+    f"CASE WHEN w.i = 1 THEN 'ROOT' ELSE {DEPS_SQL}[((length(w.word) + w.i - 1) % 8) + 1] END AS dep, "
+    "(CASE WHEN w.i = 1 THEN 0 ELSE (w.i - 2) // 2 END)::INTEGER AS head "
+    "FROM clauses, unnest(list_filter(string_split(clause, ' '), lambda x: x <> '')) WITH ORDINALITY AS w(word, i))",
+    "anc(clause_id, i, a, d) AS (SELECT clause_id, i, head, 1 FROM tok WHERE head <> i UNION ALL "
+    "SELECT anc.clause_id, anc.i, t.head, anc.d + 1 FROM anc JOIN tok t ON t.clause_id = anc.clause_id AND t.i = anc.a "
+    "WHERE t.head <> t.i)",
+    "sub AS (SELECT anc.clause_id, anc.a AS head, string_agg(anc.i::VARCHAR, ',' ORDER BY anc.i) AS descendants, "
+    "bool_or(t.text = '\"') AS quoted, count(*)::BIGINT AS n_descendants FROM anc JOIN tok t "
+    "ON t.clause_id = anc.clause_id AND t.i = anc.i GROUP BY anc.clause_id, anc.a)",
+]
+
+
+def frames_cte(rels) -> str:
+    roles = ", ".join(f"arg_max(text, i) FILTER (WHERE dep = {q(r)}) AS {r.replace(':', '_')}" for r in rels)
+    inlist = ", ".join(q(r) for r in rels)
+    return (f"fr0 AS (SELECT clause_id, head, {roles} FROM tok WHERE dep IN ({inlist}) AND head <> i "
+            "GROUP BY clause_id, head), "
+            "frames AS (SELECT f.*, h.lemma, hh.lemma AS head_lemma, coalesce(s.descendants, '') AS descendants, "
+            "coalesce(s.quoted, false) AS quoted, coalesce(s.n_descendants, 0)::BIGINT AS n_descendants "
+            "FROM fr0 f JOIN tok h ON h.clause_id = f.clause_id AND h.i = f.head "
+            "LEFT JOIN tok hh ON hh.clause_id = f.clause_id AND hh.i = h.head "
+            "LEFT JOIN sub s ON s.clause_id = f.clause_id AND s.head = f.head)")
