@@ -538,3 +538,106 @@ def q_rules_parse(spark, sf):
           "SELECT sentence_id, clause_id, parse_clause_no, chead::BIGINT AS clause_head, clause FROM nb WHERE clause <> ''")
 def q_clauses_from_parse(spark, sf):
     return P.clauses_from_parse(D.parse_tokens(spark, sf))
+
+
+# ---------------------------------------------------------------- features (F*)
+from clausewise.operators import features as FT  # noqa: E402
+
+FEATURE_THREATS = ["to", "de"]
+
+
+def _feature_parts(spark, sf):
+    cl = D.clauses(spark, sf)
+    toks = D.parse_tokens(spark, sf, cl)
+    emb = _clause_emb(spark, sf, cl)
+    gold = A.project_annotations(cl, D.report_tokens(spark, sf))
+    return cl, toks, emb, gold
+
+
+def _centroid(spark, sf, emb, gold):
+    return FT.positive_centroid(emb, gold, restrict_to=D.dev_reports(spark, sf))
+
+
+_F_CTES = [*O.VEC_CTES, *O.ALIGN_CTES, *O.PARSE_CTES,
+           "cen0 AS (SELECT d.k, avg(d.x) AS m FROM cemb, unnest(e) WITH ORDINALITY AS d(x, k) WHERE clause_id IN "
+           "(SELECT clause_id FROM annot WHERE aggression = 'pos' AND report_id % 10 < 7) GROUP BY d.k)",
+           "cen AS (SELECT list(m ORDER BY k) AS c FROM cen0)",
+           "sim AS (SELECT clause_id, coalesce(CASE WHEN isnan(s) THEN 0.0 ELSE s END, 0.0) AS similarity FROM "
+           "(SELECT clause_id, list_cosine_similarity(e, (SELECT c FROM cen)) AS s FROM cemb))",
+           f"lf AS (SELECT clause_id, CASE WHEN bool_or(list_contains({O.sql_list(TEST_LEXICON)}, lemma)) THEN 'pos' "
+           f"ELSE 'neg' END AS aggressive, CASE WHEN bool_or(list_contains({O.sql_list(FEATURE_THREATS)}, lemma)) "
+           "THEN 'pos' ELSE 'neg' END AS threatening FROM tok GROUP BY clause_id)",
+           "rf AS (SELECT clause_id, CASE WHEN bool_or(dep = 'nsubj' OR (dep = 'nsubj:pass' AND lemma <> '')) "
+           "THEN 'unknown' ELSE 'ggz' END AS subject, CASE WHEN bool_or(dep = 'obj' OR (dep = 'obl:agent' AND lemma <> '')) "
+           "THEN 'not patient' ELSE 'zichzelf' END AS object FROM tok GROUP BY clause_id)",
+           "feat AS (SELECT s.clause_id, c.report_id, coalesce(lf.aggressive, 'neg') AS aggressive, "
+           "coalesce(lf.threatening, 'neg') AS threatening, coalesce(rf.subject, 'ggz') AS subject, "
+           "coalesce(rf.object, 'zichzelf') AS object, s.similarity FROM sim s JOIN clauses c USING (clause_id) "
+           "LEFT JOIN lf USING (clause_id) LEFT JOIN rf USING (clause_id))"]
+
+
+def _features(spark, sf):
+    cl, toks, emb, gold = _feature_parts(spark, sf)
+    return FT.extract_features(cl, toks, emb, _centroid(spark, sf, emb, gold), TEST_LEXICON, FEATURE_THREATS), gold, cl
+
+
+@register("lexicon_flags", _rec(*O.PARSE_CTES,
+          f"lf AS (SELECT clause_id, CASE WHEN bool_or(list_contains({O.sql_list(TEST_LEXICON)}, lemma)) THEN 'pos' "
+          f"ELSE 'neg' END AS aggressive, CASE WHEN bool_or(list_contains({O.sql_list(FEATURE_THREATS)}, lemma)) "
+          "THEN 'pos' ELSE 'neg' END AS threatening FROM tok GROUP BY clause_id)") + "SELECT * FROM lf")
+def q_lexicon_flags(spark, sf):
+    return FT.lexicon_flags(D.parse_tokens(spark, sf), TEST_LEXICON, FEATURE_THREATS)
+
+
+@register("role_flags", _rec(*O.PARSE_CTES,
+          "rf AS (SELECT clause_id, CASE WHEN bool_or(dep = 'nsubj' OR (dep = 'nsubj:pass' AND lemma <> '')) "
+          "THEN 'unknown' ELSE 'ggz' END AS subject, CASE WHEN bool_or(dep = 'obj' OR (dep = 'obl:agent' AND lemma <> '')) "
+          "THEN 'not patient' ELSE 'zichzelf' END AS object FROM tok GROUP BY clause_id)") + "SELECT * FROM rf")
+def q_role_flags(spark, sf):
+    return FT.role_flags(D.parse_tokens(spark, sf))
+
+
+@register("centroid_similarity", _rec(*_F_CTES) + "SELECT clause_id, round(similarity, 6) + 0.0 AS similarity FROM sim")
+def q_centroid_similarity(spark, sf):
+    cl, toks, emb, gold = _feature_parts(spark, sf)
+    out = FT.centroid_similarity(emb, _centroid(spark, sf, emb, gold))
+    return out.select("clause_id", (F.round("similarity", 6) + 0.0).alias("similarity"))
+
+
+@register("features", _rec(*_F_CTES) +
+          "SELECT clause_id, aggressive, threatening, subject, object, round(similarity, 6) + 0.0 AS similarity FROM feat")
+def q_features(spark, sf):
+    feats, _, _ = _features(spark, sf)
+    return feats.select("clause_id", "aggressive", "threatening", "subject", "object",
+                        (F.round("similarity", 6) + 0.0).alias("similarity"))
+
+
+@register("one_hot", _rec(*_F_CTES,
+          "lng AS (SELECT clause_id, report_id, unnest([{'name': 'aggressive verb in sentence=' || aggressive, 'value': 1.0}, "
+          "{'name': 'threatening verb in sentence=' || threatening, 'value': 1.0}, {'name': 'subject=' || subject, 'value': 1.0}, "
+          "{'name': 'object=' || object, 'value': 1.0}, {'name': 'similarity score', 'value': similarity}], recursive := true) "
+          "FROM feat)",
+          "vocab AS (SELECT name, (row_number() OVER (ORDER BY name) - 1)::INTEGER AS index FROM "
+          "(SELECT DISTINCT name FROM lng WHERE report_id % 10 < 7))") +
+          "SELECT l.clause_id, l.name, v.index, round(l.value, 6) + 0.0 AS value FROM lng l JOIN vocab v USING (name)")
+def q_one_hot(spark, sf):
+    feats, _, _ = _features(spark, sf)
+    long = FT.feature_long(feats, columns=FT.FEATURE_COLUMNS)
+    dev = long.join(feats.filter(D.is_dev(F.col("report_id"))).select("clause_id"), "clause_id", "left_semi")
+    enc = FT.one_hot(long, FT.fit_one_hot(dev))
+    return enc.select("clause_id", "name", "index", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@register("label_split", O.with_clauses(*O.ALIGN_CTES) +
+          "SELECT c.clause_id, coalesce(g.aggression, 'neg') AS label FROM clauses c LEFT JOIN "
+          "(SELECT clause_id, aggression FROM annot WHERE aggression = 'pos') g USING (clause_id) WHERE c.report_id % 10 < 7")
+def q_label_split(spark, sf):
+    cl = D.clauses(spark, sf)
+    gold = D.annotations(spark, sf).filter(F.col("aggression") == "pos")
+    return FT.label_split(cl, D.dev_reports(spark, sf), gold).select("clause_id", "label")
+
+
+@register("unembedded", _VEC() + "SELECT clause_id FROM clauses WHERE clause_id NOT IN (SELECT clause_id FROM cemb)")
+def q_unembedded(spark, sf):
+    cl = D.clauses(spark, sf)
+    return FT.ignored_ids(cl, _clause_emb(spark, sf, cl))
