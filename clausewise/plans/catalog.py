@@ -102,6 +102,19 @@ def q_rules_lexicon(spark, sf):
 
 
 # ---------------------------------------------------------------- precursors
+def _precursor_ctes(n: int = PRECURSOR_WINDOW) -> list[str]:
+    return [
+        "marked AS (SELECT *, row_number() OVER w AS rn, "
+        f"min(CASE WHEN trigger THEN rn0 END) OVER (w ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS nxt, "
+        f"first(CASE WHEN trigger THEN clause_id END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND {n} FOLLOWING) AS trig_id "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY sent_no, clause_no) AS rn0 FROM clauses) "
+        "WINDOW w AS (PARTITION BY report_id ORDER BY sent_no, clause_no))",
+        f"pre AS (SELECT report_id, sent_no, clause_no, clause_id, {O.remove_words_sql('trim(clause)')} AS doc, "
+        "trig_id AS trigger_clause_id, (nxt - rn)::BIGINT AS precursor_distance FROM marked "
+        "WHERE nxt IS NOT NULL AND (NOT trigger OR rn = 1))",
+    ]
+
+
 def _precursor_sql(n: int = PRECURSOR_WINDOW) -> str:
     return O.with_clauses(
         "marked AS (SELECT *, row_number() OVER w AS rn, "
@@ -641,3 +654,147 @@ def q_label_split(spark, sf):
 def q_unembedded(spark, sf):
     cl = D.clauses(spark, sf)
     return FT.ignored_ids(cl, _clause_emb(spark, sf, cl))
+
+
+# ---------------------------------------------------------------- topics (T*)
+from clausewise.operators import topics as T  # noqa: E402
+
+_TOPIC_CTES = [*_precursor_ctes(),
+               "tl AS (SELECT p.report_id, p.clause_id, p.doc, coalesce(TRY_CAST(regexp_extract(d.source, '[0-9]+') "
+               "AS INTEGER), -1)::BIGINT AS topic FROM pre p JOIN documents d ON d.doc_id = p.report_id)",
+               "tt AS (SELECT topic, unnest(regexp_extract_all(lower(doc), '[\\p{L}\\p{N}_]{2,}')) AS word FROM tl)",
+               "tf AS (SELECT topic, word, count(*) AS tf FROM tt GROUP BY topic, word)",
+               "ttot AS (SELECT topic, sum(tf) AS T FROM tf GROUP BY topic)",
+               "tfreq AS (SELECT word, sum(tf) AS f FROM tf GROUP BY word)",
+               "tw AS (SELECT tf.topic, tf.word, tf.tf, (tf.tf / ttot.T) * ln((SELECT avg(T) FROM ttot) / tfreq.f) AS weight "
+               "FROM tf JOIN ttot USING (topic) JOIN tfreq USING (word))",
+               "kw AS (SELECT topic, (row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) - 1)::BIGINT AS rank, "
+               "word, tf::BIGINT AS tf, round(weight, 6) + 0.0 AS weight FROM tw QUALIFY rank < 10)"]
+
+
+def _topic_table(spark, sf):
+    pre = q_precursors(spark, sf)
+    src = D.table(spark, sf, "documents", "doc_id", "source")
+    topic = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("int"), F.lit(-1)).cast("long")
+    return T.topic_labels(pre.select("report_id", "clause_id", "doc"),
+                          src.select(F.col("doc_id").alias("report_id"), topic.alias("topic")), "report_id")
+
+
+@register("topic_labels", O.with_clauses(*_TOPIC_CTES) + "SELECT report_id, clause_id, doc, topic FROM tl")
+def q_topic_labels(spark, sf):
+    return _topic_table(spark, sf)
+
+
+@register("topic_sizes", O.with_clauses(*_TOPIC_CTES) + "SELECT topic, count(*) AS count FROM tl GROUP BY topic")
+def q_topic_sizes(spark, sf):
+    return T.topic_sizes(_topic_table(spark, sf))
+
+
+def _keywords(spark, sf):
+    kw = T.topic_keywords(_topic_table(spark, sf))
+    return kw.withColumn("weight", F.round("weight", 6) + 0.0)
+
+
+@register("topic_keywords", O.with_clauses(*_TOPIC_CTES) + "SELECT topic, rank, word, tf, weight FROM kw")
+def q_topic_keywords(spark, sf):
+    return _keywords(spark, sf).select("topic", "rank", "word", "tf", "weight")
+
+
+@register("topic_keywords_wide", O.with_clauses(*_TOPIC_CTES) + "SELECT topic AS Topic, " + ", ".join(
+    f"max(word) FILTER (WHERE rank = {j}) AS Word{j}, max(weight) FILTER (WHERE rank = {j}) AS Word{j}_probability"
+    for j in range(10)) + " FROM kw GROUP BY topic")
+def q_topic_keywords_wide(spark, sf):
+    return T.topic_keywords_wide(_keywords(spark, sf))
+
+
+@register("density_topics",
+          "WITH RECURSIVE pts AS (SELECT vec_id, [floor(embedding[1]::DOUBLE / 0.08::DOUBLE)::BIGINT, "
+          "floor(embedding[2]::DOUBLE / 0.08::DOUBLE)::BIGINT] AS cell FROM embeddings), "
+          "cells AS (SELECT cell, count(*) AS n FROM pts GROUP BY cell), "
+          "dense AS (SELECT cell FROM cells WHERE n >= 5), "
+          "offs AS (SELECT [a, b] AS o FROM range(-1, 2) t1(a), range(-1, 2) t2(b)), "
+          "edges AS (SELECT d.cell AS src, e.cell AS dst FROM dense d, offs, dense e "
+          "WHERE e.cell = [d.cell[1] + o[1], d.cell[2] + o[2]]), "
+          "reach(c, l) AS (SELECT cell, cell FROM dense UNION SELECT e.dst, r.l FROM reach r JOIN edges e ON e.src = r.c), "
+          "lab AS (SELECT c AS cell, min(l) AS label FROM reach GROUP BY c), "
+          "border AS (SELECT s.cell, min(lab.label) AS label FROM cells s, offs, lab WHERE s.n < 5 AND "
+          "lab.cell = [s.cell[1] + o[1], s.cell[2] + o[2]] GROUP BY s.cell), "
+          "cl AS (SELECT * FROM lab UNION ALL SELECT * FROM border), "
+          "pl AS (SELECT p.vec_id, cl.label FROM pts p LEFT JOIN cl USING (cell)), "
+          "rk AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::BIGINT AS topic FROM pl "
+          "WHERE label IS NOT NULL GROUP BY label) "
+          "SELECT vec_id, coalesce(rk.topic, -1)::BIGINT AS topic FROM pl LEFT JOIN rk USING (label)")
+def q_density_topics(spark, sf):
+    emb = D.table(spark, sf, "embeddings", "vec_id", "embedding")
+    return T.cluster_density(emb, "vec_id", "embedding", cell=0.08, min_pts=5)
+
+
+@register("kmeans_topics")
+def q_kmeans_topics(spark, sf):
+    _, out = T.cluster_kmeans(D.table(spark, sf, "embeddings", "vec_id", "embedding"), k=8)
+    return out.select("vec_id", "topic")
+
+
+@register("pca")
+def q_pca(spark, sf):
+    _, out = T.reduce_dims(D.table(spark, sf, "embeddings", "vec_id", "embedding"), k=5)
+    return out.select("vec_id", *[F.round(F.col("reduced")[k], 6).alias(f"pc{k}") for k in range(5)])
+
+
+@register("topic_runs")
+def q_topic_runs(spark, sf):
+    out = T.topic_runs(D.table(spark, sf, "embeddings", "vec_id", "embedding"), seeds=(1, 2, 3), k=8)
+    return out.select("run", "vec_id", "topic")
+
+
+# ---------------------------------------------------------------- models (M*), rows-only checks
+from pyspark.ml.functions import array_to_vector as _a2v  # noqa: E402
+
+from clausewise.operators import models as M  # noqa: E402
+from clausewise.session import cut_lineage  # noqa: E402
+
+
+def _labelled_vectors(spark, sf):
+    emb = D.table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    return emb.select("vec_id", _a2v(F.col("embedding").cast("array<double>")).alias("features"),
+                      (F.col("label") == 3).cast("double").alias("y"))
+
+
+@register("svm")
+def q_svm(spark, sf):
+    data = _labelled_vectors(spark, sf)
+    model = M.fit_rbf_svm(data, gamma=0.5, n_components=256)
+    return M.predict(model, data).select("vec_id", "prediction")
+
+
+@register("logreg")
+def q_logreg(spark, sf):
+    data = _labelled_vectors(spark, sf)
+    return M.predict(M.fit_logreg(data, reg=0.01), data).select("vec_id", "prediction")
+
+
+@register("forest")
+def q_forest(spark, sf):
+    data = _labelled_vectors(spark, sf)
+    return M.predict(M.fit_random_forest(data, trees=100, depth=8), data).select("vec_id", "prediction")
+
+
+@register("grid")
+def q_grid(spark, sf):
+    data = _labelled_vectors(spark, sf)
+    cv = M.grid_search(data, Cs=(7.0, 9.0), gammas=(0.3, 0.5), folds=2, n_components=128)
+    return M.predict(cv.bestModel, data).select("vec_id", "prediction")
+
+
+@register("ml_job")
+def q_ml_job(spark, sf):
+    feats, gold, _ = _features(spark, sf)
+    feats = feats.join(gold.select("clause_id", F.col("aggression").alias("label")), "clause_id", "left") \
+                 .fillna({"label": "neg"})
+    long = FT.feature_long(feats, columns=FT.FEATURE_COLUMNS)
+    dev_ids = D.dev_reports(spark, sf)
+    vocab = FT.fit_one_hot(long.join(feats.join(dev_ids, "report_id", "left_semi").select("clause_id"),
+                                     "clause_id", "left_semi"))
+    data = cut_lineage(M.with_binary_label(FT.assemble_features(feats, long, vocab)))
+    _, pred = M.ml_job(data, dev_ids, n_components=256)
+    return pred.select("clause_id", "report_id", "label", "prediction")
