@@ -11,7 +11,7 @@ Two physical forms with identical results:
 * :func:`precursors` - any table: one window, partitioned by the sequence key
   and ordered by the explicit order columns; all frames share one sort, so the
   plan is scan -> exchange -> sort -> window -> filter (one shuffle).
-* :func:`precursor_array` - a report already held in one row (clauses made by
+* :func:`with_precursor_array` - a report already held in one row (clauses made by
   :mod:`clausewise.operators.segment`): the same rule with array functions,
   no shuffle at all, and it runs unchanged on streaming DataFrames.
 """
@@ -55,26 +55,28 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
                .drop("_trig", "_rn", "_next"))
 
 
-def precursor_array(items: Column, is_trigger, n: int = PRECURSOR_WINDOW,
-                    include_leading_trigger: bool = True) -> Column:
+def with_precursor_array(df: DataFrame, items: str, is_trigger, n: int = PRECURSOR_WINDOW,
+                         include_leading_trigger: bool = True, out_col: str = "precursors") -> DataFrame:
     """W1 + W3 inside one row.
 
-    ``items`` is an ordered array of structs, ``is_trigger`` a function from
-    the struct to a boolean Column.  Returns the array of precursor structs,
-    each extended with ``precursor_distance`` and ``trigger_index`` (1-based
-    position of its trigger in ``items``).
+    ``items`` names an ordered array-of-struct column, ``is_trigger`` maps the
+    struct to a boolean Column.  Adds ``out_col``: the precursor structs, each
+    as ``item`` with ``precursor_distance`` and ``trigger_index`` (1-based
+    position of its trigger in ``items``).  The trigger flags are materialised
+    once per row, so the cost is ``len(items) x n``.
     """
     flags = F.transform(items, lambda x: F.coalesce(is_trigger(x), F.lit(False)))
+    x = df.withColumn("_flags", flags)
 
-    def mark(x: Column, k: Column) -> Column:
-        d = F.array_position(F.slice(flags, k + 2, n), True)   # elements k+2 .. k+1+n (1-based)
-        own = F.element_at(flags, k + 1)
+    def mark(it: Column, k: Column) -> Column:
+        d = F.array_position(F.slice(F.col("_flags"), k + 2, n), True)   # elements k+2 .. k+1+n (1-based)
+        own = F.element_at(F.col("_flags"), k + 1)
         keep = (d > 0) & (~own | (F.lit(include_leading_trigger) & (k == 0)))
-        return F.struct(x.alias("item"), keep.alias("keep"), d.cast("long").alias("precursor_distance"),
+        return F.struct(it.alias("item"), keep.alias("keep"), d.cast("long").alias("precursor_distance"),
                         (k + 1 + d).cast("long").alias("trigger_index"))
 
     marked = F.filter(F.transform(items, mark), lambda m: m["keep"])
-    return F.transform(marked, lambda m: m.dropFields("keep"))
+    return x.withColumn(out_col, F.transform(marked, lambda m: m.dropFields("keep"))).drop("_flags")
 
 
 def trigger_of_precursor(df: DataFrame, partition: Sequence[str | Column], order: Sequence[str | Column],

@@ -64,6 +64,17 @@ def conjunction_column(lang: Column, table: Mapping[str, Sequence[str]] = CONJUN
     return out
 
 
+def explode_structs(df: DataFrame, array_col: str, keep: list[str]) -> DataFrame:
+    """One row per struct of ``array_col`` (fields become columns).
+
+    Uses the outer generator plus a filter on the first field: a plain
+    ``inline`` makes the optimizer add ``size(array) > 0`` below the generator,
+    which evaluates the (expensive) array expression twice."""
+    out = df.select(*keep, F.inline_outer(array_col))
+    first = [c for c in out.columns if c not in keep][0]
+    return out.filter(F.col(first).isNotNull())
+
+
 def with_ids(df: DataFrame, report_col: str = "report_id") -> DataFrame:
     """Dash-joined hierarchical ids ``report-sent`` and ``report-sent-clause``."""
     return (df.withColumn("sentence_id", F.concat_ws("-", F.col(report_col), F.col("sent_no")))
@@ -81,7 +92,8 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     report_col: str = "report_id") -> DataFrame:
     """G1: one row per sentence: report, ``sent_no`` (1-based), ``sentence``."""
     text = normalize_text(F.col(text_col)) if normalize else F.col(text_col)
-    return (df.select(F.col(id_col).alias(report_col), F.posexplode(sentences(text)).alias("pos", "sentence"))
+    return (df.select(F.col(id_col).alias(report_col), F.posexplode_outer(sentences(text)).alias("pos", "sentence"))
+              .filter(F.col("pos").isNotNull())
               .select(report_col, (F.col("pos") + 1).cast("long").alias("sent_no"), "sentence"))
 
 
@@ -89,7 +101,7 @@ def split_clauses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   report_col: str = "report_id") -> DataFrame:
     """G1 + G2 + G5 + G6: the clause table, one row per clause."""
     arr = read_reports_as_clauses(df, id_col, text_col, normalize, report_col)
-    return with_ids(arr.select(report_col, F.inline("clauses")), report_col)
+    return with_ids(explode_structs(arr, "clauses", [report_col]), report_col)
 
 
 def split_clauses_surface(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -99,4 +111,4 @@ def split_clauses_surface(df: DataFrame, id_col: str = "doc_id", text_col: str =
     text = normalize_text(F.col(text_col)) if normalize else F.col(text_col)
     arr = df.select(F.col(id_col).alias(report_col),
                     surface_clause_array(text, conjunction_column(F.col(lang_col), conjunctions)).alias("clauses"))
-    return with_ids(arr.select(report_col, F.inline("clauses")), report_col)
+    return with_ids(explode_structs(arr, "clauses", [report_col]), report_col)

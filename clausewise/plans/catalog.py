@@ -132,9 +132,9 @@ def _precursor_sql(n: int = PRECURSOR_WINDOW) -> str:
 @register("precursors", _precursor_sql())
 def q_precursors(spark, sf):
     """Flagship: documents -> N6 -> G1/G2/G6 -> P9 triggers -> W1/W3 in-row -> W2/N7."""
-    arr = D.report_clause_arrays(spark, sf)
-    pre = W.precursor_array(F.col("clauses"), lambda c: c["trigger"], PRECURSOR_WINDOW)
-    rows = arr.select("report_id", F.col("clauses"), F.inline(pre))
+    arr = W.with_precursor_array(D.report_clause_arrays(spark, sf), "clauses", lambda c: c["trigger"],
+                                 PRECURSOR_WINDOW)
+    rows = arr.select("report_id", "clauses", F.inline_outer("precursors")).filter(F.col("item").isNotNull())
     trig = F.element_at(F.col("clauses"), F.col("trigger_index").cast("int"))
     out = rows.select(
         "report_id", F.col("item.sent_no").alias("sent_no"), F.col("item.clause_no").alias("clause_no"),

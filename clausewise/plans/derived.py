@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 from clausewise.constants import CAUSE_WORDS, TEST_LEXICON
 from clausewise.functions.text import lexicon_regex, normalize_text, word_list
-from clausewise.operators.segment import clause_array, with_ids
+from clausewise.operators.segment import clause_array, explode_structs, with_ids
 from clausewise.session import spread
 
 DEV_SHARE = 7   # dev/test split of reports: doc_id % 10 < 7 is dev, the rest is test
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, heavy: bool = False) -> DataFrame:
-    """Pruned scan; ``heavy`` tables (long texts) are spread over the default parallelism if needed."""
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, heavy: bool | None = None) -> DataFrame:
+    """Pruned scan.  Scans that carry long texts are spread over the default
+    parallelism when they arrive in fewer partitions (see :func:`spread`)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
+    if heavy is None:
+        heavy = name in TEXT_TABLES and (not cols or "text" in cols)
     return spread(df) if heavy else df
 
 
@@ -41,7 +47,7 @@ def report_clause_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clause table: report_id, sent_no, clause_no, clause, trigger, sentence_id, clause_id."""
-    return with_ids(report_clause_arrays(spark, sf_dir).select("report_id", F.inline("clauses")))
+    return with_ids(explode_structs(report_clause_arrays(spark, sf_dir), "clauses", ["report_id"]))
 
 
 def is_dev(report: Column) -> Column:
@@ -51,7 +57,7 @@ def is_dev(report: Column) -> Column:
 def clause_words(clauses_df: DataFrame) -> DataFrame:
     """One row per clause word (split on single spaces, empties dropped), 0-based ``i``."""
     return clauses_df.select("report_id", "sent_no", "clause_no", "clause_id", "sentence_id",
-                             F.posexplode(word_list(F.col("clause"))).alias("i", "word"))
+                             F.posexplode_outer(word_list(F.col("clause"))).alias("i", "word")).filter("i IS NOT NULL")
 
 
 def lexicon_regex_for_tests() -> str:
@@ -95,7 +101,8 @@ def report_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
                     lambda x: x != F.lit(""))
     lex = F.array(*[F.lit(w) for w in TEST_LEXICON])
     cause = F.array(*[F.lit(w) for w in CAUSE_WORDS])
-    out = sents.select("report_id", F.col("sent_no").alias("sent_id"), F.posexplode(toks).alias("p", "token"))
+    out = sents.select("report_id", F.col("sent_no").alias("sent_id"),
+                       F.posexplode_outer(toks).alias("p", "token")).filter("p IS NOT NULL")
     return out.select(
         "report_id", "sent_id", (F.col("p") + 1).cast("long").alias("token_id"), "token",
         F.when(F.array_contains(lex, F.col("token")), F.lit("pos")).otherwise(F.lit("neg")).alias("agressie"),
@@ -131,7 +138,7 @@ def vec_hash(text: Column, n: Column, extra: Column | None = None) -> Column:
 def clause_word_rows(cl: DataFrame) -> DataFrame:
     """Every space-separated word of every clause (empty words kept, as in the original split)."""
     return cl.select("report_id", "sentence_id", "clause_id", "clause_no",
-                     F.posexplode(F.split(F.col("clause"), " ", -1)).alias("i", "word"))
+                     F.posexplode_outer(F.split(F.col("clause"), " ", -1)).alias("i", "word")).filter("i IS NOT NULL")
 
 
 def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
@@ -169,7 +176,7 @@ def parse_tokens(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None)
     and position, lemma = the word's letters.  No parser is involved."""
     cl = cl if cl is not None else clauses(spark, sf_dir)
     w = cl.select("report_id", "sentence_id", "clause_id", "sent_no", "clause_no",
-                  F.posexplode(word_list(F.col("clause"))).alias("i", "text"))
+                  F.posexplode_outer(word_list(F.col("clause"))).alias("i", "text")).filter("i IS NOT NULL")
     deps = F.array(*[F.lit(d) for d in DEPS])
     return w.select(
         "report_id", "sentence_id", "clause_id", "sent_no", "clause_no", F.col("i").cast("int").alias("i"), "text",
