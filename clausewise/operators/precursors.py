@@ -6,11 +6,16 @@ trigger lies in between (so every precursor belongs to exactly one trigger,
 its nearest following one).  A trigger row is itself never a precursor, except
 the first row of a partition when ``include_leading_trigger`` is set.
 
-Two physical forms with identical results:
+Three physical forms with identical results:
 
 * :func:`precursors` - any table: one window, partitioned by the sequence key
   and ordered by the explicit order columns; all frames share one sort, so the
   plan is scan -> exchange -> sort -> window -> filter (one shuffle).
+* :func:`precursors_indexed` (``strategy="indexed"``) - skew-proof form for
+  sequences where one key may hold a large share of all rows: a range
+  partition on ``(key, order)`` splits even a single hot key over many tasks,
+  every row gets a consecutive global index, and each trigger is matched to
+  the ``n`` indices before it with an equi-join on that unique index.
 * :func:`with_precursor_array` - a report already held in one row (clauses made by
   :mod:`clausewise.operators.segment`): the same rule with array functions,
   no shuffle at all, and it runs unchanged on streaming DataFrames.
@@ -33,13 +38,16 @@ def _cols(cols: Sequence[str | Column]) -> list[Column]:
 
 def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence[str | Column],
                is_trigger: Column, n: int = PRECURSOR_WINDOW, include_leading_trigger: bool = True,
-               trigger_id: str | Column | None = None) -> DataFrame:
+               trigger_id: str | Column | None = None, strategy: str = "window") -> DataFrame:
     """W1 + W3 over a table.
 
     Adds ``precursor_distance`` (rows to the trigger, 1..n) and, when
     ``trigger_id`` is given, ``trigger_of`` (the id of that trigger).  Returns
-    only the precursor rows.
+    only the precursor rows.  ``strategy="indexed"`` selects the skew-proof
+    plan (see :func:`precursors_indexed`); the order must be total (unique).
     """
+    if strategy == "indexed":
+        return precursors_indexed(df, partition, order, is_trigger, n, include_leading_trigger, trigger_id)
     w = Window.partitionBy(*_cols(partition)).orderBy(*_cols(order))
     ahead = w.rowsBetween(1, n)
     trig = F.coalesce(is_trigger, F.lit(False))
@@ -55,6 +63,57 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
                .drop("_trig", "_rn", "_next"))
 
 
+def sequence_index(df: DataFrame, partition: Sequence[str], order: Sequence[str],
+                   num_partitions: int | None = None) -> DataFrame:
+    """Consecutive global index ``_g`` over the rows sorted by ``(partition, order)``.
+
+    Range partitioning samples the full sort key, so a hot key is split across
+    tasks.  Inside a sorted partition ``monotonically_increasing_id`` is
+    ``partition << 33 | local index``; the per-partition row counts (one row
+    per partition: a proven size bound) give the offsets.  The indexed rows are
+    written to the checkpoint folder, so a lost executor cannot renumber them.
+    """
+    from clausewise.session import cut_lineage
+    keys = [*partition, *order]
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    x = cut_lineage(ranged.withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright(F.col("_mid"), 33)
+    x = x.withColumn("_p", pid).withColumn("_local", F.col("_mid") - F.shiftleft(pid, 33))
+    counts = x.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (x.join(F.broadcast(offsets), "_p", "inner")
+             .withColumn("_g", F.col("_off") + F.col("_local")).drop("_p", "_local", "_off", "_mid"))
+
+
+def precursors_indexed(df: DataFrame, partition: Sequence[str], order: Sequence[str], is_trigger: Column,
+                       n: int = PRECURSOR_WINDOW, include_leading_trigger: bool = True,
+                       trigger_id: str | Column | None = None) -> DataFrame:
+    """W1 + W3 without a per-key window (skew-proof).
+
+    Each trigger at index ``g_t`` proposes itself to the indices
+    ``g_t - 1 .. g_t - n`` of the same key (``n`` rows per trigger); a row keeps
+    the nearest proposal.  All shuffles are keyed on the unique index.
+    """
+    part = list(partition)
+    x = sequence_index(df.withColumn("_trig", F.coalesce(is_trigger, F.lit(False))), part, list(order))
+    tid = (F.col(trigger_id) if isinstance(trigger_id, str) else trigger_id) if trigger_id is not None else F.lit(None)
+    trig = x.filter("_trig").select(*part, F.col("_g").alias("_gt"), tid.alias("_tid"))
+    cand = trig.select(*part, "_gt", "_tid", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")) \
+               .withColumn("_g", F.col("_gt") - F.col("_k"))
+    nearest = cand.groupBy(*part, "_g").agg(F.min("_gt").alias("_gt"), F.min_by("_tid", "_gt").alias("trigger_of"))
+    prev = x.select((F.col("_g") + 1).alias("_g"), *[F.col(c).alias(f"_prev_{c}") for c in part])
+    hit = x.join(nearest, [*part, "_g"], "inner").join(prev, "_g", "left")
+    first = F.lit(False)
+    for c in part:
+        first = first | F.col(f"_prev_{c}").isNull() | (F.col(f"_prev_{c}") != F.col(c))
+    keep = ~F.col("_trig") | (F.lit(include_leading_trigger) & first)
+    out = hit.filter(keep).withColumn("precursor_distance", (F.col("_gt") - F.col("_g")).cast("long"))
+    drop = ["_trig", "_g", "_gt", *[f"_prev_{c}" for c in part]] + (["trigger_of"] if trigger_id is None else [])
+    return out.drop(*drop)
+
+
 def with_precursor_array(df: DataFrame, items: str, is_trigger, n: int = PRECURSOR_WINDOW,
                          include_leading_trigger: bool = True, out_col: str = "precursors") -> DataFrame:
     """W1 + W3 inside one row.

@@ -798,3 +798,16 @@ def q_ml_job(spark, sf):
     data = cut_lineage(M.with_binary_label(FT.assemble_features(feats, long, vocab)))
     _, pred = M.ml_job(data, dev_ids, n_components=256)
     return pred.select("clause_id", "report_id", "label", "prediction")
+
+
+_EVENT_SQL = ORACLE["event_precursors"]
+
+
+@register("event_precursors_indexed", _EVENT_SQL)
+def q_event_precursors_indexed(spark, sf):
+    """event_precursors through the skew-proof indexed plan (no per-user window)."""
+    ev = D.table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
+    pre = W.precursors(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 7, trigger_id="event_id",
+                       strategy="indexed")
+    return pre.select("user_id", "event_id", "event_type", F.col("trigger_of").alias("trigger_event_id"),
+                      "precursor_distance")
