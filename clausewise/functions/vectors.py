@@ -65,6 +65,22 @@ def mean_vector(col) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(as_double(col))), "float64")
 
 
+def bounded_group_mean(df, keys: list, vec_col: str, out_col: str, count_col: str | None = None):
+    """Element-wise mean per group, for groups bounded by one clause or sentence.
+
+    The vectors of a group are gathered and folded with ``zip_with`` inside the
+    JVM (about three times faster than the ``Summarizer`` aggregate here).  Use
+    :func:`mean_vector` for groups without a size bound (it combines partial
+    sums map-side and never holds a group's rows)."""
+    from pyspark.sql import DataFrame  # noqa: F401
+    g = df.groupBy(*keys).agg(F.collect_list(as_double(vec_col)).alias("_vl"))
+    total = F.aggregate(F.slice("_vl", 2, F.size("_vl")), F.element_at("_vl", 1),
+                        lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    out = g.select(*keys, F.transform(total, lambda x: x / F.size("_vl")).alias(out_col),
+                   *([F.size("_vl").cast("long").alias(count_col)] if count_col else []))
+    return out
+
+
 def summary(v, prefix: str) -> list[Column]:
     """Compact, engine-independent fingerprint of a vector (sum and norm, 6 places)."""
     return [(F.round(vsum(v), 6) + 0.0).alias(f"{prefix}_sum"), (F.round(norm(v), 6) + 0.0).alias(f"{prefix}_norm")]

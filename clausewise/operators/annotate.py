@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import word_list
@@ -29,6 +29,23 @@ def filter_tokens(tokens: DataFrame, text_col: str = "token", drop: Sequence[str
     return tokens.filter(~F.col(text_col).isin(*drop))
 
 
+def _spans(clauses: DataFrame, report_col: str, clause_order: Sequence[str], clause_col: str) -> DataFrame:
+    wc = Window.partitionBy(report_col).orderBy(*clause_order).rowsBetween(Window.unboundedPreceding, 0)
+    return (clauses.withColumn("n_words", F.size(word_list(F.col(clause_col))).cast("long"))
+                   .withColumn("span_end", F.sum("n_words").over(wc))
+                   .withColumn("span_start", F.col("span_end") - F.col("n_words")))
+
+
+def _ranked_tokens(tokens: DataFrame, report_col: str, token_order: Sequence[str]) -> DataFrame:
+    wt = Window.partitionBy(report_col).orderBy(*token_order)
+    return tokens.withColumn("pos", F.row_number().over(wt).cast("long"))
+
+
+def _positions() -> Column:
+    return (F.when(F.col("n_words") > 0, F.sequence(F.col("span_start") + 1, F.col("span_end")))
+             .otherwise(F.array().cast("array<long>")))
+
+
 def align_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str = "report_id",
                  clause_order: Sequence[str] = ("sent_no", "clause_no"),
                  token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause") -> DataFrame:
@@ -38,16 +55,9 @@ def align_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str = "repor
     sum; tokens get their rank in the report.  A clause with no words has an
     empty span (it is kept by the projection, not dropped).
     """
-    wc = Window.partitionBy(report_col).orderBy(*clause_order).rowsBetween(Window.unboundedPreceding, 0)
-    cl = (clauses.withColumn("n_words", F.size(word_list(F.col(clause_col))).cast("long"))
-                 .withColumn("span_end", F.sum("n_words").over(wc))
-                 .withColumn("span_start", F.col("span_end") - F.col("n_words")))
-    wt = Window.partitionBy(report_col).orderBy(*token_order)
-    tk = tokens.withColumn("pos", F.row_number().over(wt).cast("long"))
-    covered = cl.select(report_col, "clause_id", F.explode(
-        F.when(F.col("n_words") > 0, F.sequence(F.col("span_start") + 1, F.col("span_end")))
-         .otherwise(F.array().cast("array<long>"))).alias("pos"))
-    return covered.join(tk, [report_col, "pos"], "inner")
+    cl = _spans(clauses, report_col, clause_order, clause_col)
+    covered = cl.select(report_col, "clause_id", F.explode(_positions()).alias("pos"))
+    return covered.join(_ranked_tokens(tokens, report_col, token_order), [report_col, "pos"], "inner")
 
 
 def project_labels(clauses: DataFrame, aligned: DataFrame, label_cols: dict[str, str],
@@ -77,8 +87,28 @@ def annotated_clauses(projected: DataFrame, report_col: str = "report_id") -> Da
 
 
 def project_annotations(clauses: DataFrame, tokens: DataFrame, report_col: str = "report_id",
-                        token_text: str = "token", labels: dict[str, str] | None = None) -> DataFrame:
-    """A2 -> A3 -> A4: token annotations to clause labels."""
+                        token_text: str = "token", labels: dict[str, str] | None = None,
+                        clause_order: Sequence[str] = ("sent_no", "clause_no"),
+                        token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause",
+                        pos: str = "pos", neg: str = "neg") -> DataFrame:
+    """A2 -> A3 -> A4 in one pass over the clauses.
+
+    Every clause is exploded to the positions it covers (an empty span keeps one
+    row), left-joined with the ranked tokens on ``(report, position)`` and
+    aggregated back per clause: no second read of the clause table.
+    """
     labels = labels or {"aggression": "agressie", "cause": "aanleiding"}
-    aligned = align_tokens(clauses, filter_tokens(tokens, token_text), report_col)
-    return project_labels(clauses, aligned, labels)
+    cl = _spans(clauses, report_col, clause_order, clause_col)
+    keep = [c for c in clauses.columns]
+    covered = cl.select(*keep, F.explode_outer(_positions()).alias("pos"))
+    tk = _ranked_tokens(filter_tokens(tokens, token_text), report_col, token_order)
+    tk = tk.select(report_col, "pos", F.lit(1).alias("_t_hit"),
+                   *[F.col(src).alias(f"_t_{out}") for out, src in labels.items()])
+    joined = covered.join(tk, [report_col, "pos"], "left")
+    aggs = [F.first(c).alias(c) for c in keep if c != "clause_id"]
+    aggs += [F.bool_or(F.col(f"_t_{out}") == pos).alias(out) for out in labels]
+    aggs += [F.count("_t_hit").cast("long").alias("n_tokens")]
+    out = joined.groupBy("clause_id").agg(*aggs)
+    for name in labels:
+        out = out.withColumn(name, F.when(F.coalesce(F.col(name), F.lit(False)), F.lit(pos)).otherwise(F.lit(neg)))
+    return out.select(*keep, *labels, "n_tokens")

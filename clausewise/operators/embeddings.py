@@ -4,7 +4,7 @@ Encoders are inputs: either a stored vector table joined in, or a user-supplied
 vectorised function run through ``mapInPandas`` (model loaded once per task,
 Arrow batches).  Everything after that is relational: equi-joins on
 ``(sentence, word)`` / ``vec_id``, ordered folds inside small groups (the
-pieces of one word), and means with the ``Summarizer`` aggregate.
+pieces of one word), and element-wise means per clause or sentence.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.functions.vectors import as_double, mean_vector, vadd, vmid, zeros
+from clausewise.functions.vectors import as_double, bounded_group_mean, mean_vector, vadd, vmid, zeros
 
 
 def attach_hidden_states(df: DataFrame, encoder: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
@@ -67,8 +67,8 @@ def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], tex
 
 def sentence_embedding(words: DataFrame, group: list[str], vec_col: str = "vector",
                        out_col: str = "embedding") -> DataFrame:
-    """Mean over the (merged) word vectors of a sentence."""
-    return words.groupBy(*group).agg(mean_vector(vec_col).alias(out_col), F.count(F.lit(1)).alias("n_words"))
+    """Mean over the (merged) word vectors of a sentence (a bounded group)."""
+    return bounded_group_mean(words, list(group), vec_col, out_col, "n_words")
 
 
 def word_vectors(words: DataFrame, sentence_key: str = "sentence_id", word_col: str = "word",
@@ -87,7 +87,7 @@ def clause_embedding(clause_words: DataFrame, wvec: DataFrame, vectors: DataFram
     ``wvec`` maps ``(sentence, word) -> id_col``; ``vectors`` maps ``id_col -> vec_col``.
     """
     hits = clause_words.join(wvec, [sentence_key, word_col], "inner").join(vectors, id_col, "inner")
-    return hits.groupBy(clause_key).agg(mean_vector(vec_col).alias(vec_col), F.count(F.lit(1)).alias("n_vec"))
+    return bounded_group_mean(hits, [clause_key], vec_col, vec_col, "n_vec")
 
 
 def oov_counts(clause_words: DataFrame, wvec: DataFrame, sentence_key: str = "sentence_id",

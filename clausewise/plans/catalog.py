@@ -345,7 +345,7 @@ def q_distance_buckets(spark, sf):
 
 
 # ---------------------------------------------------------------- embeddings (E*) and similarity (Q*)
-from clausewise.functions.vectors import cosine as _cos, summary as _summ  # noqa: E402
+from clausewise.functions.vectors import bounded_group_mean, summary as _summ  # noqa: E402
 from clausewise.operators import embeddings as E  # noqa: E402
 from clausewise.operators import similarity as Q  # noqa: E402
 
@@ -464,7 +464,7 @@ def q_compare_embeddings(spark, sf):
     mc = E.merge_word_pieces(E.sum_last_layers(D.word_pieces(spark, sf, cl), "layers", 2)
                              .withColumn("j", F.col("j").cast("long")),
                              ["sentence_id", "clause_id"], ["i", "j"])
-    enc_b = mc.groupBy(F.col("clause_id").alias("id")).agg(E.mean_vector("vector").alias("embedding"))
+    enc_b = bounded_group_mean(mc.withColumnRenamed("clause_id", "id"), ["id"], "vector", "embedding")
     out = Q.compare_embeddings(_next_pairs(cl), enc_a, enc_b)
     return out.select("id_a", "id_b", (F.round("cosine_a", 6) + 0.0).alias("cosine_a"),
                       (F.round("cosine_b", 6) + 0.0).alias("cosine_b"))
