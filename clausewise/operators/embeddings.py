@@ -90,6 +90,25 @@ def clause_embedding(clause_words: DataFrame, wvec: DataFrame, vectors: DataFram
     return bounded_group_mean(hits, [clause_key], vec_col, vec_col, "n_vec")
 
 
+def clause_embedding_from_words(words: DataFrame, vectors: DataFrame, has_vector: Column, pos: Column,
+                                sentence_key: str = "sentence_id", clause_key: str = "clause_id",
+                                word_col: str = "word", id_col: str = "vec_id",
+                                vec_col: str = "embedding") -> DataFrame:
+    """E5 + E6 in one pass over the clause words.
+
+    ``words`` holds every word occurrence with its candidate vector id (used
+    where ``has_vector``).  A window over ``(sentence, word)`` gives each
+    occurrence the id of the word's last occurrence in the sentence (the
+    sentence's word map), so the clause table is read once and no map is
+    joined back; then one join to the vectors and one mean per clause.
+    """
+    w = Window.partitionBy(sentence_key, word_col)
+    last = F.max_by(F.when(has_vector, F.col(id_col)), F.when(has_vector, pos)).over(w)
+    hits = (words.withColumn("_vid", last).filter(F.col("_vid").isNotNull())
+                 .select(clause_key, F.col("_vid").alias(id_col)).join(vectors, id_col, "inner"))
+    return bounded_group_mean(hits, [clause_key], vec_col, vec_col, "n_vec")
+
+
 def oov_counts(clause_words: DataFrame, wvec: DataFrame, sentence_key: str = "sentence_id",
                word_col: str = "word") -> DataFrame:
     """Occurrences of words with no vector, per word."""

@@ -63,13 +63,15 @@ def attach_tokens(clauses: DataFrame, annotator=None, schema: str | None = None,
     return tokens.join(clauses.select(key), key, "left_semi")
 
 
-def token_arrays(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
-    """Tokens of a clause gathered into one row, sorted by ``i`` (a clause is a small group).
+def token_arrays(tokens: DataFrame, key: str = "clause_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Tokens of a clause gathered into one row, sorted by ``i`` (a clause is a
+    group bounded by one sentence).  ``carry`` columns are constant per clause
+    and ride along as grouping keys.
 
     Token indices are positions ``0..n-1`` inside the clause, the root points to itself.
     """
     st = F.struct(F.col("i").cast("int").alias("i"), "text", "lemma", "dep", F.col("head").cast("int").alias("head"))
-    return tokens.groupBy(key).agg(F.array_sort(F.collect_list(st)).alias("tokens"))
+    return tokens.groupBy(key, *carry).agg(F.array_sort(F.collect_list(st)).alias("tokens"))
 
 
 def _ancestor_history(toks: DataFrame) -> DataFrame:
@@ -111,14 +113,24 @@ def closure(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
     return anc.select(key, "i", F.posexplode("ancestors").alias("d", "a")).withColumn("d", F.col("d") + 1)
 
 
+def _descendant_edges(hist_rows: DataFrame, key: str) -> DataFrame:
+    """``(key, a, u, text)``: token ``u`` (with its text) lies below ``a``; from the row's ancestor arrays."""
+    per = F.flatten(F.transform("tokens", lambda t: F.transform(
+        _ancestors_of(t["i"]), lambda a: F.struct(a.alias("a"), t["i"].alias("u"), t["text"].alias("text")))))
+    return hist_rows.select(key, F.inline_outer(per)).filter(F.col("a").isNotNull())
+
+
+def _subtree_from_rows(hist_rows: DataFrame, key: str) -> DataFrame:
+    return _descendant_edges(hist_rows, key).groupBy(key, F.col("a").alias("head")).agg(
+        F.array_sort(F.collect_list("u")).alias("descendants"),
+        F.bool_or(F.col("text") == '"').alias("quoted"),
+        F.count(F.lit(1)).alias("n_descendants"))
+
+
 def subtree(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
     """All transitive children of every token that has any:
     ``(key, head, descendants array<int>, quoted boolean, n_descendants)``."""
-    edges = closure(tokens, key).join(tokens.select(key, "i", "text"), [key, "i"], "inner")
-    return edges.groupBy(key, F.col("a").alias("head")).agg(
-        F.array_sort(F.collect_list("i")).alias("descendants"),
-        F.bool_or(F.col("text") == '"').alias("quoted"),
-        F.count(F.lit(1)).alias("n_descendants"))
+    return _subtree_from_rows(_ancestor_history(token_arrays(tokens, key)), key)
 
 
 def tokens_by_ids(tokens_col: Column, ids: Column) -> Column:
@@ -129,20 +141,35 @@ def tokens_by_ids(tokens_col: Column, ids: Column) -> Column:
 def verb_frames(tokens: DataFrame, rels: Sequence[str] = FRAME_RELATIONS, key: str = "clause_id") -> DataFrame:
     """One frame per head that has children in ``rels``: per relation the text of
     the last such child, the head's lemma, the lemma of the head's own head (itself
-    for a root), and the head's descendants."""
-    rel_tok = tokens.filter(F.col("dep").isin(*rels) & (F.col("head") != F.col("i")))
-    roles = [F.max_by(F.when(F.col("dep") == r, F.col("text")), F.when(F.col("dep") == r, F.col("i"))).alias(
-        r.replace(":", "_")) for r in rels]
-    frames = rel_tok.groupBy(key, "head").agg(*roles)
-    tk = tokens.select(key, F.col("i").alias("head"), "lemma", F.col("head").alias("hh"))
-    hh = tokens.select(key, F.col("i").alias("hh"), F.col("lemma").alias("head_lemma"))
-    st = subtree(tokens, key)
-    return (frames.join(tk, [key, "head"], "inner").join(hh, [key, "hh"], "left")
-                  .join(st, [key, "head"], "left")
+    for a root), and the head's descendants.
+
+    The token table is read once: frames are built inside each clause row, the
+    descendants come from the same rows' ancestor arrays."""
+    rows = _ancestor_history(token_arrays(tokens, key))
+
+    def tok(i):
+        return F.try_element_at(F.col("tokens"), (i + 1).cast("int"))
+
+    def is_rel(t):
+        return t["dep"].isin(*rels) & (t["head"] != t["i"])
+
+    heads = F.array_sort(F.array_distinct(F.transform(F.filter("tokens", is_rel), lambda t: t["head"])))
+
+    def child_of(v, r):
+        return lambda t: (t["head"] == v) & (t["dep"] == r) & (t["i"] != v)
+
+    def frame(v):
+        roles = [F.try_element_at(F.filter("tokens", child_of(v, r)), F.lit(-1))["text"].alias(r.replace(":", "_"))
+                 for r in rels]
+        return F.struct(v.alias("head"), *roles, tok(v)["lemma"].alias("lemma"),
+                        tok(tok(v)["head"])["lemma"].alias("head_lemma"))
+
+    frames = rows.select(key, F.inline_outer(F.transform(heads, frame))).filter(F.col("head").isNotNull())
+    st = _subtree_from_rows(rows, key)
+    return (frames.join(st, [key, "head"], "left")
                   .withColumn("descendants", F.coalesce("descendants", F.array().cast("array<int>")))
                   .withColumn("quoted", F.coalesce("quoted", F.lit(False)))
-                  .withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long"))
-                  .drop("hh"))
+                  .withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long")))
 
 
 def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERBS,
@@ -198,8 +225,7 @@ def clauses_from_parse(tokens: DataFrame, key: str = "clause_id", group: Sequenc
     ``tokens`` carries ``key`` plus the ``group``/``order`` columns of its span.
     """
     from pyspark.sql import Window
-    meta = tokens.select(key, *group, *order).distinct()
-    h = _ancestor_history(token_arrays(tokens, key))
+    h = _ancestor_history(token_arrays(tokens, key, carry=[*group, *order]))
     idx = F.sequence(F.lit(0), F.size("tokens") - 1)
 
     def chead(t):
@@ -213,7 +239,7 @@ def clauses_from_parse(tokens: DataFrame, key: str = "clause_id", group: Sequenc
     chunks = F.transform(heads, lambda hd: F.struct(hd.alias("clause_head"), F.trim(F.array_join(F.transform(
         F.filter(idx, lambda t: F.element_at(F.col("ch"), t + 1) == hd),
         lambda t: F.trim(F.element_at(F.col("tokens"), t + 1)["text"])), " ")).alias("text")))
-    parts = h.select(key, F.posexplode(chunks).alias("sub_no", "c")).join(meta, key, "inner")
+    parts = h.select(key, *group, *order, F.posexplode_outer(chunks).alias("sub_no", "c")).filter("c IS NOT NULL")
     w = Window.partitionBy(*group).orderBy(*order, "sub_no")
     numbered = parts.withColumn("parse_clause_no", F.row_number().over(w).cast("long"))
     return numbered.filter(F.col("c.text") != "").select(

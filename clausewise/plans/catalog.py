@@ -359,7 +359,10 @@ def _wmap(spark, sf, cl=None):
 
 def _clause_emb(spark, sf, cl=None):
     cl = cl if cl is not None else D.clauses(spark, sf)
-    return E.clause_embedding(D.clause_word_rows(cl), _wmap(spark, sf, cl), D.vectors(spark, sf))
+    words = D.clause_word_rows(cl)
+    vid = D.vec_hash(F.col("word"), D.n_vectors(spark, sf), F.col("clause_no"))
+    return E.clause_embedding_from_words(words.withColumn("vec_id", vid), D.vectors(spark, sf),
+                                         F.col("word").rlike("^[a-z]"), F.struct("clause_no", "i"))
 
 
 @register("word_vectors", _VEC() + "SELECT sentence_id, word, vec_id FROM wmap")
