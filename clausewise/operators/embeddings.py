@@ -45,17 +45,19 @@ def sum_last_layers(df: DataFrame, layers_col: str = "layers", k: int = 2, out_c
     return df.withColumn(out_col, summed)
 
 
-def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
-                      vec_col: str = "vector", prefix: str = "##") -> DataFrame:
-    """Fold continuation pieces (``##...``) into the word before them.
-
-    Left to right, each continuation is averaged with the running word vector:
-    pieces ``a, ##b, ##c`` give ``((a + b) / 2 + c) / 2`` (not the plain mean).
-    Returns ``group + [word_idx, word, vec_col]``; ``word_idx`` is 1-based.
-    """
+def word_index(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
+               prefix: str = "##") -> DataFrame:
+    """1-based ``word_idx`` of every piece: running count of word starts (pieces
+    not beginning with ``prefix``).  Run it before vectors are attached, so the
+    window sorts narrow rows."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     starts = (~F.col(text_col).startswith(prefix)).cast("int")
-    tagged = pieces.withColumn("word_idx", F.sum(starts).over(w).cast("long"))
+    return pieces.withColumn("word_idx", F.sum(starts).over(w).cast("long"))
+
+
+def fold_pieces(tagged: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
+                vec_col: str = "vector", prefix: str = "##") -> DataFrame:
+    """Fold the pieces of each ``word_idx`` left to right (see :func:`merge_word_pieces`)."""
     seq = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
                                                F.regexp_replace(F.col(text_col), "^" + prefix, "").alias("t"),
                                                as_double(vec_col).alias("v"))))
@@ -65,6 +67,17 @@ def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], tex
                           fold.alias(vec_col))
 
 
+def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
+                      vec_col: str = "vector", prefix: str = "##") -> DataFrame:
+    """Fold continuation pieces (``##...``) into the word before them.
+
+    Left to right, each continuation is averaged with the running word vector:
+    pieces ``a, ##b, ##c`` give ``((a + b) / 2 + c) / 2`` (not the plain mean).
+    Returns ``group + [word_idx, word, vec_col]``; ``word_idx`` is 1-based.
+    """
+    return fold_pieces(word_index(pieces, group, order, text_col, prefix), group, order, text_col, vec_col, prefix)
+
+
 def sentence_embedding(words: DataFrame, group: list[str], vec_col: str = "vector",
                        out_col: str = "embedding") -> DataFrame:
     """Mean over the (merged) word vectors of a sentence (a bounded group)."""

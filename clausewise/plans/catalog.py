@@ -401,14 +401,20 @@ def q_sum_layers(spark, sf):
                      *_summ("vector", "vec"))
 
 
-def _pieces_summed(spark, sf):
-    return E.sum_last_layers(D.word_pieces(spark, sf), "layers", 2).withColumn("j", F.col("j").cast("long"))
+def _pieces_summed(spark, sf, index_by=None, order=None, cl=None):
+    pieces = D.word_pieces(spark, sf, cl, index_by=index_by, order=order)
+    return E.sum_last_layers(pieces, "layers", 2).withColumn("j", F.col("j").cast("long"))
+
+
+def _merged(spark, sf, group, order, cl=None):
+    """E3 with the word index computed on narrow rows, before the vectors are attached."""
+    return E.fold_pieces(_pieces_summed(spark, sf, group, order, cl), group, order)
 
 
 @register("merge_pieces", _VEC(*O.PIECE_CTES, O.merged_cte("mw", "sentence_id", "clause_no, i, j")) +
           f"SELECT sentence_id, word_idx, word, {O.vsum_sql('v')} AS vec_sum, {O.vnorm_sql('v')} AS vec_norm FROM mw")
 def q_merge_pieces(spark, sf):
-    mw = E.merge_word_pieces(_pieces_summed(spark, sf), ["sentence_id"], ["clause_no", "i", "j"])
+    mw = _merged(spark, sf, ["sentence_id"], ["clause_no", "i", "j"])
     return mw.select("sentence_id", "word_idx", "word", *_summ("vector", "vec"))
 
 
@@ -418,7 +424,7 @@ def q_merge_pieces(spark, sf):
           "SELECT sentence_id, max(n)::BIGINT AS n_words, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
           "AS emb_norm FROM sd GROUP BY sentence_id")
 def q_sentence_embedding(spark, sf):
-    mw = E.merge_word_pieces(_pieces_summed(spark, sf), ["sentence_id"], ["clause_no", "i", "j"])
+    mw = _merged(spark, sf, ["sentence_id"], ["clause_no", "i", "j"])
     se = E.sentence_embedding(mw, ["sentence_id"], "vector")
     return se.select("sentence_id", "n_words", *_summ("embedding", "emb"))
 
@@ -464,9 +470,7 @@ def q_vector_lookup(spark, sf):
 def q_compare_embeddings(spark, sf):
     cl = D.clauses(spark, sf)
     enc_a = _clause_emb(spark, sf, cl).withColumnRenamed("clause_id", "id")
-    mc = E.merge_word_pieces(E.sum_last_layers(D.word_pieces(spark, sf, cl), "layers", 2)
-                             .withColumn("j", F.col("j").cast("long")),
-                             ["sentence_id", "clause_id"], ["i", "j"])
+    mc = _merged(spark, sf, ["sentence_id", "clause_id"], ["i", "j"], cl)
     enc_b = bounded_group_mean(mc.withColumnRenamed("clause_id", "id"), ["id"], "vector", "embedding")
     out = Q.compare_embeddings(_next_pairs(cl), enc_a, enc_b)
     return out.select("id_a", "id_b", (F.round("cosine_a", 6) + 0.0).alias("cosine_a"),
@@ -563,10 +567,14 @@ FEATURE_THREATS = ["to", "de"]
 
 
 def _feature_parts(spark, sf):
+    """Clause embeddings and gold labels feed both the centroid (a scalar
+    subquery) and the feature joins; they are written once to the checkpoint
+    folder instead of being recomputed by each consumer."""
+    from clausewise.session import cut_lineage
     cl = D.clauses(spark, sf)
     toks = D.parse_tokens(spark, sf, cl)
-    emb = _clause_emb(spark, sf, cl)
-    gold = A.project_annotations(cl, D.report_tokens(spark, sf))
+    emb = cut_lineage(_clause_emb(spark, sf, cl))
+    gold = cut_lineage(A.project_annotations(cl, D.report_tokens(spark, sf)))
     return cl, toks, emb, gold
 
 

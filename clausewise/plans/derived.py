@@ -149,9 +149,12 @@ def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = No
     return w.withColumn("vec_id", vec_hash(F.col("word"), n_vectors(spark, sf_dir), F.col("clause_no")))
 
 
-def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
+def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None, index_by: list | None = None,
+                order: list | None = None) -> DataFrame:
     """Word pieces of every vector word: 6-letter slices, later ones prefixed ``##``;
-    two hidden layers per piece taken from the vector table (ids h and h + 1)."""
+    two hidden layers per piece taken from the vector table (ids h and h + 1).
+    With ``index_by``/``order`` the word index is computed before the layers are
+    attached (narrow rows through the window)."""
     occ = word_occurrences(spark, sf_dir, cl)
     k = F.floor((F.length("word") + PIECE_LEN - 1) / PIECE_LEN).cast("int")
     pieces = occ.select("sentence_id", "clause_id", "clause_no", "i", F.posexplode(F.transform(
@@ -160,6 +163,9 @@ def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -
                            F.substr(F.col("word"), j * PIECE_LEN + 1, F.lit(PIECE_LEN))))).alias("j", "piece"))
     n = n_vectors(spark, sf_dir)
     pieces = pieces.withColumn("h0", vec_hash(F.col("piece"), n)).withColumn("h1", (F.col("h0") + 1) % n)
+    if index_by is not None:
+        from clausewise.operators.embeddings import word_index
+        pieces = word_index(pieces, index_by, order)
     v = vectors(spark, sf_dir)
     return (pieces.join(v.select(F.col("vec_id").alias("h0"), F.col("embedding").alias("l0")), "h0")
                   .join(v.select(F.col("vec_id").alias("h1"), F.col("embedding").alias("l1")), "h1")
