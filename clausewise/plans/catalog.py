@@ -397,7 +397,7 @@ def q_default_vectors(spark, sf):
           f"SELECT sentence_id, clause_no, i, j, piece, {O.vsum_sql('v')} AS vec_sum, {O.vnorm_sql('v')} AS vec_norm FROM pv")
 def q_sum_layers(spark, sf):
     pv = E.sum_last_layers(D.word_pieces(spark, sf), "layers", 2)
-    return pv.select("sentence_id", "clause_no", "i", F.col("j").cast("long").alias("j"), "piece",
+    return pv.select("sentence_id", "clause_no", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "piece",
                      *_summ("vector", "vec"))
 
 
@@ -822,3 +822,53 @@ def q_event_precursors_indexed(spark, sf):
                        strategy="indexed")
     return pre.select("user_id", "event_id", "event_type", F.col("trigger_of").alias("trigger_event_id"),
                       "precursor_distance")
+
+
+# ---------------------------------------------------------------- hooks (P1, E1) through mapInPandas
+_HOOK_DEPS = D.DEPS
+
+
+def _stand_in_parser(pdf):
+    """Deterministic stand-in for a dependency parser (per Arrow batch): the same
+    heap-shaped tree as the synthetic parse table."""
+    import pandas as pd
+    import regex
+    out = {k: [] for k in ("clause_id", "i", "text", "lemma", "dep", "head")}
+    for cid, clause in zip(pdf["clause_id"], pdf["clause"]):
+        words = [w for w in (clause or "").split(" ") if w]
+        for i, w in enumerate(words):
+            out["clause_id"].append(cid)
+            out["i"].append(i)
+            out["text"].append(w)
+            out["lemma"].append(regex.sub(r"[^\p{L}]", "", w))
+            out["dep"].append("ROOT" if i == 0 else _HOOK_DEPS[(len(w) + i) % 8])
+            out["head"].append(0 if i == 0 else (i - 1) // 2)
+    return pd.DataFrame(out, columns=list(out)).astype({"i": "int32", "head": "int32"})
+
+
+def _stand_in_encoder(pdf):
+    """Deterministic stand-in for a sentence encoder: four text statistics."""
+    import pandas as pd
+    vecs = [[float(len(c)), float(len([w for w in c.split(" ") if w])), float(c.count("a")), float(c.count("e"))]
+            for c in pdf["clause"].fillna("")]
+    return pd.DataFrame({"clause_id": pdf["clause_id"], "vector": vecs})
+
+
+@register("token_hook", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok")
+def q_token_hook(spark, sf):
+    cl = D.clauses(spark, sf).select("clause_id", "clause")
+    toks = P.attach_tokens(cl, annotator=_stand_in_parser,
+                           schema="clause_id string, i int, text string, lemma string, dep string, head int")
+    return toks.select("clause_id", F.col("i").cast("long").alias("i"), "text", "lemma", "dep",
+                       F.col("head").cast("long").alias("head"))
+
+
+@register("vector_hook", O.with_clauses() +
+          "SELECT clause_id, round((length(clause) + len(list_filter(string_split(clause, ' '), lambda x: x <> '')) + "
+          "(length(clause) - length(replace(clause, 'a', ''))) + (length(clause) - length(replace(clause, 'e', ''))))::DOUBLE, 6) "
+          "+ 0.0 AS vec_sum FROM clauses")
+def q_vector_hook(spark, sf):
+    cl = D.clauses(spark, sf).select("clause_id", "clause")
+    enc = E.attach_hidden_states(cl, encoder=_stand_in_encoder, schema="clause_id string, vector array<double>")
+    from clausewise.functions.vectors import vsum
+    return enc.select("clause_id", (F.round(vsum("vector"), 6) + 0.0).alias("vec_sum"))
