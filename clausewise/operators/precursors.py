@@ -46,6 +46,8 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
     only the precursor rows.  ``strategy="indexed"`` selects the skew-proof
     plan (see :func:`precursors_indexed`); the order must be total (unique).
     """
+    if strategy == "auto":
+        strategy = choose_strategy(df, partition)
     if strategy == "indexed":
         return precursors_indexed(df, partition, order, is_trigger, n, include_leading_trigger, trigger_id)
     w = Window.partitionBy(*_cols(partition)).orderBy(*_cols(order))
@@ -63,6 +65,22 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
                .drop("_trig", "_rn", "_next"))
 
 
+def choose_strategy(df: DataFrame, partition: Sequence[str], max_rows_per_key: int = 20_000_000,
+                    max_share: float | None = None) -> str:
+    """``"indexed"`` when the largest sequence key is too big for one task, else ``"window"``.
+
+    One aggregation over the key columns only (partial counts map-side, one row
+    per key after the shuffle, a single scalar to the driver).  A key is too
+    big when it has more than ``max_rows_per_key`` rows or, if given, more than
+    ``max_share`` of all rows."""
+    counts = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
+    row = counts.agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
+    if row is None or row.mx is None:
+        return "window"
+    too_big = row.mx > max_rows_per_key or (max_share is not None and row.tot and row.mx / row.tot > max_share)
+    return "indexed" if too_big else "window"
+
+
 def sequence_index(df: DataFrame, partition: Sequence[str], order: Sequence[str],
                    num_partitions: int | None = None) -> DataFrame:
     """Consecutive global index ``_g`` over the rows sorted by ``(partition, order)``.

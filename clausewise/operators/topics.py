@@ -82,7 +82,10 @@ def cluster_density(df: DataFrame, id_col: str = "id", vec_col: str = "embedding
     cell_label = labels.unionByName(border)
     lab = pts.join(cell_label, "cell", "left")
     sizes = lab.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    ranked = sizes.withColumn("topic", (F.row_number().over(Window.orderBy(F.desc("size"), "label")) - 1).cast("long"))
+    # topic numbers by size (largest first): a distributed consecutive index, no single-task window
+    from clausewise.operators.precursors import sequence_index
+    ranked = sequence_index(sizes.withColumn("_neg", -F.col("size")), [], ["_neg", "label"]).withColumn(
+        "topic", F.col("_g").cast("long"))
     return (lab.join(ranked.select("label", "topic"), "label", "left")
                .select(id_col, F.coalesce("topic", F.lit(OUTLIER).cast("long")).alias("topic")))
 

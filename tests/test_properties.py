@@ -51,3 +51,6 @@ def test_indexed_plan_with_one_hot_key(spark):
     a = W.precursors(df, ["r"], ["i"], F.col("t"), 7, trigger_id="i")
     b = W.precursors(df, ["r"], ["i"], F.col("t"), 7, trigger_id="i", strategy="indexed")
     assert a.exceptAll(b.select(a.columns)).count() == 0 and b.select(a.columns).exceptAll(a).count() == 0
+    assert W.choose_strategy(df, ["r"], max_rows_per_key=1000) == "indexed"
+    assert W.choose_strategy(df, ["r"]) == "window"
+    assert W.choose_strategy(df, ["r"], max_share=0.5) == "indexed"
