@@ -2,10 +2,11 @@
 
 Token annotations come one row per token; clauses one row per clause.  The
 k-th clause of a report covers the next ``len(words)`` tokens of the report.
-Both sides get a position in the report (running window sums), each clause is
-exploded to the positions it covers, and the tokens are matched with an
-equi-join on ``(report, position)`` - a unique key, so the join is evenly
-hashed and never pairs a clause with tokens it does not cover.
+Both sides get a position in the report (running window sums); then clause
+start markers and token rows are merged in position order and one running
+window hands every token to the last clause that started before it (if the
+token lies inside that clause's span).  No clause is exploded to its
+positions, so the data stays linear even for very long clauses.
 """
 
 from __future__ import annotations
@@ -46,18 +47,42 @@ def _positions() -> Column:
              .otherwise(F.array().cast("array<long>")))
 
 
+def _owned_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str, clause_order: Sequence[str],
+                  token_order: Sequence[str], clause_col: str) -> DataFrame:
+    """Union of clause markers (``_kind = 1``) and tokens (``_kind = 0``) with ``_own``:
+    the owning clause (a struct of its columns and span) or null."""
+    cl = _spans(clauses, report_col, clause_order, clause_col)
+    ccols = [c for c in clauses.columns]
+    own = F.struct(*[F.col(c) for c in ccols], "n_words", "span_end")
+    tk = _ranked_tokens(tokens, report_col, token_order)
+    tcols = [c for c in tk.columns if c not in (report_col, "pos")]
+    marker = cl.select(report_col, F.col("span_start").alias("_key"), F.lit(1).alias("_kind"), own.alias("_c"),
+                       *[F.lit(None).cast(tk.schema[c].dataType).alias(c) for c in tcols])
+    tok = tk.select(report_col, F.col("pos").alias("_key"), F.lit(0).alias("_kind"),
+                    F.lit(None).cast(marker.schema["_c"].dataType).alias("_c"), *tcols)
+    u = marker.unionByName(tok)
+    w = (Window.partitionBy(report_col)
+         .orderBy("_key", "_kind", *[F.col("_c")[c] for c in clause_order])
+         .rowsBetween(Window.unboundedPreceding, 0))
+    last = F.last("_c", ignorenulls=True).over(w)
+    u = u.withColumn("_own", F.when(F.col("_kind") == 1, F.col("_c")).otherwise(last))
+    inside = (F.col("_kind") == 1) | (F.col("_own").isNotNull() & (F.col("_key") <= F.col("_own")["span_end"]))
+    return u.withColumn("_own", F.when(inside, F.col("_own")))
+
+
 def align_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str = "report_id",
                  clause_order: Sequence[str] = ("sent_no", "clause_no"),
                  token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause") -> DataFrame:
-    """A3: one row per (clause, covered token): clause columns + the token's columns.
+    """A3: one row per (clause, covered token): ``report, clause_id, pos`` + the token's columns.
 
     Clauses get ``n_words`` and a span ``(span_start, span_end]`` from a running
-    sum; tokens get their rank in the report.  A clause with no words has an
-    empty span (it is kept by the projection, not dropped).
+    sum; tokens get their rank in the report.  A clause with no words covers no
+    token (it is kept by the projection, not dropped).
     """
-    cl = _spans(clauses, report_col, clause_order, clause_col)
-    covered = cl.select(report_col, "clause_id", F.explode(_positions()).alias("pos"))
-    return covered.join(_ranked_tokens(tokens, report_col, token_order), [report_col, "pos"], "inner")
+    u = _owned_tokens(clauses, tokens, report_col, clause_order, token_order, clause_col)
+    tcols = [c for c in tokens.columns if c != report_col]
+    return u.filter((F.col("_kind") == 0) & F.col("_own").isNotNull()).select(
+        report_col, F.col("_own")["clause_id"].alias("clause_id"), F.col("_key").alias("pos"), *tcols)
 
 
 def project_labels(clauses: DataFrame, aligned: DataFrame, label_cols: dict[str, str],
@@ -91,24 +116,21 @@ def project_annotations(clauses: DataFrame, tokens: DataFrame, report_col: str =
                         clause_order: Sequence[str] = ("sent_no", "clause_no"),
                         token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause",
                         pos: str = "pos", neg: str = "neg") -> DataFrame:
-    """A2 -> A3 -> A4 in one pass over the clauses.
+    """A2 -> A3 -> A4 in one pass over clauses and tokens.
 
-    Every clause is exploded to the positions it covers (an empty span keeps one
-    row), left-joined with the ranked tokens on ``(report, position)`` and
-    aggregated back per clause: no second read of the clause table.
+    Tokens are handed to their clause by the position merge; one aggregation per
+    clause gives its labels and token count, and the clause columns travel on
+    the clause's own marker row (no second read of the clause table).
     """
     labels = labels or {"aggression": "agressie", "cause": "aanleiding"}
-    cl = _spans(clauses, report_col, clause_order, clause_col)
-    keep = [c for c in clauses.columns]
-    covered = cl.select(*keep, F.explode_outer(_positions()).alias("pos"))
-    tk = _ranked_tokens(filter_tokens(tokens, token_text), report_col, token_order)
-    tk = tk.select(report_col, "pos", F.lit(1).alias("_t_hit"),
-                   *[F.col(src).alias(f"_t_{out}") for out, src in labels.items()])
-    joined = covered.join(tk, [report_col, "pos"], "left")
-    aggs = [F.first(c).alias(c) for c in keep if c != "clause_id"]
-    aggs += [F.bool_or(F.col(f"_t_{out}") == pos).alias(out) for out in labels]
-    aggs += [F.count("_t_hit").cast("long").alias("n_tokens")]
-    out = joined.groupBy("clause_id").agg(*aggs)
+    u = _owned_tokens(clauses, filter_tokens(tokens, token_text), report_col, clause_order, token_order, clause_col)
+    tok = F.col("_kind") == 0
+    aggs = [F.first(F.when(F.col("_kind") == 1, F.col("_own")), ignorenulls=True).alias("_c")]
+    aggs += [F.bool_or(tok & (F.col(src) == pos)).alias(out) for out, src in labels.items()]
+    aggs += [F.count_if(tok).cast("long").alias("n_tokens")]
+    out = u.filter(F.col("_own").isNotNull()).groupBy(F.col("_own")["clause_id"].alias("_id")).agg(*aggs)
+    keep = list(clauses.columns)
+    out = out.select(*[F.col("_c")[c].alias(c) for c in keep], *labels, "n_tokens")
     for name in labels:
         out = out.withColumn(name, F.when(F.coalesce(F.col(name), F.lit(False)), F.lit(pos)).otherwise(F.lit(neg)))
-    return out.select(*keep, *labels, "n_tokens")
+    return out
