@@ -47,33 +47,32 @@ def sum_last_layers(df: DataFrame, layers_col: str = "layers", k: int = 2, out_c
 
 def word_index(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
                prefix: str = "##") -> DataFrame:
-    """1-based ``word_idx`` of every piece (running count of word starts, pieces
-    not beginning with ``prefix``) and ``single``: the piece is a whole word.
-    Run it before vectors are attached, so the window sorts narrow rows."""
-    w = Window.partitionBy(*group).orderBy(*order)
+    """1-based ``word_idx`` of every piece: running count of word starts (pieces
+    not beginning with ``prefix``).  Run it before vectors are attached, so the
+    window sorts narrow rows."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     starts = (~F.col(text_col).startswith(prefix)).cast("int")
-    nxt = F.lead(F.col(text_col)).over(w)
-    return (pieces.withColumn("word_idx", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-                  .withColumn("single", (starts == 1) & (nxt.isNull() | ~nxt.startswith(prefix))))
+    return pieces.withColumn("word_idx", F.sum(starts).over(w).cast("long"))
 
 
 def fold_pieces(tagged: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
                 vec_col: str = "vector", prefix: str = "##") -> DataFrame:
     """Fold the pieces of each ``word_idx`` left to right (see :func:`merge_word_pieces`).
 
-    Whole words (``single``) pass straight through; only words made of several
-    pieces are gathered, so most vectors never cross a shuffle here."""
-    singles = tagged.filter("single").select(*group, "word_idx", F.col(text_col).alias("word"),
-                                             as_double(vec_col).alias(vec_col))
-    multi = tagged.filter(~F.col("single"))
-    seq = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                               F.regexp_replace(F.col(text_col), "^" + prefix, "").alias("t"),
-                                               as_double(vec_col).alias("v"))))
-    grouped = multi.groupBy(*group, "word_idx").agg(seq.alias("seq"))
-    fold = F.aggregate(F.slice("seq", 2, F.size("seq")), F.element_at("seq", 1)["v"], lambda acc, s: vmid(acc, s["v"]))
-    merged = grouped.select(*group, "word_idx", F.array_join(F.transform("seq", lambda s: s["t"]), "").alias("word"),
-                            fold.alias(vec_col))
-    return singles.unionByName(merged)
+    The pieces of a word are gathered with a window partitioned by
+    ``group + word_idx``; rows already hash-partitioned by ``group`` (by
+    :func:`word_index`) satisfy that distribution, so no further shuffle is
+    needed - only a sort.  One row per word (its first piece) is kept."""
+    w = Window.partitionBy(*group, "word_idx").orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                                                          Window.unboundedFollowing)
+    item = F.struct(*[F.col(c) for c in order], F.regexp_replace(F.col(text_col), "^" + prefix, "").alias("t"),
+                    as_double(vec_col).alias("v"))
+    x = tagged.withColumn("_seq", F.array_sort(F.collect_list(item).over(w))).filter(
+        ~F.col(text_col).startswith(prefix))
+    fold = F.aggregate(F.slice("_seq", 2, F.size("_seq")), F.element_at("_seq", 1)["v"],
+                       lambda acc, s: vmid(acc, s["v"]))
+    return x.select(*group, "word_idx", F.array_join(F.transform("_seq", lambda s: s["t"]), "").alias("word"),
+                    fold.alias(vec_col))
 
 
 def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
