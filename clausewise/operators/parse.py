@@ -114,16 +114,17 @@ def closure(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
 
 
 def _descendant_edges(hist_rows: DataFrame, key: str) -> DataFrame:
-    """``(key, a, u, text)``: token ``u`` (with its text) lies below ``a``; from the row's ancestor arrays."""
+    """``(key, a, u, quote)``: token ``u`` lies below ``a`` (``quote``: u is a double
+    quote); from the row's ancestor arrays.  Only a flag travels, not the text."""
     per = F.flatten(F.transform("tokens", lambda t: F.transform(
-        _ancestors_of(t["i"]), lambda a: F.struct(a.alias("a"), t["i"].alias("u"), t["text"].alias("text")))))
+        _ancestors_of(t["i"]), lambda a: F.struct(a.alias("a"), t["i"].alias("u"), (t["text"] == '"').alias("quote")))))
     return hist_rows.select(key, F.inline_outer(per)).filter(F.col("a").isNotNull())
 
 
 def _subtree_from_rows(hist_rows: DataFrame, key: str) -> DataFrame:
     return _descendant_edges(hist_rows, key).groupBy(key, F.col("a").alias("head")).agg(
         F.array_sort(F.collect_list("u")).alias("descendants"),
-        F.bool_or(F.col("text") == '"').alias("quoted"),
+        F.bool_or("quote").alias("quoted"),
         F.count(F.lit(1)).alias("n_descendants"))
 
 
