@@ -28,6 +28,9 @@ def attach_hidden_states(df: DataFrame, encoder: Callable[[pd.DataFrame], pd.Dat
     ``stored``, the stored table is equi-joined on ``key`` instead.
     """
     if encoder is not None:
+        from clausewise.session import ship_package
+        ship_package(df.sparkSession)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield encoder(b)

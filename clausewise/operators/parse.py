@@ -54,6 +54,9 @@ def attach_tokens(clauses: DataFrame, annotator=None, schema: str | None = None,
     ``mapInPandas``, or equi-join an existing token table on ``key``.
     """
     if annotator is not None:
+        from clausewise.session import ship_package
+        ship_package(clauses.sparkSession)
+
         def run(batches):
             for b in batches:
                 yield annotator(b)

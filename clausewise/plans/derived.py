@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausewise.constants import CAUSE_WORDS, TEST_LEXICON
 from clausewise.functions.text import lexicon_regex, normalize_text, word_list
 from clausewise.operators.segment import clause_array, explode_structs, with_ids
-from clausewise.session import spread
+from clausewise.session import ship_package, spread
 
 DEV_SHARE = 7   # dev/test split of reports: doc_id % 10 < 7 is dev, the rest is test
 
@@ -24,6 +24,7 @@ TEXT_TABLES = ("documents", "pages", "conversations")
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, heavy: bool | None = None) -> DataFrame:
     """Pruned scan.  Scans that carry long texts are spread over the default
     parallelism when they arrive in fewer partitions (see :func:`spread`)."""
+    ship_package(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
     if heavy is None:

@@ -37,6 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +80,34 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``clausewise`` importable in the Python workers of every executor.
+
+    Python UDFs and ``mapInPandas`` functions defined in this package are
+    pickled by reference; the package is zipped once per application and
+    distributed with ``SparkContext.addPyFile`` (the standard way to ship
+    Python code to a cluster)."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import clausewise
+    root = os.path.dirname(os.path.abspath(clausewise.__file__))
+    parent = os.path.dirname(root)
+    path = os.path.join(tempfile.mkdtemp(prefix="clausewise-pkg-"), "clausewise.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, dirs, files in os.walk(root):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

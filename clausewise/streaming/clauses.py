@@ -27,6 +27,8 @@ def read_report_stream(spark: SparkSession, folder: str, glob: str | None = None
                        text_col: str = "text", max_files_per_trigger: int | None = None) -> DataFrame:
     """Reports arriving as Parquet files in ``folder`` (only names matching ``glob``
     when given); the schema is taken from the files present at start."""
+    from clausewise.session import ship_package
+    ship_package(spark)
     batch = spark.read.option("pathGlobFilter", glob).parquet(folder) if glob else spark.read.parquet(folder)
     reader = spark.readStream.schema(batch.select(id_col, text_col).schema)
     if glob:
