@@ -147,8 +147,10 @@ def verb_frames(tokens: DataFrame, rels: Sequence[str] = FRAME_RELATIONS, key: s
     the last such child, the head's lemma, the lemma of the head's own head (itself
     for a root), and the head's descendants.
 
-    The token table is read once: frames are built inside each clause row, the
-    descendants come from the same rows' ancestor arrays."""
+    The token table is read once: relation children are exploded from each
+    clause row (head lemmas looked up in the row) and grouped per head, the
+    descendants come from the same rows' ancestor arrays; all linear in the
+    clause length."""
     rows = _ancestor_history(token_arrays(tokens, key))
 
     def tok(i):
@@ -157,18 +159,15 @@ def verb_frames(tokens: DataFrame, rels: Sequence[str] = FRAME_RELATIONS, key: s
     def is_rel(t):
         return t["dep"].isin(*rels) & (t["head"] != t["i"])
 
-    heads = F.array_sort(F.array_distinct(F.transform(F.filter("tokens", is_rel), lambda t: t["head"])))
-
-    def child_of(v, r):
-        return lambda t: (t["head"] == v) & (t["dep"] == r) & (t["i"] != v)
-
-    def frame(v):
-        roles = [F.try_element_at(F.filter("tokens", child_of(v, r)), F.lit(-1))["text"].alias(r.replace(":", "_"))
-                 for r in rels]
-        return F.struct(v.alias("head"), *roles, tok(v)["lemma"].alias("lemma"),
-                        tok(tok(v)["head"])["lemma"].alias("head_lemma"))
-
-    frames = rows.select(key, F.inline_outer(F.transform(heads, frame))).filter(F.col("head").isNotNull())
+    # relation children with their head's lemma and the head's head's lemma (looked up in the row)
+    kids = F.transform(F.filter("tokens", is_rel), lambda t: F.struct(
+        t["i"].alias("i"), t["text"].alias("text"), t["dep"].alias("dep"), t["head"].alias("head"),
+        tok(t["head"])["lemma"].alias("lemma"), tok(tok(t["head"])["head"])["lemma"].alias("head_lemma")))
+    edges = rows.select(key, F.inline_outer(kids)).filter(F.col("head").isNotNull())
+    roles = [F.max_by(F.when(F.col("dep") == r, F.col("text")), F.when(F.col("dep") == r, F.col("i"))).alias(
+        r.replace(":", "_")) for r in rels]
+    frames = edges.groupBy(key, "head").agg(*roles, F.first("lemma").alias("lemma"),
+                                            F.first("head_lemma").alias("head_lemma"))
     st = _subtree_from_rows(rows, key)
     return (frames.join(st, [key, "head"], "left")
                   .withColumn("descendants", F.coalesce("descendants", F.array().cast("array<int>")))
