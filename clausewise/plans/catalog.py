@@ -872,3 +872,13 @@ def q_vector_hook(spark, sf):
     enc = E.attach_hidden_states(cl, encoder=_stand_in_encoder, schema="clause_id string, vector array<double>")
     from clausewise.functions.vectors import vsum
     return enc.select("clause_id", (F.round(vsum("vector"), 6) + 0.0).alias("vec_sum"))
+
+
+@register("event_precursors_auto", _EVENT_SQL)
+def q_event_precursors_auto(spark, sf):
+    """event_precursors with the plan chosen from the measured largest user (one aggregation first)."""
+    ev = D.table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
+    pre = W.precursors(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 7, trigger_id="event_id",
+                       strategy="auto")
+    return pre.select("user_id", "event_id", "event_type", F.col("trigger_of").alias("trigger_event_id"),
+                      "precursor_distance")
