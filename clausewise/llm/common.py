@@ -25,14 +25,11 @@ def lower_ascii(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
-def content_key(*cols: Column) -> Column:
-    """64-bit key of a row's content; used beside the id, so that rows that repeat an id stay apart."""
-    return F.xxhash64(*cols)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64-bit key of a document: rows that repeat an id stay apart when their texts differ.
 
-
-def same(a: Column, b: Column) -> Column:
-    """Null-safe equality (null ids are values of their own)."""
-    return a.eqNullSafe(b)
+    Joins on it also compare the id, null-safely."""
+    return F.xxhash64(doc_id, text, doc_id.isNull(), text.isNull())
 
 
 def uniform(h: Column) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import bind, content_key, lower_ascii
+from clausewise.llm.common import bind, lower_ascii, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words, and what lies between them, in a text that is not lower-cased yet.
@@ -98,11 +98,11 @@ def _merged(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_hit``, ``spans`` (merged hit spans in words,
+    """One row per document: id, ``row_key``, ``n_words``, ``n_hit``, ``spans`` (merged hit spans in words,
     0-based, end exclusive), ``items`` (ids as sorted strings), ``contaminated``."""
     windows = benchmark_windows(items, n, item_id, item_text)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    rows = rows.withColumn("_key", content_key(F.col("_text")))
+    rows = rows.withColumn("_key", row_key(F.col("_id"), F.col("_text")))
     found = _probe(rows, windows, n, max_windows, ["_id", "_key"], "_text")
     span = F.when(F.col("len") > 0, F.struct((F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.col("len")).alias("end")))
     grouped = found.groupBy("_id", "_key", "n_words").agg(
@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, doc_id: str = "
     out = grouped.withColumn("spans", spans)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(
-        F.col("_id").alias(doc_id), F.col("_key").alias("text_key"), F.col("n_words").cast("long").alias("n_words"),
+        F.col("_id").alias(doc_id), F.col("_key").alias("row_key"), F.col("n_words").cast("long").alias("n_words"),
         hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
 
 
@@ -124,8 +124,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "drop", n: int
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode must be drop or cut, not {mode}")
     found = (contamination(docs, items, n, doc_id, text, item_id, item_text, max_windows).filter("contaminated")
-             .select(F.col(doc_id).alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"]))
-    on = docs[doc_id].eqNullSafe(F.col("_id")) & (content_key(docs[text]) == F.col("_key"))
+             .select(F.col(doc_id).alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"]))
+    on = docs[doc_id].eqNullSafe(F.col("_id")) & (row_key(docs[doc_id], docs[text]) == F.col("_key"))
     if mode == "drop":
         return docs.join(found, on, "left_anti")
     body = docs[text]
