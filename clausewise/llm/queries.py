@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import decontaminate, fingerprints, pii, quality, sharding, simhash, token_counts, url_filter, warc
+from clausewise.llm import decontaminate, fingerprints, mixing, pii, quality, sharding, simhash, token_counts, url_filter, warc
 from clausewise.llm.common import table
-from clausewise.session import checkpoint_dir
+from clausewise.session import checkpoint_dir, cut_lineage
 
 URL_RULES = [
     url_filter.Rule("allow", "org", "/"),
@@ -20,6 +20,9 @@ URL_RULES = [
     url_filter.Rule("block", "com", "/de/"),
 ]
 SHARDS = 24
+#: Target shares of the tokens by domain.
+MIX = {"en": 0.5, "de": 0.2, "es": 0.15, "fr": 0.15}
+LABELLED = 8_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -62,6 +65,22 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
+    """At most ``rows`` of the documents that ``labels`` covers (those with the smallest hash of
+    their id), with their language as domain: the small labelled table of the mixing classifier."""
+    known = labels.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(rows)
+    return cut_lineage(docs.join(F.broadcast(known), "doc_id", "left_semi").select(F.col("lang").alias("domain"), "text"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated, domains = mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), MIX)
+    posterior = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("again")
+    return rated.select(F.col("_id").alias("doc_id"), "n_tokens", *posterior, "rate", "copies", again).drop("again")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
@@ -77,7 +96,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_quality, op5_simhash,
-                                   op6_token_counts, op7_warc, op9_personal_data, op10_fingerprints)}
+                                   op6_token_counts, op7_warc, op8_mixing, op9_personal_data,
+                                   op10_fingerprints)}
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
