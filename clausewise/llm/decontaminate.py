@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import bind, lower_ascii, row_key
+from clausewise.llm.common import bind, fresh, lower_ascii, row_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words, and what lies between them, in a text that is not lower-cased yet.
@@ -123,15 +123,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "drop", n: int
     words and the gaps after them cut out of their texts (``mode="cut"``)."""
     if mode not in ("drop", "cut"):
         raise ValueError(f"mode must be drop or cut, not {mode}")
+    other, key, spans = fresh(docs, "_id", "_key", "_spans")
     found = (contamination(docs, items, n, doc_id, text, item_id, item_text, max_windows).filter("contaminated")
-             .select(F.col(doc_id).alias("_id"), F.col("row_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"]))
-    on = docs[doc_id].eqNullSafe(F.col("_id")) & (row_key(docs[doc_id], docs[text]) == F.col("_key"))
+             .select(F.col(doc_id).alias(other), F.col("row_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([other, key]))
+    on = docs[doc_id].eqNullSafe(found[other]) & (row_key(docs[doc_id], docs[text]) == found[key])
     if mode == "drop":
         return docs.join(found, on, "left_anti")
-    body = docs[text]
-    pieces = F.regexp_extract_all(body, F.lit(f"{WORD_ANY}{GAP}*"), F.lit(0))
-    kept = F.filter(pieces, lambda p, i: ~F.exists("_spans", lambda s: (i >= s["start"]) & (i < s["end"])))
-    cut = F.concat(F.regexp_extract(body, f"^{GAP}*", 0), F.array_join(kept, ""))
-    own = [F.when(F.col("_spans").isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns]
+    pieces = F.regexp_extract_all(docs[text], F.lit(f"{WORD_ANY}{GAP}*"), F.lit(0))
+    kept = F.filter(pieces, lambda p, i: ~F.exists(found[spans], lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.concat(F.regexp_extract(docs[text], f"^{GAP}*", 0), F.array_join(kept, ""))
+    own = [F.when(found[spans].isNotNull(), cut).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns]
     return docs.join(found, on, "left").select(*own)
-

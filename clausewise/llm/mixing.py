@@ -9,10 +9,12 @@
    ``T_d = sum_i r_i n_i p_i(d)``, from their targets, measured by
    ``H = sum_i n_i p_i p_i'``.  A projected gradient step under the scaling
    ``n_i`` is ``r_i <- clip(r_i - p_i . H^-1 (T - t))``; in this scaling the
-   gradient has Lipschitz constant one, so the full step always descends.  Each
-   step is one aggregation of D sums over a narrow checkpointed table; the
-   driver holds D numbers, and a rate is an expression of the posterior alone.
-   Steps go on until the totals settle.
+   gradient has Lipschitz constant one, so the full step always descends.  A step
+   with the H of the documents at no bound is tried first, and taken when it
+   descends, as it needs far fewer of them.  Each step is one aggregation of
+   D + D^2 sums over a narrow checkpointed table; the driver holds those
+   numbers, and a rate is an expression of the posterior alone.  Steps go on
+   until the totals settle.
 3. ``copies`` rounds a rate at random by a hash of the document, so that its
    expectation is the rate.
 
@@ -37,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import lower_ascii, row_key, uniform
+from clausewise.llm.common import fresh, lower_ascii, row_key, uniform
 from clausewise.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,7 +47,7 @@ BUCKETS = 1 << 14
 MAX_DOMAINS = 64
 MAX_LABELLED = 2_000
 EFFECTIVE = 20.0
-_SETTLED = 1e-7
+_SETTLED = 1e-6
 #: Steps after which the rates are written, so that their expression stays short.
 _STEPS = 16
 
@@ -119,19 +121,35 @@ def fit_rates(members: DataFrame, targets: Sequence[float], low: float = 0.0, hi
         c = F.greatest(c, F.lit(float(low)))
         return c if high is None else F.least(c, F.lit(float(high)))
 
-    now = members.withColumn("rate", clip(F.lit(float(start))))
-    rate, steps, before = F.col("rate"), 0, None
+    def measure(now: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens of the domains, H of the documents whose rate is at no bound, and the loss."""
+        free = rate > low if high is None else (rate > low) & (rate < high)
+        tokens = [F.sum(weight * rate * F.col(f"p{i}")) for i in k]
+        inner = [F.sum(F.when(free, weight * F.col(f"p{i}") * F.col(f"p{j}"))) for i in k for j in k]
+        row = now.agg(*[F.coalesce(c, F.lit(0.0)).alias(f"m{n}") for n, c in enumerate([*tokens, *inner])]).first()
+        x = np.array(list(row), dtype=float)
+        off = x[:len(t)] - t
+        return x[:len(t)], x[len(t):].reshape(len(t), len(t)), float(off @ inverse @ off)
+
+    now, rate, steps = members.withColumn("rate", clip(F.lit(float(start)))), F.col("rate"), 0
+    totals, inner, loss = measure(now, rate)
     while True:
-        row = now.agg(*[F.coalesce(F.sum(weight * rate * F.col(f"p{i}")), F.lit(0.0)).alias(f"t{i}") for i in k]).first()
-        totals = np.array(list(row), dtype=float)
-        if before is not None and np.abs(totals - before).max() <= _SETTLED * max(t.sum(), 1.0):
-            return now.withColumn("rate", F.round(rate, 6))
-        before = totals
-        g = inverse @ (totals - t)
-        rate = clip(rate - reduce(Column.__add__, [F.col(f"p{i}") * F.lit(float(g[i])) for i in k]))
+        for metric in (np.linalg.pinv(inner, hermitian=True), inverse):
+            g = metric @ (totals - t)
+            onward = clip(rate - reduce(Column.__add__, [F.col(f"p{i}") * F.lit(float(g[i])) for i in k]))
+            after, inner, less = measure(now, onward)
+            if less < loss:
+                break
+        else:
+            break
+        moved = np.abs(after - totals).max()
+        rate, totals, loss = onward, after, less
+        if moved <= _SETTLED * max(t.sum(), 1.0):
+            break
         steps += 1
         if steps % _STEPS == 0:
             now, rate = cut_lineage(now.withColumn("rate", rate)), F.col("rate")
+    return now.withColumn("rate", F.round(rate, 6))
 
 
 def copies(rate: Column, key: Column, seed: str = "mix") -> Column:
@@ -165,7 +183,8 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float],
              domain: str = "domain", low: float = 0.0, high: float | None = None, tokens: float | None = None) -> DataFrame:
     """``docs``, each row as often as its rate says."""
     rated, _ = mix(docs, labelled, weights, doc_id, text, domain, low, high, tokens)
-    keyed = docs.withColumn("_row", row_key(F.col(doc_id), F.col(text)))
-    drawn = rated.select("_id", "_key", F.col("copies").alias("_copies")).filter("_copies > 0")
-    joined = keyed.join(drawn, (F.col("_row") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    row, key, other, n, copy = fresh(docs, "_row", "_key", "_id", "_copies", "_copy")
+    keyed = docs.withColumn(row, row_key(F.col(doc_id), F.col(text)))
+    drawn = rated.select(F.col("_id").alias(other), F.col("_key").alias(key), F.col("copies").alias(n)).filter(F.col(n) > 0)
+    joined = keyed.join(drawn, (F.col(row) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(other)))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))).alias(copy)).drop(copy)

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import uniform
+from clausewise.llm.common import fresh, uniform
 from clausewise.session import cut_lineage
 
 
@@ -69,8 +69,8 @@ def _pick(key: Column, node: Node, path: str) -> Column:
 def descend(df: DataFrame, key: Column, tree: Node, out: str) -> DataFrame:
     """Adds ``out``: the shard of ``key``.  One column per level holds the node chosen so far."""
     level: list[tuple[Node, str]] = [(tree, "")]
-    at = f"_{out}_at"
-    df = df.withColumn(at, F.lit(0)).withColumn(f"{at}_key", key.cast("string"))
+    at, name = fresh(df, "_at", "_name")
+    df = df.withColumns({at: F.lit(0), name: key.cast("string")})
     while any(n.children for n, _ in level):
         below: list[tuple[Node, str]] = []
         cases = []
@@ -78,7 +78,7 @@ def descend(df: DataFrame, key: Column, tree: Node, out: str) -> DataFrame:
             first = len(below)
             if node.children:
                 below += [(c, f"{path}/{c.name}") for c in node.children]
-                cases.append((number, _pick(F.col(f"{at}_key"), node, path) + F.lit(first)))
+                cases.append((number, _pick(F.col(name), node, path) + F.lit(first)))
             else:
                 below.append((node, path))
                 cases.append((number, F.lit(first)))
@@ -86,7 +86,7 @@ def descend(df: DataFrame, key: Column, tree: Node, out: str) -> DataFrame:
         df = df.withColumn(at, chosen)
         level = below
     shard_of = F.array(*[F.lit(n.shard) for n, _ in level])
-    return df.withColumn(out, F.get(shard_of, F.col(at))).drop(at, f"{at}_key")
+    return df.withColumn(out, F.get(shard_of, F.col(at))).drop(at, name)
 
 
 def with_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
@@ -95,14 +95,15 @@ def with_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot
     The rows are written to the checkpoint folder with the number of the input
     partition they came from; rows are numbered inside (partition, shard), and
     counts of those groups (one row per partition and shard) give the offsets."""
-    x = cut_lineage(df.withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part", shard).orderBy(*order)
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (x.groupBy("_part", shard).agg(F.count(F.lit(1)).alias("_n"))
-                .select("_part", shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
-    numbered = x.withColumn("_local", F.row_number().over(inside) - 1)
-    return (numbered.join(offsets, ["_part", shard])
-                    .withColumn(out, (F.col("_off") + F.col("_local")).cast("long")).drop("_part", "_off", "_local"))
+    part, n, off, local = fresh(df, "_part", "_n", "_off", "_local")
+    x = cut_lineage(df.withColumn(part, F.spark_partition_id()))
+    inside = Window.partitionBy(part, shard).orderBy(*order)
+    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (x.groupBy(part, shard).agg(F.count(F.lit(1)).alias(n))
+                .select(part, shard, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off)))
+    numbered = x.withColumn(local, F.row_number().over(inside) - 1)
+    return (numbered.join(offsets, [part, shard])
+                    .withColumn(out, (F.col(off) + F.col(local)).cast("long")).drop(part, off, local))
 
 
 def shard_rows(docs: DataFrame, tree: Node, grown: Node | None = None, key: str = "doc_id",

@@ -13,7 +13,8 @@ which shuffles urls to the rules of their host suffixes and gives the same
 verdicts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
-gets the default; repeated rows are judged alike; extra columns are kept.
+gets the default; repeated rows are judged alike; extra columns are kept, but
+for columns named host, path, rule and verdict, which the results replace.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import LOWER, UPPER
+from clausewise.llm.common import LOWER, UPPER, fresh
 from clausewise.session import ship_package
 
 #: The trie of so many rules of ordinary length stays below about 50 MB.
@@ -135,8 +136,9 @@ def judge(urls: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
 
     decided = F.pandas_udf(decide, "rule string, verdict string")
     parsed = urls.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    out = parsed.withColumn("_judged", decided("host", "path"))
-    return out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    (judged,) = fresh(parsed, "_judged")
+    out = parsed.withColumn(judged, decided("host", "path"))
+    return out.withColumns({"rule": F.col(judged)["rule"], "verdict": F.col(judged)["verdict"]}).drop(judged)
 
 
 def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -154,9 +156,8 @@ def judge_by_join(urls: DataFrame, rules: DataFrame, url: str = "url", default:
     fits = wide.join(rows, (F.col("_suffix") == F.col("_host")) & F.col("path").startswith(F.col("_path")))
     text = F.concat("_host", "_path")
     rank = F.struct(F.length(text), F.length("_host"), F.col("_action") == "block")
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(text.alias("rule"), F.col("_action").alias("verdict")),
-                                                     rank).alias("_best"))
+    (won,) = fresh(parsed, "_best")
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct(text.alias("rule"), F.col("_action").alias("verdict")), rank).alias(won))
     out = parsed.join(best, ["host", "path"], "left")
     return out.select(*[F.col(c) for c in own if c not in ("host", "path", "rule", "verdict")], "host", "path",
-                      F.col("_best.rule").alias("rule"),
-                      F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+                      F.col(won)["rule"].alias("rule"), F.coalesce(F.col(won)["verdict"], F.lit(default)).alias("verdict"))
