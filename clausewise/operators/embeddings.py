@@ -18,22 +18,24 @@ from pyspark.sql import functions as F
 from clausewise.functions.vectors import as_double, bounded_group_mean, mean_vector, vadd, vmid, zeros
 
 
-def attach_hidden_states(df: DataFrame, encoder: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+def attach_hidden_states(df: DataFrame, make_encoder: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]] | None = None,
                          schema: str | None = None, stored: DataFrame | None = None,
                          key: str | list[str] = "sentence_id") -> DataFrame:
     """Add encoder outputs to rows.
 
-    With ``encoder`` (a function from a pandas batch to a pandas batch with the
-    ``schema`` columns), it runs per Arrow batch inside the executors.  With
-    ``stored``, the stored table is equi-joined on ``key`` instead.
+    With ``stored``, a stored table is equi-joined on ``key``.  With
+    ``make_encoder``, that is called once per task (it loads the model) and
+    returns a function from a pandas batch to a pandas batch with the ``schema``
+    columns, which runs per Arrow batch inside the executors.
     """
-    if encoder is not None:
+    if make_encoder is not None:
         from clausewise.session import ship_package
         ship_package(df.sparkSession)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            encode = make_encoder()
             for b in batches:
-                yield encoder(b)
+                yield encode(b)
         return df.mapInPandas(run, schema=schema)
     if stored is None:
         raise ValueError("give an encoder function or a stored table")
@@ -58,32 +60,42 @@ def word_index(pieces: DataFrame, group: list[str], order: list[str], text_col:
     return pieces.withColumn("word_idx", F.sum(starts).over(w).cast("long"))
 
 
+def halve_pairs(vectors: Column) -> Column:
+    """Average neighbours (1st with 2nd, 3rd with 4th, ...) until one vector is left."""
+    levels = F.sequence(F.lit(0), F.size(vectors))
+
+    def halve(vs: Column, _: Column) -> Column:
+        pairs = F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / 2).cast("int"))
+        return F.when(F.size(vs) < 2, vs).otherwise(F.transform(pairs, lambda i: F.when(
+            2 * i + 1 < F.size(vs), vmid(F.get(vs, 2 * i), F.get(vs, 2 * i + 1))).otherwise(F.get(vs, 2 * i))))
+
+    # the number of levels is logarithmic; once a single vector is left a level changes nothing
+    few = F.slice(levels, 1, F.ceil(F.log2(F.size(vectors).cast("double") + 1)).cast("int"))
+    return F.element_at(F.aggregate(few, vectors, halve), 1)
+
+
 def fold_pieces(tagged: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
                 vec_col: str = "vector", prefix: str = "##") -> DataFrame:
-    """Fold the pieces of each ``word_idx`` left to right (see :func:`merge_word_pieces`).
-
-    The pieces of a word are gathered with a window partitioned by
-    ``group + word_idx``; rows already hash-partitioned by ``group`` (by
-    :func:`word_index`) satisfy that distribution, so no further shuffle is
-    needed - only a sort.  One row per word (its first piece) is kept."""
-    w = Window.partitionBy(*group, "word_idx").orderBy(*order).rowsBetween(Window.unboundedPreceding,
-                                                                          Window.unboundedFollowing)
+    """Fold the pieces of each ``word_idx`` (see :func:`merge_word_pieces`).
+
+    One plain grouping with one list per word; rows already hash-partitioned by
+    ``group`` (by :func:`word_index`) satisfy its distribution, so there is no
+    further shuffle."""
     item = F.struct(*[F.col(c) for c in order], F.regexp_replace(F.col(text_col), "^" + prefix, "").alias("t"),
                     as_double(vec_col).alias("v"))
-    x = tagged.withColumn("_seq", F.array_sort(F.collect_list(item).over(w))).filter(
-        ~F.col(text_col).startswith(prefix))
-    fold = F.aggregate(F.slice("_seq", 2, F.size("_seq")), F.element_at("_seq", 1)["v"],
-                       lambda acc, s: vmid(acc, s["v"]))
-    return x.select(*group, "word_idx", F.array_join(F.transform("_seq", lambda s: s["t"]), "").alias("word"),
-                    fold.alias(vec_col))
+    words = tagged.groupBy(*group, "word_idx").agg(F.array_sort(F.collect_list(item)).alias("_seq"))
+    return words.select(*group, "word_idx", F.array_join(F.transform("_seq", lambda s: s["t"]), "").alias("word"),
+                        halve_pairs(F.transform("_seq", lambda s: s["v"])).alias(vec_col))
 
 
 def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], text_col: str = "piece",
                       vec_col: str = "vector", prefix: str = "##") -> DataFrame:
     """Fold continuation pieces (``##...``) into the word before them.
 
-    Left to right, each continuation is averaged with the running word vector:
-    pieces ``a, ##b, ##c`` give ``((a + b) / 2 + c) / 2`` (not the plain mean).
+    Passes over the pieces average each continuation with the piece before it
+    and go on behind it, until no continuation is left: ``a, ##b, ##c`` give
+    ``((a + b) / 2 + c) / 2`` and ``a, ##b, ##c, ##d`` give
+    ``((a + b) / 2 + (c + d) / 2) / 2`` (not the plain mean).
     Returns ``group + [word_idx, word, vec_col]``; ``word_idx`` is 1-based.
     """
     return fold_pieces(word_index(pieces, group, order, text_col, prefix), group, order, text_col, vec_col, prefix)

@@ -45,21 +45,23 @@ from clausewise.constants import (  # noqa: E402
 TOKEN_FIELDS = ("i", "text", "lemma", "dep", "head")
 
 
-def attach_tokens(clauses: DataFrame, annotator=None, schema: str | None = None,
+def attach_tokens(clauses: DataFrame, make_annotator=None, schema: str | None = None,
                   tokens: DataFrame | None = None, key: str = "clause_id") -> DataFrame:
     """A token table for the clauses.
 
-    Either run a user-supplied vectorised annotator (pandas batch of clauses ->
-    pandas batch of token rows with ``schema``) inside the executors with
-    ``mapInPandas``, or equi-join an existing token table on ``key``.
+    Either equi-join an existing token table on ``key``, or run a user-supplied
+    annotator inside the executors with ``mapInPandas``: ``make_annotator`` is
+    called once per task (it loads the model) and returns a function from a
+    pandas batch of clauses to a pandas batch of token rows with ``schema``.
     """
-    if annotator is not None:
+    if make_annotator is not None:
         from clausewise.session import ship_package
         ship_package(clauses.sparkSession)
 
         def run(batches):
+            annotate = make_annotator()
             for b in batches:
-                yield annotator(b)
+                yield annotate(b)
         return clauses.mapInPandas(run, schema=schema)
     if tokens is None:
         raise ValueError("give an annotator or a token table")

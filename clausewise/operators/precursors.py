@@ -46,8 +46,6 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
     only the precursor rows.  ``strategy="indexed"`` selects the skew-proof
     plan (see :func:`precursors_indexed`); the order must be total (unique).
     """
-    if strategy == "auto":
-        strategy = choose_strategy(df, partition)
     if strategy == "indexed":
         return precursors_indexed(df, partition, order, is_trigger, n, include_leading_trigger, trigger_id)
     w = Window.partitionBy(*_cols(partition)).orderBy(*_cols(order))
@@ -65,22 +63,6 @@ def precursors(df: DataFrame, partition: Sequence[str | Column], order: Sequence
                .drop("_trig", "_rn", "_next"))
 
 
-def choose_strategy(df: DataFrame, partition: Sequence[str], max_rows_per_key: int = 20_000_000,
-                    max_share: float | None = None) -> str:
-    """``"indexed"`` when the largest sequence key is too big for one task, else ``"window"``.
-
-    One aggregation over the key columns only (partial counts map-side, one row
-    per key after the shuffle, a single scalar to the driver).  A key is too
-    big when it has more than ``max_rows_per_key`` rows or, if given, more than
-    ``max_share`` of all rows."""
-    counts = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_n"))
-    row = counts.agg(F.max("_n").alias("mx"), F.sum("_n").alias("tot")).first()
-    if row is None or row.mx is None:
-        return "window"
-    too_big = row.mx > max_rows_per_key or (max_share is not None and row.tot and row.mx / row.tot > max_share)
-    return "indexed" if too_big else "window"
-
-
 def sequence_index(df: DataFrame, partition: Sequence[str], order: Sequence[str],
                    num_partitions: int | None = None) -> DataFrame:
     """Consecutive global index ``_g`` over the rows sorted by ``(partition, order)``.
@@ -117,18 +99,18 @@ def precursors_indexed(df: DataFrame, partition: Sequence[str], order: Sequence[
     part = list(partition)
     x = sequence_index(df.withColumn("_trig", F.coalesce(is_trigger, F.lit(False))), part, list(order))
     tid = (F.col(trigger_id) if isinstance(trigger_id, str) else trigger_id) if trigger_id is not None else F.lit(None)
-    trig = x.filter("_trig").select(*part, F.col("_g").alias("_gt"), tid.alias("_tid"))
-    cand = trig.select(*part, "_gt", "_tid", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")) \
+    # all joins are on the unique index; sequence keys are compared null-safely beside it
+    key = F.struct(*[F.col(c) for c in part])
+    trig = x.filter("_trig").select(key.alias("_key_t"), F.col("_g").alias("_gt"), tid.alias("_tid"))
+    cand = trig.select("_key_t", "_gt", "_tid", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("_k")) \
                .withColumn("_g", F.col("_gt") - F.col("_k"))
-    nearest = cand.groupBy(*part, "_g").agg(F.min("_gt").alias("_gt"), F.min_by("_tid", "_gt").alias("trigger_of"))
-    prev = x.select((F.col("_g") + 1).alias("_g"), *[F.col(c).alias(f"_prev_{c}") for c in part])
-    hit = x.join(nearest, [*part, "_g"], "inner").join(prev, "_g", "left")
-    first = F.lit(False)
-    for c in part:
-        first = first | F.col(f"_prev_{c}").isNull() | (F.col(f"_prev_{c}") != F.col(c))
+    nearest = cand.groupBy("_g", "_key_t").agg(F.min("_gt").alias("_gt"), F.min_by("_tid", "_gt").alias("trigger_of"))
+    prev = x.select((F.col("_g") + 1).alias("_g"), key.alias("_key_p"), F.lit(True).alias("_has"))
+    hit = x.withColumn("_key", key).join(nearest, "_g", "inner").filter(F.col("_key").eqNullSafe(F.col("_key_t"))).join(prev, "_g", "left")
+    first = F.col("_has").isNull() | ~F.col("_key_p").eqNullSafe(F.col("_key"))
     keep = ~F.col("_trig") | (F.lit(include_leading_trigger) & first)
     out = hit.filter(keep).withColumn("precursor_distance", (F.col("_gt") - F.col("_g")).cast("long"))
-    drop = ["_trig", "_g", "_gt", *[f"_prev_{c}" for c in part]] + (["trigger_of"] if trigger_id is None else [])
+    drop = ["_trig", "_g", "_gt", "_key", "_key_t", "_key_p", "_has"] + (["trigger_of"] if trigger_id is None else [])
     return out.drop(*drop)
 
 

@@ -1,13 +1,15 @@
 """Topics (T1-T8): clustering precursor texts and describing the clusters.
 
-* T1 ``cluster_density`` - grid density clustering: points are binned into
-  cells of side ``cell``; cells with at least ``min_pts`` points are dense,
+* T1 ``cluster_density`` - grid density clustering: vectors are projected by
+  fixed signed sums over all their coordinates and binned into cells of side
+  ``cell``; cells with at least ``min_pts`` points are dense,
   dense cells that touch (3^d neighbourhood) form one cluster, points of a
   sparse cell touching a dense one join the smallest adjacent cluster (border),
   the rest are outliers (``-1``).  No pair of points is ever formed: only
   cells are joined, each with at most 3^d neighbours, and components come
   from min-label propagation with lineage cut by reliable checkpoints.
 * T2/T3/T8 - Spark ML ``PCA`` / ``KMeans`` and repeated fits over seeds.
+* W4 ``precursor_job`` - precursors, their embeddings, topics and descriptions in one job.
 * T4-T7 - labels, sizes and class-based TF-IDF keywords per topic, all
   aggregations and one top-k window per topic.
 """
@@ -31,10 +33,20 @@ OUTLIER = -1
 
 
 # ---------------------------------------------------------------- T1 density clustering
-def _cells(df: DataFrame, id_col: str, vec_col: str, cell: float, dims: Sequence[int]) -> DataFrame:
-    key = F.array(*[F.floor(F.element_at(F.col(vec_col), k + 1).cast("double") / F.lit(float(cell))).cast("long")
-                    for k in dims])
-    return df.select(id_col, key.alias("cell"))
+def projection_sign(i: int, j: int) -> int:
+    """Sign of input coordinate ``i`` in output coordinate ``j`` (both 0-based): a fixed rule that SQL can repeat."""
+    return 1 if (i * i + (2 * j + 3) * i + 5 * j) % 7 < 4 else -1
+
+
+def project(vec, width: int, d: int) -> list:
+    """``d`` fixed signed sums over *all* ``width`` coordinates of a vector column, divided by sqrt(width)."""
+    v = F.transform(vec, lambda x: x.cast("double"))
+    out = []
+    for j in range(d):
+        signs = F.array(*[F.lit(float(projection_sign(i, j))) for i in range(width)])
+        total = F.aggregate(F.zip_with(v, signs, lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x)
+        out.append(total / F.lit(float(width) ** 0.5))
+    return out
 
 
 def _neighbours(cells: DataFrame, d: int, out: str = "nb") -> DataFrame:
@@ -43,36 +55,38 @@ def _neighbours(cells: DataFrame, d: int, out: str = "nb") -> DataFrame:
     return cells.withColumn(out, F.explode(F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda a, b: a + b))))
 
 
-def connected_cells(dense: DataFrame, d: int, max_iter: int = 1000, checkpoint_every: int = 5) -> DataFrame:
-    """Min-label propagation over touching dense cells -> ``(cell, label)``.
+def connected_cells(dense: DataFrame, d: int) -> DataFrame:
+    """Components of touching dense cells -> ``(cell, label)``; the label is the smallest cell key.
 
-    The label of a component is its smallest cell key.  Each round is one join
-    of cell edges with the current labels; the loop stops when no label
-    changes (one count per round is the only driver action)."""
-    edges = (_neighbours(dense.select("cell"), d)
-             .join(dense.select(F.col("cell").alias("nb")), "nb", "inner")
-             .select(F.col("cell").alias("src"), F.col("nb").alias("dst")))
-    edges = cut_lineage(edges)
+    Each round takes the smallest label among a cell's neighbours and then that
+    label's own label (pointer jumping), so the rounds grow with the logarithm
+    of a component's diameter.  Rounds go on until no label changes; each is
+    written to the checkpoint folder, and one emptiness test is the only driver
+    action."""
+    edges = cut_lineage(_neighbours(dense.select("cell"), d)
+                        .join(dense.select(F.col("cell").alias("nb")), "nb", "inner")
+                        .select(F.col("cell").alias("src"), F.col("nb").alias("dst")))
     labels = cut_lineage(dense.select("cell", F.col("cell").alias("label")))
-    for it in range(max_iter):
-        prop = (edges.join(labels.select(F.col("cell").alias("dst"), F.col("label").alias("l")), "dst")
-                     .groupBy(F.col("src").alias("cell")).agg(F.min("l").alias("l")))
-        new = labels.join(prop, "cell", "left").select(
-            "cell", F.least("label", F.coalesce("l", "label")).alias("label"), (F.col("l") < F.col("label")).alias("ch"))
-        new = cut_lineage(new) if (it + 1) % checkpoint_every == 0 else new.persist()
-        changed = new.filter("ch").count()
-        labels.unpersist()
-        labels = new.drop("ch")
-        if changed == 0:
-            break
-    return labels
+    while True:
+        offers = (edges.join(labels.select(F.col("cell").alias("dst"), "label"), "dst")
+                       .groupBy(F.col("src").alias("cell")).agg(F.min("label").alias("to")))
+        onward = labels.select(F.col("cell").alias("to"), F.col("label").alias("beyond"))
+        new = cut_lineage(labels.withColumnRenamed("label", "was").join(offers, "cell").join(onward, "to")
+                                .select("cell", "was", F.least("to", "beyond", "was").alias("label")))
+        labels = new.select("cell", "label")
+        if new.filter("label < was").isEmpty():
+            return labels
 
 
 def cluster_density(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", cell: float = 0.08,
-                    min_pts: int = 5, dims: Sequence[int] = (0, 1)) -> DataFrame:
-    """``(id, topic)``; topics are numbered by size (largest first), outliers ``-1``."""
-    d = len(dims)
-    pts = _cells(df, id_col, vec_col, cell, dims)
+                    min_pts: int = 5, width: int = 64, d: int = 2) -> DataFrame:
+    """``(id, topic)``; topics are numbered by size (largest first), outliers ``-1``.
+
+    Vectors of ``width`` coordinates are projected to ``d`` signed sums over all
+    of them (:func:`project`) and binned into cells of side ``cell`` there."""
+    key = F.array(*[F.floor(x / F.lit(float(cell))).cast("long") for x in project(F.col(vec_col), width, d)])
+    # the points are read by four consumers below
+    pts = cut_lineage(df.select(id_col, key.alias("cell")))
     counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     dense = counts.filter(F.col("n") >= min_pts).select("cell")
     labels = connected_cells(dense, d)
@@ -90,6 +104,17 @@ def cluster_density(df: DataFrame, id_col: str = "id", vec_col: str = "embedding
                .select(id_col, F.coalesce("topic", F.lit(OUTLIER).cast("long")).alias("topic")))
 
 
+def precursor_job(precursors: DataFrame, embeddings: DataFrame, key: str = "clause_id", text_col: str = "doc",
+                  vec_col: str = "embedding", top_n: int = TOPIC_TOP_N, **density) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Precursor clauses -> their embeddings -> density topics -> labels (T4), sizes (T5), keywords.
+
+    Precursors without an embedding have no topic and are left out, as in the
+    original, which clusters only embedded clauses."""
+    vectors = precursors.select(key).distinct().join(embeddings.select(key, vec_col), key)
+    labelled = cut_lineage(topic_labels(precursors, cluster_density(vectors, key, vec_col, **density), key))
+    return labelled, topic_sizes(labelled), topic_keywords(labelled, text_col, "topic", top_n)
+
+
 # ---------------------------------------------------------------- T2, T3, T8 (Spark ML)
 def reduce_dims(df: DataFrame, vec_col: str = "embedding", k: int = 5, out_col: str = "reduced"):
     """PCA projection to ``k`` dimensions (returns the fitted model and the projected rows)."""
@@ -145,9 +170,10 @@ def topic_keywords(labelled: DataFrame, text_col: str = "doc", topic_col: str =
                    top_n: int = TOPIC_TOP_N) -> DataFrame:
     """The ``top_n`` words of each topic by weight (ties: alphabetical), rank 0-based."""
     w = topic_word_weights(labelled, text_col, topic_col)
+    # a limit on the row number lets Spark keep only the first rows of each task before the shuffle
     rk = Window.partitionBy(topic_col).orderBy(F.desc("weight"), "word")
-    return (w.withColumn("rank", (F.row_number().over(rk) - 1).cast("long"))
-             .filter(F.col("rank") < top_n).select(topic_col, "rank", "word", "tf", "weight"))
+    top = w.withColumn("_n", F.row_number().over(rk)).filter(F.col("_n") <= top_n)
+    return top.select(topic_col, (F.col("_n") - 1).cast("long").alias("rank"), "word", "tf", "weight")
 
 
 def topic_keywords_wide(keywords: DataFrame, topic_col: str = "topic", top_n: int = TOPIC_TOP_N) -> DataFrame:

@@ -718,26 +718,65 @@ def q_topic_keywords_wide(spark, sf):
     return T.topic_keywords_wide(_keywords(spark, sf))
 
 
-@register("density_topics",
-          "WITH RECURSIVE pts AS (SELECT vec_id, [floor(embedding[1]::DOUBLE / 0.08::DOUBLE)::BIGINT, "
-          "floor(embedding[2]::DOUBLE / 0.08::DOUBLE)::BIGINT] AS cell FROM embeddings), "
-          "cells AS (SELECT cell, count(*) AS n FROM pts GROUP BY cell), "
-          "dense AS (SELECT cell FROM cells WHERE n >= 5), "
-          "offs AS (SELECT [a, b] AS o FROM range(-1, 2) t1(a), range(-1, 2) t2(b)), "
-          "edges AS (SELECT d.cell AS src, e.cell AS dst FROM dense d, offs, dense e "
-          "WHERE e.cell = [d.cell[1] + o[1], d.cell[2] + o[2]]), "
-          "reach(c, l) AS (SELECT cell, cell FROM dense UNION SELECT e.dst, r.l FROM reach r JOIN edges e ON e.src = r.c), "
-          "lab AS (SELECT c AS cell, min(l) AS label FROM reach GROUP BY c), "
-          "border AS (SELECT s.cell, min(lab.label) AS label FROM cells s, offs, lab WHERE s.n < 5 AND "
-          "lab.cell = [s.cell[1] + o[1], s.cell[2] + o[2]] GROUP BY s.cell), "
-          "cl AS (SELECT * FROM lab UNION ALL SELECT * FROM border), "
-          "pl AS (SELECT p.vec_id, cl.label FROM pts p LEFT JOIN cl USING (cell)), "
-          "rk AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::BIGINT AS topic FROM pl "
-          "WHERE label IS NOT NULL GROUP BY label) "
-          "SELECT vec_id, coalesce(rk.topic, -1)::BIGINT AS topic FROM pl LEFT JOIN rk USING (label)")
+_CELL, _MIN_PTS = 0.03, 5
+
+
+def _density_ctes(points: str, key: str) -> list[str]:
+    """Topics ``dt`` (key, topic) of the vectors ``e`` of ``points``: signed sums over all 64
+    coordinates, grid cells, components of touching dense cells, borders, numbers by size."""
+    axis = ("floor(list_sum(list_transform(range(0, 64), lambda i: e[i + 1] * CASE WHEN (i * i + {k} * i + {c}) % 7 < 4 "
+            "THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) / 8.0::DOUBLE / " + f"{_CELL}::DOUBLE)::BIGINT")
+    return [
+        f"pts AS (SELECT {key}, [{axis.format(k=3, c=0)}, {axis.format(k=5, c=5)}] AS cell FROM {points})",
+        "cells AS (SELECT cell, count(*) AS n FROM pts GROUP BY cell)",
+        f"dense AS (SELECT cell FROM cells WHERE n >= {_MIN_PTS})",
+        "offs AS (SELECT [a, b] AS o FROM range(-1, 2) t1(a), range(-1, 2) t2(b))",
+        "edges AS (SELECT d.cell AS src, e.cell AS dst FROM dense d, offs, dense e "
+        "WHERE e.cell = [d.cell[1] + o[1], d.cell[2] + o[2]])",
+        "reach(c, l) AS (SELECT cell, cell FROM dense UNION SELECT e.dst, r.l FROM reach r JOIN edges e ON e.src = r.c)",
+        "lab AS (SELECT c AS cell, min(l) AS label FROM reach GROUP BY c)",
+        f"border AS (SELECT s.cell, min(lab.label) AS label FROM cells s, offs, lab WHERE s.n < {_MIN_PTS} AND "
+        "lab.cell = [s.cell[1] + o[1], s.cell[2] + o[2]] GROUP BY s.cell)",
+        "cl AS (SELECT * FROM lab UNION ALL SELECT * FROM border)",
+        f"pl AS (SELECT p.{key}, cl.label FROM pts p LEFT JOIN cl USING (cell))",
+        "rk AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::BIGINT AS topic FROM pl "
+        "WHERE label IS NOT NULL GROUP BY label)",
+        f"dt AS (SELECT {key}, coalesce(rk.topic, -1)::BIGINT AS topic FROM pl LEFT JOIN rk USING (label))"]
+
+
+@register("density_topics", "WITH RECURSIVE " + ", ".join(
+    ["src_e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", *_density_ctes("src_e", "vec_id")]) +
+    " SELECT vec_id, topic FROM dt")
 def q_density_topics(spark, sf):
     emb = D.table(spark, sf, "embeddings", "vec_id", "embedding")
-    return T.cluster_density(emb, "vec_id", "embedding", cell=0.08, min_pts=5)
+    return T.cluster_density(emb, "vec_id", "embedding", cell=_CELL, min_pts=_MIN_PTS)
+
+
+_JOB_CTES = [*O.VEC_CTES, *_precursor_ctes(),
+             "jv AS (SELECT clause_id, e FROM cemb WHERE clause_id IN (SELECT clause_id FROM pre))",
+             *_density_ctes("jv", "clause_id"),
+             "tl AS (SELECT p.report_id, p.clause_id, p.doc, dt.topic FROM pre p JOIN dt USING (clause_id))",
+             *_TOPIC_CTES[_TOPIC_CTES.index(next(c for c in _TOPIC_CTES if c.startswith("tt AS"))):]]
+
+
+def _precursor_job(spark, sf):
+    emb = _clause_emb(spark, sf)
+    return T.precursor_job(q_precursors(spark, sf).select("report_id", "clause_id", "doc"), emb, vec_col="embedding",
+                           cell=_CELL, min_pts=_MIN_PTS)
+
+
+@register("precursor_topics", _rec(*_JOB_CTES) + "SELECT report_id, clause_id, doc, topic FROM tl")
+def q_precursor_topics(spark, sf):
+    """Precursor clauses with the density topic of their clause embedding."""
+    return _precursor_job(spark, sf)[0].select("report_id", "clause_id", "doc", "topic")
+
+
+@register("precursor_topic_keywords", _rec(*_JOB_CTES) + "SELECT topic, rank, word, tf, weight, count FROM kw JOIN "
+          "(SELECT topic, count(*) AS count FROM tl GROUP BY topic) USING (topic)")
+def q_precursor_topic_keywords(spark, sf):
+    """Sizes and keywords of the precursor topics."""
+    _, sizes, keywords = _precursor_job(spark, sf)
+    return keywords.join(sizes, "topic").select("topic", "rank", "word", "tf", (F.round("weight", 6) + 0.0).alias("weight"), "count")
 
 
 @register("kmeans_topics")
@@ -824,61 +863,22 @@ def q_event_precursors_indexed(spark, sf):
                       "precursor_distance")
 
 
-# ---------------------------------------------------------------- hooks (P1, E1) through mapInPandas
-_HOOK_DEPS = D.DEPS
-
-
-def _stand_in_parser(pdf):
-    """Deterministic stand-in for a dependency parser (per Arrow batch): the same
-    heap-shaped tree as the synthetic parse table."""
-    import pandas as pd
-    import regex
-    out = {k: [] for k in ("clause_id", "i", "text", "lemma", "dep", "head")}
-    for cid, clause in zip(pdf["clause_id"], pdf["clause"]):
-        words = [w for w in (clause or "").split(" ") if w]
-        for i, w in enumerate(words):
-            out["clause_id"].append(cid)
-            out["i"].append(i)
-            out["text"].append(w)
-            out["lemma"].append(regex.sub(r"[^\p{L}]", "", w))
-            out["dep"].append("ROOT" if i == 0 else _HOOK_DEPS[(len(w) + i) % 8])
-            out["head"].append(0 if i == 0 else (i - 1) // 2)
-    return pd.DataFrame(out, columns=list(out)).astype({"i": "int32", "head": "int32"})
-
-
-def _stand_in_encoder(pdf):
-    """Deterministic stand-in for a sentence encoder: four text statistics."""
-    import pandas as pd
-    vecs = [[float(len(c)), float(len([w for w in c.split(" ") if w])), float(c.count("a")), float(c.count("e"))]
-            for c in pdf["clause"].fillna("")]
-    return pd.DataFrame({"clause_id": pdf["clause_id"], "vector": vecs})
-
-
-@register("token_hook", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok")
-def q_token_hook(spark, sf):
-    cl = D.clauses(spark, sf).select("clause_id", "clause")
-    toks = P.attach_tokens(cl, annotator=_stand_in_parser,
-                           schema="clause_id string, i int, text string, lemma string, dep string, head int")
+# ---------------------------------------------------------------- stored tables
+@register("attach_tokens", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok "
+          "WHERE clause_id IN (SELECT clause_id FROM clauses WHERE report_id % 10 < 7)")
+def q_attach_tokens(spark, sf):
+    """P1 with a stored token table: the tokens of the development clauses."""
+    cl = D.clauses(spark, sf).filter(D.is_dev(F.col("report_id"))).select("clause_id")
+    toks = P.attach_tokens(cl, tokens=D.parse_tokens(spark, sf))
     return toks.select("clause_id", F.col("i").cast("long").alias("i"), "text", "lemma", "dep",
                        F.col("head").cast("long").alias("head"))
 
 
-@register("vector_hook", O.with_clauses() +
-          "SELECT clause_id, round((length(clause) + len(list_filter(string_split(clause, ' '), lambda x: x <> '')) + "
-          "(length(clause) - length(replace(clause, 'a', ''))) + (length(clause) - length(replace(clause, 'e', ''))))::DOUBLE, 6) "
-          "+ 0.0 AS vec_sum FROM clauses")
-def q_vector_hook(spark, sf):
-    cl = D.clauses(spark, sf).select("clause_id", "clause")
-    enc = E.attach_hidden_states(cl, encoder=_stand_in_encoder, schema="clause_id string, vector array<double>")
-    from clausewise.functions.vectors import vsum
-    return enc.select("clause_id", (F.round(vsum("vector"), 6) + 0.0).alias("vec_sum"))
-
-
-@register("event_precursors_auto", _EVENT_SQL)
-def q_event_precursors_auto(spark, sf):
-    """event_precursors with the plan chosen from the measured largest user (one aggregation first)."""
-    ev = D.table(spark, sf, "events", "event_id", "ts", "user_id", "event_type")
-    pre = W.precursors(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", 7, trigger_id="event_id",
-                       strategy="auto")
-    return pre.select("user_id", "event_id", "event_type", F.col("trigger_of").alias("trigger_event_id"),
-                      "precursor_distance")
+@register("attach_vectors", "SELECT c.conv_id, c.turn, v.vec_id, round(list_sum(v.embedding::DOUBLE[]), 6) + 0.0 AS vec_sum FROM conversations c "
+          "JOIN embeddings v ON v.vec_id = c.conv_id * 7 + c.turn")
+def q_attach_vectors(spark, sf):
+    """E1 with a stored table: turns and the vectors stored under their number."""
+    turns = D.table(spark, sf, "conversations", "conv_id", "turn").withColumn("vec_id", F.col("conv_id") * 7 + F.col("turn"))
+    out = E.attach_hidden_states(turns, stored=D.table(spark, sf, "embeddings", "vec_id", "embedding"), key="vec_id")
+    from clausewise.functions.vectors import as_double, vsum
+    return out.withColumn("v", as_double("embedding")).select("conv_id", "turn", "vec_id", (F.round(vsum("v"), 6) + 0.0).alias("vec_sum"))

@@ -158,16 +158,24 @@ def vnorm_sql(e: str) -> str:
     return f"round(sqrt(list_sum(list_transform({e}, lambda x: x * x))), 6)"
 
 
-FOLD_SQL = ("list_reduce(list(v ORDER BY {order}), lambda acc, x: list_transform(list_zip(acc, x), "
-            "lambda q: (q[1] + q[2]) / 2))")
+#: Weight of piece ``i`` (0-based) of ``n``: halved at each level of pairwise averaging at which it has a partner.
+_WEIGHT_SQL = ("power(0.5, len(list_filter(range(0, 16), lambda l: ((n + (1 << l) - 1) >> l) > 1 AND NOT "
+               "((i >> l) = ((n + (1 << l) - 1) >> l) - 1 AND ((n + (1 << l) - 1) >> l) % 2 = 1))))")
 
 
 def merged_cte(name: str, group: str, order: str) -> str:
     return (f"{name}0 AS (SELECT *, sum(CASE WHEN starts_with(piece, '##') THEN 0 ELSE 1 END) OVER "
             f"(PARTITION BY {group} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT "
             f"AS word_idx FROM pv), "
-            f"{name} AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY {order}) "
-            f"AS word, {FOLD_SQL.format(order=order)} AS v FROM {name}0 GROUP BY {group}, word_idx)")
+            f"{name}1 AS (SELECT *, (row_number() OVER (PARTITION BY {group}, word_idx ORDER BY {order}) - 1)::INTEGER AS pi, "
+            f"count(*) OVER (PARTITION BY {group}, word_idx)::INTEGER AS pn FROM {name}0), "
+            f"{name}2 AS (SELECT {group}, word_idx, pi, piece, d.k, d.x * {_WEIGHT_SQL.replace('(n ', '(pn ').replace('(i ', '(pi ')} AS x "
+            f"FROM {name}1, unnest(v) WITH ORDINALITY AS d(x, k)), "
+            f"{name}3 AS (SELECT {group}, word_idx, k, sum(x) AS x FROM {name}2 GROUP BY {group}, word_idx, k), "
+            f"{name}4 AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY pi) AS word "
+            f"FROM {name}2 WHERE k = 1 GROUP BY {group}, word_idx), "
+            f"{name} AS (SELECT {group}, word_idx, word, list(x ORDER BY k) AS v FROM {name}3 JOIN {name}4 "
+            f"USING ({group}, word_idx) GROUP BY {group}, word_idx, word)")
 
 
 DEPS_SQL = "['nsubj', 'obj', 'conj', 'obl:agent', 'nsubj:pass', 'iobj', 'advmod', 'punct']"

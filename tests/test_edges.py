@@ -103,6 +103,19 @@ def test_merge_three_pieces(spark):
     assert out["abcd"] == [((1 + 3) / 2 + 5) / 2, ((2 + 4) / 2 + 6) / 2] and out["e"] == [7.0, 8.0]
 
 
+def test_merge_more_pieces(spark):
+    """Repeated passes over neighbours: four, five, six and seven pieces."""
+    rows = [(f"s{n}", i, ("##" if i else "") + "abcdefg"[i], [float(2 ** i)]) for n in range(1, 8) for i in range(n)]
+    df = spark.createDataFrame(rows, "sentence_id string, p int, piece string, vector array<double>")
+    out = {r.sentence_id: (r.word, r.vector[0]) for r in E.merge_word_pieces(df, ["sentence_id"], ["p"]).collect()}
+    m = lambda x, y: (x + y) / 2
+    a, b, c, d, e, f, g = (float(2 ** i) for i in range(7))
+    assert out["s1"] == ("a", a) and out["s2"] == ("ab", m(a, b)) and out["s3"] == ("abc", m(m(a, b), c))
+    assert out["s4"] == ("abcd", m(m(a, b), m(c, d))) and out["s5"] == ("abcde", m(m(m(a, b), m(c, d)), e))
+    assert out["s6"] == ("abcdef", m(m(m(a, b), m(c, d)), m(e, f)))
+    assert out["s7"] == ("abcdefg", m(m(m(a, b), m(c, d)), m(m(e, f), g)))
+
+
 def test_sum_last_layers(spark):
     df = spark.createDataFrame([([[1.0, 1.0], [2.0, 3.0], [4.0, 5.0]],)], "layers array<array<double>>")
     assert E.sum_last_layers(df, k=2).first().vector == [6.0, 8.0]
@@ -191,3 +204,29 @@ def test_alignment_keeps_empty_clause(spark):
                                "report_id long, sent_id long, token_id long, token string, agressie string, aanleiding string")
     out = {r.clause_id: (r.aggression, r.cause, r.n_tokens) for r in A.project_annotations(cl, tk).collect()}
     assert out == {"1-1-1": ("pos", "neg", 2), "1-1-2": ("neg", "neg", 0), "1-1-3": ("neg", "pos", 1)}
+
+
+def test_annotator_and_encoder_are_made_once_per_task(spark):
+    """P1 and E1 with functions of the caller (stand-ins, made by a factory)."""
+    import pandas as pd
+    clauses = spark.createDataFrame([("a", "x y"), ("b", None), ("c", "z")], "clause_id string, clause string").coalesce(1)
+
+    def make_annotator():
+        made = []
+
+        def annotate(b):
+            made.append(1)
+            rows = [(c, i, w) for c, t in zip(b["clause_id"], b["clause"]) for i, w in enumerate((t or "").split())]
+            return pd.DataFrame(rows, columns=["clause_id", "i", "text"]).assign(calls=len(made))
+        return annotate
+
+    toks = P.attach_tokens(clauses, make_annotator, "clause_id string, i long, text string, calls long").collect()
+    assert [(t.clause_id, t.i, t.text) for t in toks] == [("a", 0, "x"), ("a", 1, "y"), ("c", 0, "z")]
+
+    def make_encoder():
+        return lambda b: pd.DataFrame({"clause_id": b["clause_id"], "vector": [[float(len(c or ""))] for c in b["clause"]]})
+
+    enc = E.attach_hidden_states(clauses, make_encoder, "clause_id string, vector array<double>").collect()
+    assert [r.vector for r in enc] == [[3.0], [0.0], [1.0]]
+    stored = spark.createDataFrame([("a", [1.0])], "clause_id string, vector array<double>")
+    assert [r.vector for r in E.attach_hidden_states(clauses, stored=stored, key="clause_id").collect()] == [[1.0]]
