@@ -96,10 +96,13 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Distinct documents under two 64-bit keys, with how often each occurs."""
+    """Distinct documents ``doc`` (id, text) under two 64-bit keys, with how often each occurs (``copies``).
+
+    Id and text are one column, and both uses look at ``copies``, so that the two plans
+    are the same and the texts are shuffled once."""
     x = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     x = x.withColumns({"k1": row_key(F.col("id"), F.col("text")), "k2": F.xxhash64(F.lit(2), "text", "id")})
-    return x.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return x.groupBy("k1", "k2").agg(F.first(F.struct("id", "text")).alias("doc"), F.count(F.lit(1)).alias("copies")).filter("copies > 0")
 
 
 def neighbours(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -122,8 +125,8 @@ def with_next_part(docs: DataFrame, links: DataFrame, doc_id: str, text: str, pa
     cut = links.select("k1", "k2", "n1", "n2", part(F.col("chars")).alias("need"))
     cut = cut.select(F.col("n1").alias("k1"), F.col("n2").alias("k2"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), "need")
     pieces = own.join(cut, ["k1", "k2"]).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"),
-                                                F.substr("text", F.lit(1), F.col("need")).alias("piece"))
-    return own.join(pieces, ["k1", "k2"])
+                                                F.substr("doc.text", F.lit(1), F.col("need")).alias("piece"))
+    return own.join(pieces, ["k1", "k2"]).select("k1", "k2", "doc.id", "doc.text", "copies", "piece")
 
 
 def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
