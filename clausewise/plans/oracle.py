@@ -110,9 +110,8 @@ ALIGN_CTES = [
     "cw AS (SELECT *, len(list_filter(string_split(clause, ' '), lambda x: x <> ''))::BIGINT AS n_words FROM clauses)",
     "cspan AS (SELECT *, sum(n_words) OVER (PARTITION BY report_id ORDER BY sent_no, clause_no "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS span_end FROM cw)",
-    "covered AS (SELECT report_id, clause_id, unnest(range(span_end - n_words + 1, span_end + 1))::BIGINT AS pos FROM cspan)",
-    "aligned AS (SELECT c.report_id, c.clause_id, c.pos, t.sent_id, t.token_id, t.token, t.agressie, t.aanleiding "
-    "FROM covered c JOIN tokpos t ON c.report_id = t.report_id AND c.pos = t.pos)",
+    "aligned AS (SELECT c.report_id, c.clause_id, t.pos, t.sent_id, t.token_id, t.token, t.agressie, t.aanleiding "
+    "FROM tokpos t ASOF JOIN (SELECT * FROM cspan WHERE n_words > 0) c ON t.report_id = c.report_id AND t.pos <= c.span_end)",
     "tagg AS (SELECT clause_id, bool_or(agressie = 'pos') AS a, bool_or(aanleiding = 'pos') AS c, count(*) AS n "
     "FROM aligned GROUP BY clause_id)",
     "annot AS (SELECT cw.report_id, cw.sent_no, cw.clause_no, cw.clause_id, cw.clause, cw.n_words, "
@@ -169,13 +168,11 @@ def merged_cte(name: str, group: str, order: str) -> str:
             f"AS word_idx FROM pv), "
             f"{name}1 AS (SELECT *, (row_number() OVER (PARTITION BY {group}, word_idx ORDER BY {order}) - 1)::INTEGER AS pi, "
             f"count(*) OVER (PARTITION BY {group}, word_idx)::INTEGER AS pn FROM {name}0), "
-            f"{name}2 AS (SELECT {group}, word_idx, pi, piece, d.k, d.x * {_WEIGHT_SQL.replace('(n ', '(pn ').replace('(i ', '(pi ')} AS x "
-            f"FROM {name}1, unnest(v) WITH ORDINALITY AS d(x, k)), "
-            f"{name}3 AS (SELECT {group}, word_idx, k, sum(x) AS x FROM {name}2 GROUP BY {group}, word_idx, k), "
-            f"{name}4 AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY pi) AS word "
-            f"FROM {name}2 WHERE k = 1 GROUP BY {group}, word_idx), "
-            f"{name} AS (SELECT {group}, word_idx, word, list(x ORDER BY k) AS v FROM {name}3 JOIN {name}4 "
-            f"USING ({group}, word_idx) GROUP BY {group}, word_idx, word)")
+            f"{name}2 AS (SELECT {group}, word_idx, pi, piece, CASE WHEN pn = 1 THEN v ELSE list_transform(v, lambda x: x * wt) END AS v "
+            f"FROM (SELECT *, {_WEIGHT_SQL.replace('(n ', '(pn ').replace('(i ', '(pi ')} AS wt FROM {name}1)), "
+            f"{name} AS (SELECT {group}, word_idx, string_agg(regexp_replace(piece, '^##', ''), '' ORDER BY pi) AS word, "
+            f"list_reduce(list(v ORDER BY pi), lambda acc, x: list_transform(list_zip(acc, x), lambda q: q[1] + q[2])) AS v "
+            f"FROM {name}2 GROUP BY {group}, word_idx)")
 
 
 DEPS_SQL = "['nsubj', 'obj', 'conj', 'obl:agent', 'nsubj:pass', 'iobj', 'advmod', 'punct']"

@@ -63,10 +63,18 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("v").cast("long").alias("report_id")))
 
 
+#: Both ways of interchange files: quotes are doubled, blanks are kept, an empty text is "" and a null is nothing.
+_CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: Stands for an unquoted empty field while it is read; no text holds it.
+_NOTHING = "\x00null\x00"
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType = CLAUSE_SCHEMA,
                    sep: str = "|", snake_case: bool = True) -> DataFrame:
-    """Pipe-delimited table with a header (clauses or predictions)."""
-    df = spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=False)
+    """Pipe-delimited table with a header (clauses or predictions); quoted fields may hold
+    separators, quotes (doubled) and line breaks."""
+    df = spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=False, multiLine=True, emptyValue="",
+                        nullValue=_NOTHING, **_CSV)
     return _snake(df) if snake_case else df
 
 
@@ -81,7 +89,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Gold clause labels ``report_id, clause_id, clause, aggression, cause``."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return _snake(spark.read.parquet(path))
     return read_delimited(spark, path, ANNOTATION_SCHEMA)
 
 
@@ -92,7 +100,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = "|",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.csv(path, sep=sep, header=True)
+        w.csv(path, sep=sep, header=True, emptyValue='""', nullValue="", **_CSV)
     else:
         w.parquet(path)
 

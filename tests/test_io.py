@@ -62,3 +62,18 @@ def test_fourier_svm_pipeline_persists(spark, tmp_dir):
     io.save_model(model, os.path.join(tmp_dir, "svm"))
     again = io.load_model(os.path.join(tmp_dir, "svm"))
     assert again.transform(data).count() == 40
+
+
+def test_csv_round_trip_of_any_text(spark, tmp_dir):
+    """Line breaks, quotes, separators, blanks, empty against null."""
+    import random
+    rnd = random.Random(3)
+    marks = ["a", " ", "|", '"', "\n", "\\", "'", ",", "é", "#", "\t"]
+    texts = [None, "", " ", '"', '""', "a|b", 'x"|"y', " lead", "trail ", "two\nlines", "\\", '\\"', "#no comment"]
+    texts += ["".join(rnd.choice(marks) for _ in range(rnd.randint(1, 8))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "report_id long, clause string")
+    path = f"{tmp_dir}/any"
+    io.write_table(df, path, fmt="csv")
+    schema = "report_id long, clause string"
+    back = {r.report_id: r.clause for r in io.read_delimited(spark, path, schema, snake_case=False).collect()}
+    assert back == dict(enumerate(texts))
