@@ -85,10 +85,11 @@ def word_list(c: Column | str) -> Column:
 
 
 def lexicon_regex(words: Iterable[str]) -> str:
-    """Whole-word alternation over lowercase letters (non-letters delimit words)."""
+    """Whole-word alternation; a word ends where no word character follows (accented letters and digits are such)."""
     import re
     alt = "|".join(re.escape(w) for w in words)
-    return f"(^|[^a-z])({alt})([^a-z]|$)"
+    edge = WORD_CHAR.replace("[", "[^", 1)
+    return f"(^|{edge})({alt})({edge}|$)"
 
 
 def keyword_tokens(c: Column | str) -> Column:

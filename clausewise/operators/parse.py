@@ -177,7 +177,7 @@ def verb_frames(tokens: DataFrame, rels: Sequence[str] = FRAME_RELATIONS, key: s
                   .withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)).cast("long")))
 
 
-def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERBS,
+def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] | DataFrame = AGGRESSIVE_VERBS,
                      staff: Sequence[str] = STAFF_WORDS, reflexive: Sequence[str] = REFLEXIVE_OBJECTS,
                      threats: Sequence[str] = THREAT_VERBS) -> DataFrame:
     """P5: ``passes`` iff the head lemma is in the lexicon and none of the excluding
@@ -185,8 +185,12 @@ def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERB
 
     R1 subject is staff; R2 object is reflexive; R3 passive subject is staff;
     R4 an agent is present and is not staff; R5 the verb's head has a threatening
-    lemma; R6 a descendant token is a double quote.
+    lemma; R6 a descendant token is a double quote.  The lexicon may be a table
+    with a column ``word``.
     """
+    from clausewise.operators.features import marked
+    own = frames.columns
+    frames, known = marked(frames, lexicon)
     def isin(c, words):
         return F.coalesce(F.col(c).isin(*words), F.lit(False))
     rules = {
@@ -198,7 +202,7 @@ def apply_role_rules(frames: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERB
         "r6": F.col("quoted"),
     }
     excluded = rules["r1"] | rules["r2"] | rules["r3"] | rules["r4"] | rules["r5"] | rules["r6"]
-    return frames.withColumn("passes", isin("lemma", lexicon) & ~excluded)
+    return frames.withColumn("passes", known & ~excluded).select(*own, "passes")
 
 
 def classify_clauses_rules(clauses: DataFrame, judged: DataFrame, key: str = "clause_id") -> DataFrame:
@@ -212,7 +216,7 @@ def classify_clauses_rules(clauses: DataFrame, judged: DataFrame, key: str = "cl
                .withColumn("aggressive_ids", F.coalesce("aggressive_ids", F.array().cast("array<int>"))))
 
 
-def rule_job(clauses: DataFrame, tokens: DataFrame, lexicon: Sequence[str] = AGGRESSIVE_VERBS,
+def rule_job(clauses: DataFrame, tokens: DataFrame, lexicon: Sequence[str] | DataFrame = AGGRESSIVE_VERBS,
              staff: Sequence[str] = STAFF_WORDS, reflexive: Sequence[str] = REFLEXIVE_OBJECTS,
              threats: Sequence[str] = THREAT_VERBS, key: str = "clause_id") -> DataFrame:
     """Clauses + tokens -> frames -> rules -> clause predictions."""

@@ -543,6 +543,22 @@ def q_rules_parse(spark, sf):
     return out.select("clause_id", "prediction", _ids_str("aggressive_ids").alias("aggressive_ids"))
 
 
+_RULES_HEAD, _RULES_TAIL = _rules_sql().rsplit("\nSELECT c.clause_id, CASE", 1)
+
+
+@register("rule_job_scores", _RULES_HEAD + ", " + ", ".join([
+    "rp AS (SELECT c.clause_id, CASE" + _RULES_TAIL + ")", *O.ALIGN_CTES, O.TEST_CTE,
+    "pairs AS (SELECT a.aggression AS gold, rp.prediction AS pred FROM annot a JOIN rp USING (clause_id) "
+    "WHERE a.report_id IN (SELECT report_id FROM testids))", O.CELLS_CTE]) + " " + O.macro_sql())
+def q_rule_job_scores(spark, sf):
+    """P8 to its end: rules -> predictions -> V5 scores on the test reports."""
+    cl = D.clauses(spark, sf)
+    lexicon = spark.createDataFrame([(w,) for w in PARSE_RULES["lexicon"]], "word string")
+    pred = P.rule_job(cl, D.parse_tokens(spark, sf, cl), **{**PARSE_RULES, "lexicon": lexicon})
+    _, scores, _ = V.evaluate(pred, D.annotations(spark, sf), D.test_reports(spark, sf))
+    return scores.select(*[F.round(c, 6).alias(c) for c in scores.columns])
+
+
 @register("clauses_from_parse", _rec(*O.PARSE_CTES,
           "ti AS (SELECT t.*, max(a.d) AS maxd, arg_max(a.a, a.d) AS root0 FROM tok t LEFT JOIN anc a "
           "ON a.clause_id = t.clause_id AND a.i = t.i GROUP BY ALL)",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.constants import CAUSE_WORDS, TEST_LEXICON
-from clausewise.functions.text import lexicon_regex, normalize_text, word_list
+from clausewise.functions.text import normalize_text, word_list
 from clausewise.operators.segment import clause_array, explode_structs, with_ids
 from clausewise.session import ship_package, spread
 
@@ -61,10 +61,6 @@ def clause_words(clauses_df: DataFrame) -> DataFrame:
                              F.posexplode_outer(word_list(F.col("clause"))).alias("i", "word")).filter("i IS NOT NULL")
 
 
-def lexicon_regex_for_tests() -> str:
-    return lexicon_regex(TEST_LEXICON)
-
-
 def doc_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report-level prediction: pos when any clause triggers (no shuffle: the clauses are in the row)."""
     arr = report_clause_arrays(spark, sf_dir)

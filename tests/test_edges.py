@@ -230,3 +230,22 @@ def test_annotator_and_encoder_are_made_once_per_task(spark):
     assert [r.vector for r in enc] == [[3.0], [0.0], [1.0]]
     stored = spark.createDataFrame([("a", [1.0])], "clause_id string, vector array<double>")
     assert [r.vector for r in E.attach_hidden_states(clauses, stored=stored, key="clause_id").collect()] == [[1.0]]
+
+
+def test_lexicon_word_edges(spark):
+    from clausewise.functions.text import lexicon_regex
+    df = spark.createDataFrame([("an idiot!",), ("idiotë",), ("idiot2",), ("éidiot",), ("idiot",)], "c string")
+    assert [r[0] for r in df.select(F.col("c").rlike(lexicon_regex(["idiot"]))).collect()] == [True, False, False, False, True]
+
+
+def test_lexicon_as_a_table(spark):
+    toks = spark.createDataFrame([("a", "hit"), ("a", "x"), ("b", "x"), ("c", None)], "clause_id string, lemma string")
+    words = spark.createDataFrame([("hit",), ("hit",), ("kick",)], "word string")
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(FT.lexicon_flags(toks, words, ["x"]).collect()) == key(FT.lexicon_flags(toks, ["hit", "kick"], ["x"]).collect())
+
+
+def test_last_prediction_of_a_key_counts(spark):
+    gold = spark.createDataFrame([("a", "pos"), ("b", "neg")], "clause_id string, aggression string")
+    pred = spark.createDataFrame([("a", "neg", 1), ("a", "pos", 2), ("b", "neg", 1)], "clause_id string, prediction string, n int")
+    assert sorted((r.clause_id, r.pred) for r in V.gold_vs_pred(gold, pred, order_col="n").collect()) == [("a", "pos"), ("b", "neg")]
