@@ -425,16 +425,16 @@ def test_viterbi_is_the_best_path(field):
 
 
 def test_pii_on_spark(spark):
-    docs = DOCS + [(50, "mail a.b@c.de, call (212) 555-0147 now"), (51, "License, Version 2.0."), (52, "1" * 300_000 + "@"), (53, "+1 (826) 555-4081 190.1.2.3 x")]
+    docs = DOCS + [(50, "mail a.b@c.de, call (212) 555-0147 now"), (51, "License, Version 2.0."), (52, "1" * 300_000 + "@"), (53, "éreé. Des +1 (826) 555-4081 190.137.223.204 du le")]
     got = pii.with_spans(rows_of(spark, docs)).select("doc_id", "text", "spans", pii.joined(F.col("spans")).alias("s"))
     rows = {r.doc_id: r for r in got.collect()}
     assert rows[50].s == "email:5:13,phone:20:34" and rows[51].s == "" == rows[2].s
-    assert rows[53].s == "ip:18:27,phone:0:17"
+    assert rows[53].s == "ip:28:43,phone:10:27"
     for d, t in docs:
-        if d in (1, 2, 9, 50, 51, 53):
+        if d in (1, 2, 9, 50, 51, 53):  # the plain patterns are quadratic on 52
             assert [(s.kind, s.start, s.end) for s in rows[d].spans if s.base] == [(k, *s) for k, v in brute_base(t or "").items() for s in v]
     cut = {r.doc_id: r.text for r in pii.redact(got).collect()}
-    assert cut[50] == "mail [email], call [phone] now" and cut[2] is None and cut[53] == "[phone] [ip] x"
+    assert cut[50] == "mail [email], call [phone] now" and cut[2] is None and cut[53] == "éreé. Des [phone] [ip] du le"
     assert pii.with_spans(rows_of(spark, docs).limit(0)).count() == 0
 
 
