@@ -2,9 +2,9 @@
 
 Texts are normalised to lower-case words.  The benchmark gives windows: every
 run of ``n`` consecutive words of an item, or the whole item when it is
-shorter.  Their hashes, with words and item ids, form a table that is broadcast
-when it has at most ``max_windows`` rows (its size is counted first; beyond
-that Spark shuffles both sides of the same join).  Documents are scanned once:
+shorter.  Their hashes, with words and item ids, form a table that is broadcast.
+Its size is counted first: a table of more than ``max_windows`` rows is split by
+hash, and each part is broadcast for a pass of its own.  Documents are scanned:
 each window of a document is hashed in its row and probed; a hit is verified
 word by word.  Every document also probes one sentinel, so that documents
 without hits come out of the same scan and nothing is joined back.
@@ -16,6 +16,9 @@ that repeat id and text get one result row each; empty tables are fine.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,7 @@ def _probe(docs: DataFrame, windows: DataFrame, n: int, max_windows: int, keep:
                                      F.array().cast("array<string>").alias("window"),
                                      F.array().cast(windows.schema["items"].dataType).alias("items"))
     table = windows.unionByName(sentinel)
-    if sum(sizes.values()) <= max_windows:
-        table = F.broadcast(table)
+    parts = max(1, math.ceil(sum(sizes.values()) / max(max_windows, 1)))
     count = F.size("w")
 
     def runs(w: Column, k: int) -> Column:
@@ -77,7 +79,9 @@ def _probe(docs: DataFrame, windows: DataFrame, n: int, max_windows: int, keep:
         before = before + F.greatest(count - (k - 1), F.lit(0))
     for k, value in cases:
         start = F.when(F.col("len") == k, value).otherwise(start)
-    hits = probes.join(table, "h").withColumn("start", start)
+    # one broadcast of bounded size per pass over the documents; nearly always there is one
+    passes = [probes.join(F.broadcast(table.filter(F.pmod("h", F.lit(parts)) == i) if parts > 1 else table), "h") for i in range(parts)]
+    hits = reduce(DataFrame.unionByName, passes).withColumn("start", start)
     real = (F.col("len") > 0) & (F.slice("w", F.greatest(F.col("start"), F.lit(1)), F.col("len")) == F.col("window"))
     return hits.filter(((F.col("len") == 0) & (F.col("p") == 0)) | real).select(
         *keep, count.alias("n_words"), "start", "len", "items")
