@@ -30,11 +30,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import bind, lower_ascii, row_key
+from clausewise.llm.common import bind, fresh, lower_ascii, row_key
 from clausewise.session import cut_lineage, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,14 +67,25 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
-def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for hashes in parts:
-        yield pd.Series([majority(np.asarray(h, dtype=np.int64)) if len(h) else 0 for h in hashes], dtype="int64")
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, lists of hashes, by fingerprints."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        made = [majority(values[a:b]) if b > a else 0 for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "fingerprint") -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` with the fingerprint ``fp``.
+
+    The hashes are made by Spark and counted in Arrow batches: as a step of its own, since
+    this Spark version does not always extract a Python function whose argument holds a lambda."""
     ship_package(docs.sparkSession)
-    return docs.withColumn(out, F.pandas_udf(_fingerprints, "bigint")(shingle_hashes(F.col(text), shingle)))
+    kept = docs.columns if keep is None else keep
+    rows = docs.select(*kept, shingle_hashes(F.col(text), shingle).alias("fp"))
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(_fingerprints, ", ".join([*types, "fp bigint"]))
 
 
 def _index(members: DataFrame, width: int) -> DataFrame:
@@ -102,7 +113,9 @@ def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``a < b`` of the distinct fingerprints ``fp`` that differ in at most ``max_bits`` (up to 3) bits."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments of which one differs by at most one bit need max_bits of 0 to 3")
-    members = fps.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("low"))
+    # few and narrow rows that become many: spread over all tasks
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = fps.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("low")).repartition(tasks)
     found, width = [], 64
     while True:
         index = _index(members, width)
@@ -111,14 +124,17 @@ def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                       .filter((F.col("n") > 1) & (F.col("zero").isNull() | (F.col("zero") < F.col("one")))))
         sizes = cut_lineage(sizes)
         found.append(sizes.filter((F.col("n") == 2) & _near("a", "b", max_bits)).select("a", "b"))
-        several = index.join(sizes.filter("n > 2").select("key", "n"), "key")
+        # always a sort-merge join: a broadcast would hold as many keys as the corpus has shared segments
+        several = cut_lineage(index.join(sizes.filter("n > 2").select("key", "n").hint("merge"), "key"))
         last = width <= LAST_WIDTH
         packed = (several.filter(F.lit(last) | (F.col("n") <= BUCKET)).groupBy("key")
                          .agg(F.collect_set(F.struct("fp", "side")).alias("m")))
         one = packed.select("m", F.explode("m").alias("x")).filter("x.side IS NULL OR x.side = 0")
-        two = one.select("x", F.explode("m").alias("y")).filter("y.side IS NULL AND x.fp < y.fp OR y.side = 1")
-        two = two.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-        found.append(two.filter(_near("a", "b", max_bits)))
+        # compared inside the row: only links leave it
+        linked = F.filter("m", lambda y: (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= max_bits)
+                          & ((y["side"].isNull() & (F.col("x.fp") < y["fp"])) | (y["side"] == 1)))
+        two = one.select("x", F.explode_outer(linked).alias("y")).filter("y IS NOT NULL")
+        found.append(two.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")))
         if last or sizes.filter(F.col("n") > BUCKET).isEmpty():
             break
         members = several.filter(F.col("n") > BUCKET).select("fp", F.col("key").alias("bucket"), F.col("rest").alias("low"))
@@ -152,7 +168,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: id, ``row_key``, ``fingerprint`` (signed 64 bits), ``class`` (a
     fingerprint that names the component) and ``component_id`` (smallest id reachable)."""
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), row_key(F.col(doc_id), F.col(text)).alias("row_key"))
-    rows = cut_lineage(with_fingerprint(rows, "_text", shingle, "fp").select("_id", "row_key", "fp"))
+    rows = cut_lineage(with_fingerprint(rows, "_text", shingle, ["_id", "row_key"]))
     fps = rows.groupBy("fp").agg(F.min("_id").alias("least"))
     labels = components(near_pairs(fps.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     linked = fps.join(labels, "fp")
@@ -171,7 +187,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     last, then by row key); of equal rows one stays."""
     found = near_duplicates(docs, doc_id, text, shingle, max_bits)
     first = found.groupBy("class").agg(F.min(F.struct(F.col(doc_id).isNull(), F.col(doc_id).alias("id"), F.col("row_key").alias("key"))).alias("k"))
-    keep = first.select(F.col("k.id").alias("_id"), F.col("k.key").alias("_key"))
-    keyed = docs.withColumn("_row", row_key(docs[doc_id], docs[text]))
-    kept = keyed.join(keep, (F.col("_row") == F.col("_key")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_row", doc_id]).drop("_row")
+    row, key, other = fresh(docs, "_row", "_key", "_id")
+    keep = first.select(F.col("k.id").alias(other), F.col("k.key").alias(key))
+    keyed = docs.withColumn(row, row_key(docs[doc_id], docs[text]))
+    kept = keyed.join(keep, (F.col(row) == F.col(key)) & F.col(doc_id).eqNullSafe(F.col(other)), "left_semi")
+    return kept.dropDuplicates([row, doc_id]).drop(row)
