@@ -883,8 +883,8 @@ def q_event_precursors_indexed(spark, sf):
 @register("attach_tokens", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok "
           "WHERE clause_id IN (SELECT clause_id FROM clauses WHERE report_id % 10 < 7)")
 def q_attach_tokens(spark, sf):
-    """P1 with a stored token table: the tokens of the development clauses."""
-    cl = D.clauses(spark, sf).filter(D.is_dev(F.col("report_id"))).select("clause_id")
+    """P1 with a stored token table: the tokens of every clause."""
+    cl = D.clauses(spark, sf).select("clause_id")
     toks = P.attach_tokens(cl, tokens=D.parse_tokens(spark, sf))
     return toks.select("clause_id", F.col("i").cast("long").alias("i"), "text", "lemma", "dep",
                        F.col("head").cast("long").alias("head"))
