@@ -20,10 +20,11 @@ from clausewise.functions.vectors import as_double, bounded_group_mean, mean_vec
 
 def attach_hidden_states(df: DataFrame, make_encoder: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]] | None = None,
                          schema: str | None = None, stored: DataFrame | None = None,
-                         key: str | list[str] = "sentence_id") -> DataFrame:
+                         key: str | list[str] = "sentence_id", how: str = "inner") -> DataFrame:
     """Add encoder outputs to rows.
 
-    With ``stored``, a stored table is equi-joined on ``key``.  With
+    With ``stored``, a stored table is equi-joined on ``key`` (``how="left"``
+    keeps the rows that it has nothing for, with nulls).  With
     ``make_encoder``, that is called once per task (it loads the model) and
     returns a function from a pandas batch to a pandas batch with the ``schema``
     columns, which runs per Arrow batch inside the executors.
@@ -39,7 +40,7 @@ def attach_hidden_states(df: DataFrame, make_encoder: Callable[[], Callable[[pd.
         return df.mapInPandas(run, schema=schema)
     if stored is None:
         raise ValueError("give an encoder function or a stored table")
-    return df.join(stored, key, "inner")
+    return df.join(stored, key, how)
 
 
 def sum_last_layers(df: DataFrame, layers_col: str = "layers", k: int = 2, out_col: str = "vector") -> DataFrame:

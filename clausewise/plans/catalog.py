@@ -893,8 +893,8 @@ def q_attach_tokens(spark, sf):
 @register("attach_vectors", "SELECT c.conv_id, c.turn, v.vec_id, round(list_sum(v.embedding::DOUBLE[]), 6) + 0.0 AS vec_sum FROM conversations c "
           "JOIN embeddings v ON v.vec_id = c.conv_id * 7 + c.turn")
 def q_attach_vectors(spark, sf):
-    """E1 with a stored table: turns and the vectors stored under their number."""
+    """E1 with a stored table: every turn, with the vector stored under its number or null."""
     turns = D.table(spark, sf, "conversations", "conv_id", "turn").withColumn("vec_id", F.col("conv_id") * 7 + F.col("turn"))
-    out = E.attach_hidden_states(turns, stored=D.table(spark, sf, "embeddings", "vec_id", "embedding"), key="vec_id")
+    out = E.attach_hidden_states(turns, stored=D.table(spark, sf, "embeddings", "vec_id", "embedding"), key="vec_id", how="left")
     from clausewise.functions.vectors import as_double, vsum
     return out.withColumn("v", as_double("embedding")).select("conv_id", "turn", "vec_id", (F.round(vsum("v"), 6) + 0.0).alias("vec_sum"))

@@ -15,3 +15,14 @@ def test_every_clause_gets_its_tokens(spark):
             for i, w in enumerate(w for _, w in words_of(c.clause))]
     got = [(r.clause_id, r.i, r.text) for r in C.q_attach_tokens(spark, SF).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_every_turn_comes_back_with_or_without_a_vector(spark):
+    sf = "/root/testdata/sf0.01"
+    stored = {r.vec_id: sum(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn").collect()
+    got = {(r.conv_id, r.turn): r.vec_sum for r in C.q_attach_vectors(spark, sf).collect()}
+    assert set(got) == {(t.conv_id, t.turn) for t in turns} and len(got) == len(turns)
+    for (conv, turn), total in got.items():
+        want = stored.get(conv * 7 + turn)
+        assert (total is None) == (want is None) and (want is None or abs(total - want) < 1e-4)
