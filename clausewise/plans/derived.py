@@ -148,16 +148,20 @@ def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = No
 
 def word_pieces(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None, index_by: list | None = None,
                 order: list | None = None) -> DataFrame:
-    """Word pieces of every vector word: 6-letter slices, later ones prefixed ``##``;
+    """Word pieces of every non-empty word: 6-letter slices, later ones prefixed ``##``
+    (a word that itself begins with ``##`` has its first sign as first piece, so that
+    it is not taken for the rest of the word before it);
     two hidden layers per piece taken from the vector table (ids h and h + 1).
     With ``index_by``/``order`` the word index is computed before the layers are
     attached (narrow rows through the window)."""
-    occ = word_occurrences(spark, sf_dir, cl)
-    k = F.floor((F.length("word") + PIECE_LEN - 1) / PIECE_LEN).cast("int")
+    occ = clause_word_rows(cl if cl is not None else clauses(spark, sf_dir)).filter("word <> ''")
+    # letters that the first piece is short of a full one
+    short = F.when(F.col("word").startswith("##"), F.lit(PIECE_LEN - 1)).otherwise(F.lit(0))
+    k = F.floor((F.length("word") + short + PIECE_LEN - 1) / PIECE_LEN).cast("int")
     pieces = occ.select("sentence_id", "clause_id", "clause_no", "i", F.posexplode(F.transform(
         F.sequence(F.lit(0), k - 1),
-        lambda j: F.concat(F.when(j > 0, F.lit("##")).otherwise(F.lit("")),
-                           F.substr(F.col("word"), j * PIECE_LEN + 1, F.lit(PIECE_LEN))))).alias("j", "piece"))
+        lambda j: F.when(j > 0, F.concat(F.lit("##"), F.substr(F.col("word"), j * PIECE_LEN + 1 - short, F.lit(PIECE_LEN))))
+                   .otherwise(F.substr(F.col("word"), F.lit(1), PIECE_LEN - short)))).alias("j", "piece"))
     n = n_vectors(spark, sf_dir)
     pieces = pieces.withColumn("h0", vec_hash(F.col("piece"), n)).withColumn("h1", (F.col("h0") + 1) % n)
     if index_by is not None:

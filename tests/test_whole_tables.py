@@ -26,3 +26,20 @@ def test_every_turn_comes_back_with_or_without_a_vector(spark):
     for (conv, turn), total in got.items():
         want = stored.get(conv * 7 + turn)
         assert (total is None) == (want is None) and (want is None or abs(total - want) < 1e-4)
+
+
+def test_pieces_are_of_every_word(spark):
+    words = {}
+    for r in D.clause_word_rows(D.clauses(spark, SF)).filter("word <> ''").collect():
+        words.setdefault(r.sentence_id, []).append((r.clause_no, r.i, r.word))
+    got, spelled = {}, {}
+    for r in C.q_merge_pieces(spark, SF).collect():
+        got.setdefault(r.sentence_id, []).append((r.word_idx, r.word))
+    assert {s: [w for _, _, w in sorted(x)] for s, x in words.items()} == {s: [w for _, w in sorted(x)] for s, x in got.items()}
+    assert any(w[2].startswith("##") for x in words.values() for w in x) and any(not w[2][0].isascii() for x in words.values() for w in x)
+    for r in C.q_sum_layers(spark, SF).collect():
+        spelled.setdefault((r.sentence_id, r.clause_no, r.i), []).append((r.j, r.piece))
+    assert {(s, n, i): w for s, x in words.items() for n, i, w in x} == {
+        k: "".join(p.removeprefix("##") if j else p for j, p in sorted(x)) for k, x in spelled.items()}
+    assert {s: len(x) for s, x in words.items()} == {r.sentence_id: r.n_words for r in C.q_sentence_embedding(spark, SF).collect()}
+    assert not any(r.cosine_b is None for r in C.q_compare_embeddings(spark, SF).collect())
