@@ -10,7 +10,7 @@ near_duplicates  one document of each SimHash component stays
 decontamination  documents that hold a benchmark window go
 mixing           no clean document goes: rates are at least one, so documents of
                  domains below their target share are repeated
-sharding         every row gets its shard and its slot there
+sharding         every row gets its shard, its slot there and its shard with one more
 
 Null ids and texts, empty and very long texts, repeated rows, empty tables and
 extra columns are handled as the operators define it.
@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = sharding.shard_rows(docs, sharding.grid(SHARDS))
+    rows = sharding.shard_rows(docs, sharding.grid(SHARDS), sharding.grid(SHARDS + 1))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

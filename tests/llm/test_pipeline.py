@@ -40,6 +40,13 @@ def test_stages_do_what_their_operators_decide(spark):
     assert all(placed[r.doc_id] == r.shard for r in shards.collect())
 
 
+def test_sharding_stage_shows_the_growth(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = dict(corpus_pipeline.STAGES)["sharding"](spark, docs, SF).collect()
+    assert all(r.grown_shard in (r.shard, 24) for r in rows)
+    assert any(r.grown_shard == 24 for r in rows) and any(r.grown_shard == r.shard for r in rows)
+
+
 def test_run_keeps_extra_columns_and_survives_odd_rows(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     odd = spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "s", 0), (5, "", "en", "s", 0), (7, None, "de", None, 1)],
