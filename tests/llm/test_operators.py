@@ -171,6 +171,19 @@ def test_quality_on_held_out_rows(spark):
     assert {r.predicted for r in rows} == {0, 1}
 
 
+def test_quality_learns_once_from_an_id(spark):
+    texts = {i: ("good plain words of a page " * (3 + i) if i % 2 else "&& 1 9 9 !! ab ab ab " * (2 + i)) for i in range(40)}
+    once = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, quality int")
+    hot = next(i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2)
+    many = [(hot, f"{n} other text !! " * 9) for n in range(200)] + [(hot, None)] * 50
+    repeated = once.unionByName(spark.createDataFrame(many, once.schema)).repartition(4)
+    least = repeated.filter(F.col("doc_id") == hot).orderBy(F.xxhash64("text")).first().text
+    want = quality.fit(once.withColumn("text", F.when(F.col("doc_id") == hot, F.lit(least)).otherwise(F.col("text"))), labels)
+    got = quality.fit(repeated, labels)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.weights, want.weights) and np.isclose(got.threshold, want.threshold)
+
+
 def test_quality_edges(spark):
     docs = rows_of(spark, DOCS)
     labels = spark.createDataFrame([(1, 1), (1, 1), (4, 0), (9, None), (7, 0), (7, 1), (None, 0)], "doc_id bigint, quality int")
