@@ -24,13 +24,15 @@ Domains are at most ``MAX_DOMAINS``; the broadcast word table has at most
 Defined cases: a null or wordless text has no tokens, the prior as posterior and
 a rate like any other; a null domain is not learned from; without labelled rows
 there is one domain, named null; rows that repeat id and text share their rate
-and copies; a domain without a target has target 0; an empty table gives an
-empty result.
+and copies; a domain without a target has target 0; a target of a domain without
+labelled rows cannot be met, which is warned of; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -46,6 +48,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 MAX_DOMAINS = 64
 MAX_LABELLED = 2_000
+#: Column of a labelled table that is itself a sample: rows of the domain before it, for the prior.
+ROWS_OF = "rows_of_domain"
 EFFECTIVE = 20.0
 _SETTLED = 1e-6
 #: Steps after which the rates are written, so that their expression stays short.
@@ -68,8 +72,10 @@ class Model:
 
 def fit(labelled: DataFrame, domain: str = "domain", text: str = "text", max_labelled: int = MAX_LABELLED, smooth: float = 0.1) -> Model:
     """Word counts of the labelled rows (``domain``, ``text``) by domain."""
-    rows = labelled.select(F.col(domain).cast("string").alias("d"), F.col(text).alias("t")).filter("d IS NOT NULL")
-    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
+    size = F.max("n") if ROWS_OF in labelled.columns else F.count(F.lit(1))
+    before = F.col(ROWS_OF) if ROWS_OF in labelled.columns else F.lit(1)
+    rows = labelled.select(F.col(domain).cast("string").alias("d"), F.col(text).alias("t"), before.alias("n")).filter("d IS NOT NULL")
+    sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(size.alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains = sorted(sizes)
@@ -166,6 +172,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], doc_
     default as many as the documents have or, when rates may not fall below one
     (``low=1``), the least with which no domain would have to shrink."""
     model = fit(labelled, domain, text)
+    unknown = sorted(d for d, w in weights.items() if w > 0 and d not in model.domains)
+    if unknown:
+        warnings.warn(f"no labelled rows of {', '.join(unknown)}: the targets of these domains are shared out among the others", stacklevel=2)
     members = cut_lineage(posteriors(docs, model, doc_id, text))
     k = range(len(model.domains))
     share = np.array([float(weights.get(d, 0.0)) if d is not None else 1.0 for d in model.domains])

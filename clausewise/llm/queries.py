@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,11 +67,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
-    """At most ``rows`` of the documents that ``labels`` covers (those with the smallest hash of
-    their id), with their language as domain: the small labelled table of the mixing classifier."""
+    """The documents of at most ``rows`` ids of each language (those with the smallest hash) among the
+    documents that ``labels`` covers, with the language as domain: the small labelled table of the mixing
+    classifier.  Only documents that are there are sampled, so a rare language keeps its rows;
+    ``mixing.ROWS_OF`` carries how many a language has before the sample, for the prior."""
     known = labels.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    known = known.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(rows)
-    return cut_lineage(docs.join(F.broadcast(known), "doc_id", "left_semi").select(F.col("lang").alias("domain"), "text"))
+    # an id that repeats is counted before the join, so that it is one row there
+    covered = cut_lineage(docs.filter("lang IS NOT NULL").groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("_n"))
+                              .join(known, "doc_id", "left_semi"))
+    sizes = covered.groupBy("lang").agg(F.sum("_n").alias("n")).orderBy("lang").limit(mixing.MAX_DOMAINS + 1).collect()
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    parts = [covered.filter(F.col("lang") == r["lang"]).orderBy(order).limit(rows)
+                    .select("doc_id", "lang", F.lit(r["n"]).alias(mixing.ROWS_OF)) for r in sizes]
+    sample = reduce(DataFrame.unionByName, parts, covered.select("doc_id", "lang", F.col("_n").alias(mixing.ROWS_OF)).limit(0))
+    return cut_lineage(docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
+                           .select(F.col("lang").alias("domain"), "text", mixing.ROWS_OF))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

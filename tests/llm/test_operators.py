@@ -387,6 +387,21 @@ def test_mixing_meets_targets_and_edges(spark):
     assert mixing.resample(docs.limit(0), labelled, {"x": 1.0}).count() == 0
 
 
+def test_a_rare_language_is_learned_and_an_unknown_one_reported(spark):
+    from clausewise.llm import queries
+    langs = ["en"] * 60 + ["fr"] * 3 + [None] * 4
+    docs = spark.createDataFrame([(i, lang, f"{lang} words {i}") for i, lang in enumerate(langs)] + [(60, "fr", "again")] * 2,
+                                 "doc_id bigint, lang string, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in [None, *range(-2000, 67)]], "doc_id bigint, quality int")
+    rows = queries.labelled_domains(docs, labels, rows=10).collect()
+    assert collections.Counter(r.domain for r in rows) == {"en": 10, "fr": 5}
+    assert {(r.domain, r[mixing.ROWS_OF]) for r in rows} == {("en", 60), ("fr", 5)}
+    model = mixing.fit(queries.labelled_domains(docs, labels, rows=10))
+    assert model.domains == ["en", "fr"] and np.allclose(np.exp(model.prior), [60 / 65, 5 / 65])
+    with pytest.warns(UserWarning, match="no labelled rows of de"):
+        mixing.mix(docs, queries.labelled_domains(docs, labels), {"en": 0.7, "fr": 0.1, "de": 0.2})
+
+
 # ---------------------------------------------------------------- 9
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
