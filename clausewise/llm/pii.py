@@ -5,14 +5,15 @@ Base spans are leftmost, non-overlapping matches per kind with a check each
 match that fails its check is dropped.  They always stay.
 
 The field adds what the patterns cannot spell out: numbers without a plus sign,
-addresses written with "at" and "dot", spaced or bracketed forms.  It labels
+national ones too, addresses written with "at" and "dot", in brackets or plain,
+spaced forms.  It labels
 tokens B, I or O for each kind from word-shape features (shape of the token and
 its neighbours, known context words, digits and place in the surrounding run of
 digits).  It is trained from a small labelled table (texts with spans, at most
 ``MAX_LABELLED`` rows; :func:`labelled_table` writes one from templates) and
 decoded by Viterbi in numpy, many sequences at a time.  A sequence is the text
-within ``REACH`` characters of a digit, an ``@`` or a bracketed "at", cut at
-white space; elsewhere a text holds nothing that a label could begin with.  An
+within ``REACH`` characters of a digit, an ``@``, a bracketed "at" or a plain one
+whose next word a "dot" follows, cut at white space; elsewhere a text holds nothing that a label could begin with.  An
 added span must pass the check of its kind in normalised form and must not touch
 a base span or another added one.
 
@@ -100,7 +101,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 # ---------------------------------------------------------------- tokens and features
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-_TRIGGER = re.compile(r"[0-9@]+|[\[({] ?at ?[\])}]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]+|[\[({] ?at ?[\])}]|(?<=[A-Za-z0-9._%+-]) at (?=[A-Za-z0-9-]++ dot [A-Za-z0-9])", re.IGNORECASE)
 _RUN = re.compile(r"\+?\(?[0-9](?:[ ().\[\]/-]{0,3}[0-9])*+")
 
 
@@ -153,6 +154,8 @@ def token_features(text: str, start: int, end: int) -> tuple[list[Span], list[li
         glued = ("l" if i and spans[i - 1][1] == a else "") + ("r" if i + 1 < len(spans) and spans[i + 1][0] == b else "")
         f = [f"s={s[2]}", f"s-={s[1]}|{s[2]}", f"s+={s[2]}|{s[3]}", f"s--={s[0]}|{s[1]}|{s[2]}", f"s++={s[2]}|{s[3]}|{s[4]}",
              f"run={run}", f"run={run}|{s[2]}", f"g={glued}|{s[2]}"]
+        if w[0] == "0":
+            f.append(f"0|{s[2]}|{s[3]}")
         for k, name in ((-2, "w--"), (-1, "w-"), (0, "w"), (1, "w+"), (2, "w++")):
             if 0 <= i + k < len(words) and words[i + k][0].isalpha():
                 f.append(f"{name}={words[i + k].lower()}")
@@ -301,7 +304,11 @@ _PLAIN = ["License, Version 2.0.", "CC BY-NC 4.0.", "version 3.", "on 2021-03-14
           "costs $ 19.99 only", "pages 123-145 of it", "from 1999-2004 on", "ISBN 978-3-16-148410-0 in print", "order #4711-0815 shipped",
           "chapter 3.2.1 says", "room 101 (floor 2)", "about 3 000 000 people", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" here",
           "in 2019, 2020, 2021 and 2022", "a ratio of 16:9 or 4:3", "sections 12 13 14 15 16 17", "it was 20 (or 30) of 1000", "see [1] [2] [3]",
-          "twitter @someone said", "meet (at) noon", "5 x 10 x 15 cm", "zip 90210-1234 there", "9807915762804491 units", "vol. 12 no. 345 pp. 678-901"]
+          "twitter @someone said", "meet (at) noon", "5 x 10 x 15 cm", "zip 90210-1234 there", "9807915762804491 units", "vol. 12 no. 345 pp. 678-901",
+          "look at that dot over there", "aimed at one dot on it", "at every dot we stop", "years 2019 2020 2021 there", "a sum of 1 234 567 890 in all",
+          "1,234,567,890 of them", "0.123456789 of it", "id 0123456789 there", "serial 1234567890 here", "on 2021-03-14 12:30:45 we met", "stamp 20210314 123045 there",
+          "rows 100 200 300 400 of it", "1999-2004 and 2005-2009", "from 1914-1918 1939-1945", "123.456.789 euros", "scores 21-19 18-21 21-17", "2 x 300 400 5000 mm",
+          "part 123-456-78 is sold out", "3.14159265358979 or so"]
 
 
 def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -319,14 +326,18 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[tupl
     def phone() -> str:
         a, b, c = r.choice("23456789") + num(2), num(3), num(4)
         return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b} {c}", f"({a}) {b}.{c}", f"1-{a}-{b}-{c}", f"001 {a} {b} {c}",
-                         f"+{num(2)} {num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(7)}", f"+1/{a}/{b}/{c}", f"({a})/{b}-{c}"])
+                         f"+{num(2)} {num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(7)}", f"+1/{a}/{b}/{c}", f"({a})/{b}-{c}",
+                         *[s.join((a, b, c)) for s in ("-", ".", " ")],
+                         *[f"0{a}{s}{num(n)}" for s, n in ((" ", r.randint(6, 8)), ("/", r.randint(6, 8)), ("-", r.randint(6, 8)), (" ", 8))],
+                         " ".join((f"0{a}", b, c)), " ".join((f"0{a[:2]}", num(4), num(4))), " ".join((f"0{a[0]}", num(2), num(2), num(2), num(2)))])
 
     def ip() -> str:
         o = [str(r.randint(0, 255)) for _ in range(4)]
         return r.choice([".", ".", "[.]", " . ", "(.)"]).join(o)
 
     def email() -> str:
-        at, dot = r.choice([("@", "."), ("@", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", ".")])
+        at, dot = r.choice([("@", "."), ("@", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", "."),
+                            (" at ", " dot "), (" at ", " dot ")])
         return f"{name()}{r.choice(['', '.' + name(), num(2)])}{at}{name()}{dot}{r.choice(['com', 'org', 'net', 'de'])}"
 
     value = {"phone": phone, "email": email, "ip": ip, "card": card}
@@ -347,10 +358,12 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[tuple[str, list[tupl
 
 # ---------------------------------------------------------------- spans of a batch of texts
 
-_UNDO = [(re.compile(r"\s*[\[({]\s*at\s*[\])}]\s*|\s+@\s+", re.IGNORECASE), "@"), (re.compile(r"\s*[\[({]\s*dot\s*[\])}]\s*", re.IGNORECASE), ".")]
+# a plain "at" is one only before a word and a plain "dot"
+_UNDO = [(re.compile(r"\s*[\[({]\s*at\s*[\])}]\s*|\s+@\s+|\s+at\s+(?=[A-Za-z0-9-]++\s+dot\s)", re.IGNORECASE), "@"),
+         (re.compile(r"\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+", re.IGNORECASE), ".")]
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@" + _DOMAIN.pattern)
 _SPREAD_IP = re.compile(r"\s*[\[(]?\s*\.\s*[\])]?\s*")
-_PHONE_FORM = re.compile(r"(?:\(\d{2,5}\)|00\d|\+\d|1-\d)[\d ()./-]*\d")
+_PHONE_FORM = re.compile(r"[+(]?[0-9][0-9 ()./-]*[0-9]")
 
 
 def passes(kind: str, value: str) -> bool:

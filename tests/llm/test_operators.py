@@ -438,6 +438,16 @@ def test_field_on_a_held_out_table(field):
     assert any(not x[3] for _, f in marked for x in f)
 
 
+def test_field_adds_national_numbers_and_plain_at_dot(field):
+    want = {"call 212-555-0187 today": "212-555-0187", "ring 0151 23456789 or so": "0151 23456789", "phone: 212.555.0187": "212.555.0187",
+            "write to jane at example dot com please": "jane at example dot com",
+            "jane.doe at mail dot example dot org": "jane.doe at mail dot example dot org"}
+    for text, found in zip(want, pii.find_spans(list(want), field), strict=True):
+        assert [text[a:b] for _, a, b, _ in found] == [want[text]], text
+    plain = ["ISBN 978-3-16-148410-0 in print", "in 2019 2020 2021 2022 we", "price 1 234 567 890 all", "I was at home dot com was down", "look at the dot here"]
+    assert not any(pii.find_spans(plain, field))
+
+
 def test_viterbi_is_the_best_path(field):
     import itertools
     draw = np.random.default_rng(1)
