@@ -61,10 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+#: Tasks per core that write a checkpoint at most: more files than that only burden the file system.
+CHECKPOINT_TASKS = 4
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+
+    Written by at most ``CHECKPOINT_TASKS`` tasks a core; a task reads several
+    partitions one after the other, so none holds more than a partition."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(CHECKPOINT_TASKS * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
