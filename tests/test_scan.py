@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from clausewise.operators.scan import running
 
-W = Window.partitionBy("k", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-
 
 def both(df, parts):
+    w = Window.partitionBy("k", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     scan = running(df, ["k", "g"], ["at"], {"total": F.col("v") * 2, "n": F.lit(1)}, {"seen": F.col("s")}, parts)
-    window = df.select("*", F.sum(F.col("v") * 2).over(W).alias("total"), F.sum(F.lit(1)).over(W).alias("n"),
-                       F.last("s", ignorenulls=True).over(W).alias("seen"))
+    window = df.select("*", F.sum(F.col("v") * 2).over(w).alias("total"), F.sum(F.lit(1)).over(w).alias("n"),
+                       F.last("s", ignorenulls=True).over(w).alias("seen"))
     order = lambda rows: sorted(map(tuple, rows), key=str)
     return order(scan.collect()), order(window.collect())
 
