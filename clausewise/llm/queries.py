@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import decontaminate, fingerprints, mixing, pii, quality, sharding, simhash, token_counts, url_filter, warc
+from clausewise.llm import (decontaminate, fingerprints, mixing, pii, prefix_trie, quality, sharding, simhash, token_counts,
+                            url_filter, warc)
 from clausewise.llm.common import table
 from clausewise.session import checkpoint_dir, cut_lineage
 
@@ -106,9 +107,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_quality, op5_simhash,
                                    op6_token_counts, op7_warc, op8_mixing, op9_personal_data,
-                                   op10_fingerprints)}
+                                   op10_fingerprints, op12_prefix_trie)}
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -164,4 +169,43 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM p JOIN f USING (h)""",
+    "op12_prefix_trie": r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+               lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+sizes AS (SELECT c, max(pos) AS n FROM t GROUP BY c),
+known AS (SELECT ids.c, base, h, least(h, coalesce(n, 0)) AS m FROM ids LEFT JOIN sizes ON sizes.c = base),
+turns AS (
+  SELECT known.c, pos AS d, role, text FROM known JOIN t ON t.c = base AND pos <= h
+  UNION ALL
+  SELECT known.c, pos - h + m, role, text FROM known JOIN t ON t.c = known.c AND pos > h),
+steps AS (
+  SELECT c, d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+         list(struct_pack(r := role, x := text)) OVER (PARTITION BY c ORDER BY d) AS path
+  FROM turns
+  UNION ALL SELECT c, 0, 0, [] FROM known),
+hashed AS (SELECT c, d, words, sha256(path::VARCHAR || len(path)) AS node,
+                  CASE WHEN d > 0 THEN sha256(list_slice(path, 1, d - 1)::VARCHAR || (len(path) - 1)) END AS parent,
+                  d = max(d) OVER (PARTITION BY c) AS ends FROM steps),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM hashed GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up(node, top) AS (
+  SELECT node, node FROM nodes
+  UNION ALL SELECT up.node, nodes.parent FROM up JOIN nodes ON nodes.node = up.top WHERE nodes.parent IS NOT NULL),
+sums AS (
+  SELECT top, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM up JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends_sha256
+FROM nodes JOIN sums ON sums.top = nodes.node LEFT JOIN kids ON kids.node = nodes.node LEFT JOIN nodes above ON above.node = nodes.parent""",
 }
