@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import (decontaminate, fingerprints, mixing, pii, prefix_trie, quality, sharding, simhash, token_counts,
-                            url_filter, warc)
+from clausewise.llm import (decontaminate, fingerprints, mixing, phrases, pii, prefix_trie, quality, sharding, simhash,
+                            token_counts, url_filter, warc)
 from clausewise.llm.common import table
 from clausewise.session import checkpoint_dir, cut_lineage
 
@@ -111,9 +111,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_quality, op5_simhash,
                                    op6_token_counts, op7_warc, op8_mixing, op9_personal_data,
-                                   op10_fingerprints, op12_prefix_trie)}
+                                   op10_fingerprints, op12_prefix_trie, op13_phrases)}
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -208,4 +212,37 @@ sums AS (
 SELECT nodes.conv_id, nodes.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, nodes.n_convs::BIGINT AS n_convs,
        coalesce(kids.n, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends_sha256
 FROM nodes JOIN sums ON sums.top = nodes.node LEFT JOIN kids ON kids.node = nodes.node LEFT JOIN nodes above ON above.node = nodes.parent""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, words, count(*) AS f
+  FROM (SELECT lang, list_slice(w, i, i + k - 1) AS words
+        FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+              FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k))
+  GROUP BY lang, words HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE len(words) > 1),
+inside AS (
+  SELECT lang, list_slice(words, i, i + k - 1) AS words, f AS longer
+  FROM (SELECT *, unnest(generate_series(1, len(words) - k + 1)) AS i
+        FROM (SELECT *, unnest(generate_series(2, len(words) - 1)) AS k FROM c WHERE len(words) > 2))),
+kept AS (
+  SELECT c.lang, c.words, c.f AS a FROM c
+  LEFT JOIN (SELECT lang, words, max(longer) AS longer FROM inside GROUP BY lang, words) x ON x.lang = c.lang AND x.words = c.words
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, words, a, unnest(generate_series(1, len(words) - 1)) AS k FROM kept),
+scored AS (
+  SELECT cuts.lang, cuts.words, a, k, l.f AS l, r.f AS r, n, 1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS score
+  FROM cuts JOIN total ON total.lang = cuts.lang
+  JOIN f l ON l.lang = cuts.lang AND l.words = list_slice(cuts.words, 1, k)
+  JOIN f r ON r.lang = cuts.lang AND r.words = list_slice(cuts.words, k + 1, len(cuts.words))),
+best AS (
+  SELECT *, array_to_string(words, ' ') AS phrase FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000""",
 }
