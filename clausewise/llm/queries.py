@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise.llm import (decontaminate, fingerprints, mixing, phrases, pii, prefix_trie, quality, sharding, simhash,
-                            token_counts, url_filter, warc)
+                            token_counts, toxicity, url_filter, warc)
 from clausewise.llm.common import table
 from clausewise.session import checkpoint_dir, cut_lineage
 
@@ -107,6 +107,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -117,7 +122,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_sharding, op4_quality, op5_simhash,
                                    op6_token_counts, op7_warc, op8_mixing, op9_personal_data,
-                                   op10_fingerprints, op12_prefix_trie, op13_phrases)}
+                                   op10_fingerprints, op11_toxicity, op12_prefix_trie, op13_phrases)}
 
 _UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
