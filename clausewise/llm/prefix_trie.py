@@ -9,14 +9,18 @@ so the positions and prefixes of a conversation come from the scan with carry
 
 * rakes the leaves: their totals are final and go to their parents in one
   pre-aggregated sum;
-* compresses unary chains: a node with one child left is taken out when a hash
-  coin says so and its parent's coin says no, so that no two neighbours go at once;
+* compresses unary chains: a node with one child left is taken out when its mark
+  says so and its parent's mark says no, so that no two neighbours go at once;
   its child hangs on its parent, on an edge that carries what the node held.
+  A mark says whether the lowest set bit of the depth is the k-th, k rising with the
+  round, which halves every chain; where that takes out few nodes, the next round's marks are hash coins,
+  which take out a quarter of them as expected, whatever the tree.
 
-A path loses about a quarter of its nodes a round and a leaf goes in its round,
-so there are O(log n) rounds, each of three joins on unique keys, checkpointed.
-Then the contracted nodes are put back in reverse order, each from its child's
-total, which recovers the totals of all.
+A leaf goes in its round, so there are O(log n) rounds, each of two joins on
+unique keys, checkpointed.
+Then the contracted nodes are put back: each knows what it held above its child's
+total, and a child that was contracted later leads on to its own, by pointer
+doubling, until a raked node, whose total is known, is reached.
 
 The ids of the conversations that end in a node are packed in ascending order,
 a string for every range of ids, and hashed as a stream: a node where a third of
@@ -49,22 +53,26 @@ _LOW = 0xFFFFFFFF
 
 # ---------------------------------------------------------------- tree contraction
 
-def _coin(a: str, b: str, turn: int) -> Column:
+def _mark(a: str, b: str, depth: str, turn: int, bit: int | None) -> Column:
+    """Of a node, by its depth while ``bit`` is given: whether that is its lowest set bit."""
+    if bit is not None:
+        return F.col(depth).bitwiseAND(F.lit((2 << bit) - 1).cast("long")) == (1 << bit)
     return F.xxhash64(F.col(a), F.col(b), F.lit(turn)) % 2 == 0
 
 
 def subtree_totals(tree: DataFrame, weights: Sequence[str]) -> DataFrame:
-    """``tree`` (``a, b``: unique id; ``pa, pb``: the parent's, null at a root; ``weights``: long columns)
+    """``tree`` (``a, b``: unique id; ``pa, pb``: the parent's, null at a root; ``depth``; ``weights``: long columns)
     -> ``a, b`` and, under the same names, the sums of the weights over the node and all below it."""
     k = range(len(weights))
     grown = tree.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("n")).filter("pa IS NOT NULL").select(F.col("pa").alias("a"), F.col("pb").alias("b"), "n")
-    alive = cut_lineage(tree.select("a", "b", "pa", "pb", *[F.coalesce(F.col(w), F.lit(0)).cast("long").alias(f"w{i}") for i, w in enumerate(weights)],
+    # depth of the node and of its parent: those of the tree at first
+    alive = cut_lineage(tree.select("a", "b", "pa", "pb", "depth", (F.col("depth") - 1).alias("pd"), *[F.coalesce(F.col(w), F.lit(0)).cast("long").alias(f"w{i}") for i, w in enumerate(weights)],
                                     *[F.lit(0).cast("long").alias(f"e{i}") for i in k])
                             .join(grown, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0))))
     raked: list[DataFrame] = []
-    spliced: list[tuple[int, DataFrame]] = []
-    ids, turn = ["a", "b"], 0
-    while True:
+    spliced: list[DataFrame] = []
+    ids, turn, more, bit, bits = ["a", "b"], 0, True, 0, 0
+    while more:
         raked.append(alive.filter("n = 0").select("a", "b", *[f"w{i}" for i in k]))
         turn += 1
         # what the raked children hold, and the only child that is left, if there is but one
@@ -72,34 +80,51 @@ def subtree_totals(tree: DataFrame, weights: Sequence[str]) -> DataFrame:
                      .agg(F.count(F.when(F.col("n") > 0, 1)).alias("left"), F.min(F.when(F.col("n") > 0, F.struct("a", "b"))).alias("only"),
                           *[F.coalesce(F.sum(F.when(F.col("n") == 0, F.col(f"w{i}") + F.col(f"e{i}"))), F.lit(0)).alias(f"s{i}") for i in k],
                           *[F.coalesce(F.sum(F.when(F.col("n") > 0, F.col(f"e{i}"))), F.lit(0)).alias(f"o{i}") for i in k]))
-        go = F.col("pa").isNotNull() & (F.col("left") == 1) & _coin("a", "b", turn) & ~_coin("pa", "pb", turn)
-        rest = cut_lineage(alive.filter("n > 0").join(held, ids)
-                                .select("a", "b", "pa", "pb", F.col("left").alias("n"), "only", F.coalesce(go, F.lit(False)).alias("go"),
-                                        *[(F.col(f"w{i}") + F.col(f"s{i}")).alias(f"w{i}") for i in k], *[f"e{i}" for i in k], *[f"o{i}" for i in k]))
-        if rest.isEmpty():
-            break
-        out = rest.filter("go")
-        spliced.append((turn, out.select("a", "b", F.col("only.a").alias("ca"), F.col("only.b").alias("cb"),
-                                         *[(F.col(f"w{i}") + F.col(f"o{i}")).alias(f"w{i}") for i in k])))
-        past = out.select(F.col("only.a").alias("a"), F.col("only.b").alias("b"), F.lit(True).alias("moved"), F.col("pa").alias("qa"), F.col("pb").alias("qb"),
-                          *[(F.col(f"w{i}") + F.col(f"e{i}")).alias(f"g{i}") for i in k])
-        alive = cut_lineage(rest.filter("NOT go").join(past, ids, "left")
+        unary = F.col("pa").isNotNull() & (F.col("left") == 1)
+        go = unary & _mark("a", "b", "depth", turn, bit) & ~_mark("pa", "pb", "pd", turn, bit)
+        rest = (alive.filter("n > 0").join(held, ids)
+                     .select("a", "b", "pa", "pb", "depth", "pd", F.col("left").alias("n"), "only", F.coalesce(go, F.lit(False)).alias("go"),
+                             *[(F.col(f"w{i}") + F.col(f"s{i}")).alias(f"w{i}") for i in k], *[f"e{i}" for i in k], *[f"o{i}" for i in k]))
+        past = rest.filter("go").select(F.col("only.a").alias("a"), F.col("only.b").alias("b"), F.lit(True).alias("moved"), F.col("pa").alias("qa"),
+                                        F.col("pb").alias("qb"), F.col("pd").alias("qd"), *[(F.col(f"w{i}") + F.col(f"e{i}")).alias(f"g{i}") for i in k])
+        after = cut_lineage(rest.join(past, ids, "left")
                                 .select("a", "b", F.when(F.col("moved"), F.col("qa")).otherwise(F.col("pa")).alias("pa"),
-                                        F.when(F.col("moved"), F.col("qb")).otherwise(F.col("pb")).alias("pb"), "n",
-                                        *[f"w{i}" for i in k], *[(F.col(f"e{i}") + F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(f"e{i}") for i in k]))
-    # totals of the nodes that went after a round: raked[t] went in round t + 1
-    known, later = raked[-1], len(raked) - 1
-    for turn, out in reversed(spliced):
-        while later > turn:
-            later -= 1
-            known = known.unionByName(raked[later])
+                                        F.when(F.col("moved"), F.col("qb")).otherwise(F.col("pb")).alias("pb"), "depth",
+                                        F.when(F.col("moved"), F.col("qd")).otherwise(F.col("pd")).alias("pd"), "n", "go", "only",
+                                        *[f"w{i}" for i in k], *[f"o{i}" for i in k],
+                                        *[(F.col(f"e{i}") + F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(f"e{i}") for i in k]))
+        left, out, single = after.agg(F.count(F.when(~F.col("go"), 1)), F.count(F.when(F.col("go"), 1)),
+                                      F.count(F.when(F.col("pa").isNotNull() & (F.col("n") == 1), 1))).first()
+        if out:
+            spliced.append(after.filter("go").select("a", "b", F.col("only.a").alias("ca"), F.col("only.b").alias("cb"),
+                                                     *[(F.col(f"w{i}") + F.col(f"o{i}")).alias(f"w{i}") for i in k]))
+        bits += bit is not None
+        bit = bits % 32 if bit is None or out * 8 >= single else None
+        alive, more = after.filter("NOT go").drop("go", "only", *[f"o{i}" for i in k]), left > 0
+    known = reduce(DataFrame.unionByName, raked)
+    if spliced:
+        known = cut_lineage(known)
         totals = known.select(F.col("a").alias("ca"), F.col("b").alias("cb"), *[F.col(f"w{i}").alias(f"t{i}") for i in k])
-        back = cut_lineage(out.join(totals, ["ca", "cb"]).select("a", "b", *[(F.col(f"w{i}") + F.col(f"t{i}")).alias(f"w{i}") for i in k]))
-        known = known.unionByName(back)
-    known = reduce(DataFrame.unionByName, raked[:later], known)
+        back = _resolved(reduce(DataFrame.unionByName, spliced), k).join(totals, ["ca", "cb"])
+        known = known.unionByName(back.select("a", "b", *[(F.col(f"w{i}") + F.col(f"t{i}")).alias(f"w{i}") for i in k]))
     return known.select("a", "b", *[F.col(f"w{i}").alias(w) for i, w in enumerate(weights)])
 
 
+def _resolved(spliced: DataFrame, k: Sequence[int]) -> DataFrame:
+    """Contracted nodes (``a, b``; child ``ca, cb``; ``w``: what is above the child's total) with their nearest
+    raked descendant as child.  A child may itself have been contracted in a later round; the steps to a raked
+    one, at most one a round, are halved each time."""
+    while True:
+        spliced = cut_lineage(spliced)
+        ahead = spliced.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("ca").alias("na"), F.col("cb").alias("nb"),
+                               *[F.col(f"w{i}").alias(f"g{i}") for i in k])
+        joined = spliced.join(ahead, ["ca", "cb"], "left")
+        if joined.filter("na IS NOT NULL").isEmpty():
+            return spliced
+        spliced = joined.select("a", "b", F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb"),
+                                *[(F.col(f"w{i}") + F.coalesce(F.col(f"g{i}"), F.lit(0))).alias(f"w{i}") for i in k])
+
+
 # ---------------------------------------------------------------- ids of a node in one hash
 
 def joined_sha256(rows: DataFrame, keys: Sequence[str], number: str, out: str) -> DataFrame:
@@ -193,7 +218,7 @@ def trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     nodes = root.unionByName(nodes)
     kids = nodes.filter("pa IS NOT NULL").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = cut_lineage(nodes.join(kids, ["a", "b"], "left").withColumn("n_children", F.coalesce("n_children", zero)))
-    weighed = nodes.select("a", "b", "pa", "pb", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
+    weighed = nodes.select("a", "b", "pa", "pb", "depth", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
                            ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"))
     totals = subtree_totals(weighed, ["n_leaves", "saved_tokens"])
     last = steps.groupBy("c").agg(F.max_by(F.struct("a", "b"), "d").alias("end"))

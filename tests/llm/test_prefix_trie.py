@@ -63,7 +63,10 @@ def test_subtree_totals_of_any_forest(spark):
     for v in sorted(up, reverse=True):
         if up[v] is not None:
             total[up[v]] += total[v]
-    tree = spark.createDataFrame([(v, -v, p, None if p is None else -p, weight[v], 1) for v, p in up.items()],
-                                 "a bigint, b bigint, pa bigint, pb bigint, w bigint, one bigint")
+    depth = {}
+    for v, p in up.items():
+        depth[v] = 0 if p is None else depth[p] + 1
+    tree = spark.createDataFrame([(v, -v, p, None if p is None else -p, depth[v], weight[v], 1) for v, p in up.items()],
+                                 "a bigint, b bigint, pa bigint, pb bigint, depth bigint, w bigint, one bigint")
     got = {r.a: r.w for r in prefix_trie.subtree_totals(tree, ["w", "one"]).collect()}
     assert got == total
