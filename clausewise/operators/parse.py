@@ -49,7 +49,9 @@ def attach_tokens(clauses: DataFrame, make_annotator=None, schema: str | None =
                   tokens: DataFrame | None = None, key: str = "clause_id") -> DataFrame:
     """A token table for the clauses.
 
-    Either equi-join an existing token table on ``key``, or run a user-supplied
+    Either equi-join an existing token table on ``key`` (an id, or the clause text
+    itself, so that equal clauses share one parse; columns of the token table come
+    first, those of the clauses it lacks after them), or run a user-supplied
     annotator inside the executors with ``mapInPandas``: ``make_annotator`` is
     called once per task (it loads the model) and returns a function from a
     pandas batch of clauses to a pandas batch of token rows with ``schema``.
@@ -65,7 +67,7 @@ def attach_tokens(clauses: DataFrame, make_annotator=None, schema: str | None =
         return clauses.mapInPandas(run, schema=schema)
     if tokens is None:
         raise ValueError("give an annotator or a token table")
-    return tokens.join(clauses.select(key), key, "left_semi")
+    return tokens.join(clauses.select(key, *[c for c in clauses.columns if c not in tokens.columns and c != key]), key)
 
 
 def token_arrays(tokens: DataFrame, key: str = "clause_id", carry: Sequence[str] = ()) -> DataFrame:

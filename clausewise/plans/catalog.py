@@ -350,19 +350,20 @@ from clausewise.operators import embeddings as E  # noqa: E402
 from clausewise.operators import similarity as Q  # noqa: E402
 
 _VEC = lambda *more: O.with_clauses(*O.VEC_CTES, *more)
+_KNOWN_VEC = lambda *more: O.with_clauses(*O.KNOWN_VEC_CTES, *more)
 
 
-def _wmap(spark, sf, cl=None):
-    occ = D.word_occurrences(spark, sf, cl)
+def _wmap(spark, sf, cl=None, known_only=False):
+    occ = D.word_occurrences(spark, sf, cl, known_only)
     return E.word_vectors(occ, pos_col=F.struct("clause_no", "i"))
 
 
-def _clause_emb(spark, sf, cl=None):
+def _clause_emb(spark, sf, cl=None, known_only=False):
     cl = cl if cl is not None else D.clauses(spark, sf)
     words = D.clause_word_rows(cl)
     vid = D.vec_hash(F.col("word"), D.n_vectors(spark, sf), F.col("clause_no"))
     return E.clause_embedding_from_words(words.withColumn("vec_id", vid), D.vectors(spark, sf),
-                                         F.col("word").rlike("^[a-z]"), F.struct("clause_no", "i"))
+                                         D.has_vector(F.col("word"), known_only), F.struct("clause_no", "i"))
 
 
 @register("word_vectors", _VEC() + "SELECT sentence_id, word, vec_id FROM wmap")
@@ -376,20 +377,20 @@ def q_clause_embedding(spark, sf):
     return _clause_emb(spark, sf).select("clause_id", "n_vec", *_summ("embedding", "emb"))
 
 
-@register("oov", _VEC() + "SELECT word, count(*) AS n FROM cwords c WHERE NOT EXISTS "
+@register("oov", _KNOWN_VEC() + "SELECT word, count(*) AS n FROM cwords c WHERE NOT EXISTS "
           "(SELECT 1 FROM wmap m WHERE m.sentence_id = c.sentence_id AND m.word = c.word) GROUP BY word")
 def q_oov(spark, sf):
     cl = D.clauses(spark, sf)
-    return E.oov_counts(D.clause_word_rows(cl), _wmap(spark, sf, cl))
+    return E.oov_counts(D.clause_word_rows(cl), _wmap(spark, sf, cl, known_only=True))
 
 
-@register("default_vectors", _VEC() +
+@register("default_vectors", _KNOWN_VEC() +
           "SELECT c.clause_id, e.clause_id IS NOT NULL AS has_vec, coalesce(e.emb_sum, 0.0) AS emb_sum, "
           "coalesce(e.emb_norm, 0.0) AS emb_norm FROM clauses c LEFT JOIN cemb e USING (clause_id)")
 def q_default_vectors(spark, sf):
     cl = D.clauses(spark, sf)
     dim = D.table(spark, sf, "embeddings", "embedding").select(F.max(F.size("embedding"))).scalar()
-    out = E.with_default_vector(cl.select("clause_id"), _clause_emb(spark, sf, cl), dim)
+    out = E.with_default_vector(cl.select("clause_id"), _clause_emb(spark, sf, cl, known_only=True), dim)
     return out.select("clause_id", "has_vec", *_summ("embedding", "emb"))
 
 
@@ -677,10 +678,10 @@ def q_label_split(spark, sf):
     return FT.label_split(cl, D.dev_reports(spark, sf), gold).select("clause_id", "label")
 
 
-@register("unembedded", _VEC() + "SELECT clause_id FROM clauses WHERE clause_id NOT IN (SELECT clause_id FROM cemb)")
+@register("unembedded", _KNOWN_VEC() + "SELECT clause_id FROM clauses WHERE clause_id NOT IN (SELECT clause_id FROM cemb)")
 def q_unembedded(spark, sf):
     cl = D.clauses(spark, sf)
-    return FT.ignored_ids(cl, _clause_emb(spark, sf, cl))
+    return FT.ignored_ids(cl, _clause_emb(spark, sf, cl, known_only=True))
 
 
 # ---------------------------------------------------------------- topics (T*)
@@ -880,21 +881,24 @@ def q_event_precursors_indexed(spark, sf):
 
 
 # ---------------------------------------------------------------- stored tables
-@register("attach_tokens", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok "
-          "WHERE clause_id IN (SELECT clause_id FROM clauses WHERE report_id % 10 < 7)")
+@register("attach_tokens", _rec(*O.PARSE_CTES) + "SELECT clause_id, i::BIGINT AS i, text, lemma, dep, head::BIGINT AS head FROM tok")
 def q_attach_tokens(spark, sf):
-    """P1 with a stored token table: the tokens of every clause."""
-    cl = D.clauses(spark, sf).select("clause_id")
-    toks = P.attach_tokens(cl, tokens=D.parse_tokens(spark, sf))
+    """P1 with a stored token table: one parse for each distinct clause text, attached to every clause with that text."""
+    cl = D.clauses(spark, sf).select("clause_id", "clause")
+    stored = D.parse_tokens(spark, sf, cl.select(*[F.col("clause").alias(c) for c in ("report_id", "sentence_id", "clause_id", "sent_no", "clause_no")],
+                                                 "clause").distinct()).select(F.col("clause_id").alias("clause"), "i", "text", "lemma", "dep", "head")
+    toks = P.attach_tokens(cl, tokens=stored, key="clause")
     return toks.select("clause_id", F.col("i").cast("long").alias("i"), "text", "lemma", "dep",
                        F.col("head").cast("long").alias("head"))
 
 
-@register("attach_vectors", "SELECT c.conv_id, c.turn, v.vec_id, round(list_sum(v.embedding::DOUBLE[]), 6) + 0.0 AS vec_sum FROM conversations c "
-          "JOIN embeddings v ON v.vec_id = c.conv_id * 7 + c.turn")
+@register("attach_vectors", _VEC() + "SELECT clause_id, c.vec_id, round(list_sum(v.embedding::DOUBLE[]), 6) + 0.0 AS vec_sum "
+          "FROM (SELECT clause_id, ((length(clause) * 31 + ascii(clause) * 7 + clause_no) % (SELECT n FROM nvec))::BIGINT AS vec_id "
+          "FROM clauses) c LEFT JOIN embeddings v ON v.vec_id = c.vec_id")
 def q_attach_vectors(spark, sf):
-    """E1 with a stored table: every turn, with the vector stored under its number or null."""
-    turns = D.table(spark, sf, "conversations", "conv_id", "turn").withColumn("vec_id", F.col("conv_id") * 7 + F.col("turn"))
-    out = E.attach_hidden_states(turns, stored=D.table(spark, sf, "embeddings", "vec_id", "embedding"), key="vec_id", how="left")
+    """E1 with a stored table: every clause, with the stored vector of its hash."""
+    cl = D.clauses(spark, sf)
+    keyed = cl.select("clause_id", D.vec_hash(F.col("clause"), D.n_vectors(spark, sf), F.col("clause_no")).alias("vec_id"))
+    out = E.attach_hidden_states(keyed, stored=D.table(spark, sf, "embeddings", "vec_id", "embedding"), key="vec_id", how="left")
     from clausewise.functions.vectors import as_double, vsum
-    return out.withColumn("v", as_double("embedding")).select("conv_id", "turn", "vec_id", (F.round(vsum("v"), 6) + 0.0).alias("vec_sum"))
+    return out.withColumn("v", as_double("embedding")).select("clause_id", "vec_id", (F.round(vsum("v"), 6) + 0.0).alias("vec_sum"))

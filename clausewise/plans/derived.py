@@ -138,11 +138,20 @@ def clause_word_rows(cl: DataFrame) -> DataFrame:
                      F.posexplode_outer(F.split(F.col("clause"), " ", -1)).alias("i", "word")).filter("i IS NOT NULL")
 
 
-def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None) -> DataFrame:
-    """Words with a vector (they start with a-z); the vector id depends on the word
-    and its clause, so a repeated word in a sentence can carry different vectors."""
+#: Words that the vocabulary of the out-of-vocabulary queries knows.
+KNOWN_WORD = "^[a-z]"
+
+
+def has_vector(word: Column, known_only: bool) -> Column:
+    """Every word has a vector; for the queries about missing ones only those that begin with a-z."""
+    return word.rlike(KNOWN_WORD) if known_only else word != ""
+
+
+def word_occurrences(spark: SparkSession, sf_dir: str, cl: DataFrame | None = None, known_only: bool = False) -> DataFrame:
+    """Words with a vector; the vector id depends on the word and its clause, so a
+    repeated word in a sentence can carry different vectors."""
     cl = cl if cl is not None else clauses(spark, sf_dir)
-    w = clause_word_rows(cl).filter(F.col("word").rlike("^[a-z]"))
+    w = clause_word_rows(cl).filter(has_vector(F.col("word"), known_only))
     return w.withColumn("vec_id", vec_hash(F.col("word"), n_vectors(spark, sf_dir), F.col("clause_no")))
 
 

@@ -121,27 +121,36 @@ ALIGN_CTES = [
 ]
 
 
-VEC_CTES = [
-    "cwords AS (SELECT report_id, sentence_id, clause_id, clause_no, (w.i - 1)::BIGINT AS i, w.word FROM clauses, "
-    "unnest(string_split(clause, ' ')) WITH ORDINALITY AS w(word, i))",
-    "nvec AS (SELECT count(*) AS n FROM embeddings)",
-    "occ AS (SELECT cwords.*, ((length(word) * 31 + ascii(word) * 7 + clause_no) % (SELECT n FROM nvec))::BIGINT "
-    "AS vec_id FROM cwords WHERE regexp_matches(word, '^[a-z]'))",
-    "wmap AS (SELECT sentence_id, word, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, word "
-    "ORDER BY clause_no DESC, i DESC) AS k FROM occ) WHERE k = 1)",
-    "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
-    "hits AS (SELECT c.clause_id, c.sentence_id, v.e FROM cwords c JOIN wmap m USING (sentence_id, word) "
-    "JOIN vecs v USING (vec_id))",
-    "cdims AS (SELECT clause_id, d.k, avg(d.x) AS m FROM hits, unnest(e) WITH ORDINALITY AS d(x, k) GROUP BY clause_id, d.k)",
-    "cemb AS (SELECT clause_id, list(m ORDER BY k) AS e, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
-    "AS emb_norm FROM cdims GROUP BY clause_id)",
-    "cnt AS (SELECT clause_id, count(*)::BIGINT AS n_vec FROM hits GROUP BY clause_id)",
-]
+def vec_ctes(has_vector: str) -> list[str]:
+    return [
+        "cwords AS (SELECT report_id, sentence_id, clause_id, clause_no, (w.i - 1)::BIGINT AS i, w.word FROM clauses, "
+        "unnest(string_split(clause, ' ')) WITH ORDINALITY AS w(word, i))",
+        "nvec AS (SELECT count(*) AS n FROM embeddings)",
+        "occ AS (SELECT cwords.*, ((length(word) * 31 + ascii(word) * 7 + clause_no) % (SELECT n FROM nvec))::BIGINT "
+        f"AS vec_id FROM cwords WHERE {has_vector})",
+        "wmap AS (SELECT sentence_id, word, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id, word "
+        "ORDER BY clause_no DESC, i DESC) AS k FROM occ) WHERE k = 1)",
+        "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
+        "hits AS (SELECT c.clause_id, c.sentence_id, v.e FROM cwords c JOIN wmap m USING (sentence_id, word) "
+        "JOIN vecs v USING (vec_id))",
+        "cdims AS (SELECT clause_id, d.k, avg(d.x) AS m FROM hits, unnest(e) WITH ORDINALITY AS d(x, k) GROUP BY clause_id, d.k)",
+        "cemb AS (SELECT clause_id, list(m ORDER BY k) AS e, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
+        "AS emb_norm FROM cdims GROUP BY clause_id)",
+        "cnt AS (SELECT clause_id, count(*)::BIGINT AS n_vec FROM hits GROUP BY clause_id)",
+    ]
+
+
+VEC_CTES = vec_ctes("word <> ''")
+#: Only words that begin with a-z have a vector: for the queries about missing ones.
+KNOWN_VEC_CTES = vec_ctes("regexp_matches(word, '^[a-z]')")
 
 PIECE_CTES = [
-    "pieces0 AS (SELECT sentence_id, clause_id, clause_no, i, p.j::BIGINT AS j, "
-    "CASE WHEN p.j > 0 THEN '##' ELSE '' END || substr(word, (p.j * 6 + 1)::INTEGER, 6) AS piece "
-    "FROM occ, unnest(range(0, (floor((length(word) + 5) / 6))::BIGINT)) AS p(j))",
+    # a word that begins with ## has its first sign as first piece
+    "pword AS (SELECT sentence_id, clause_id, clause_no, i, word, CASE WHEN starts_with(word, '##') THEN 5 ELSE 0 END AS short "
+    "FROM cwords WHERE word <> '')",
+    "pieces0 AS (SELECT sentence_id, clause_id, clause_no, i, p.j::BIGINT AS j, CASE WHEN p.j > 0 "
+    "THEN '##' || substr(word, (p.j * 6 + 1 - short)::INTEGER, 6) ELSE substr(word, 1, (6 - short)::INTEGER) END AS piece "
+    "FROM pword, unnest(range(0, (floor((length(word) + short + 5) / 6))::BIGINT)) AS p(j))",
     "pieces AS (SELECT *, ((length(piece) * 31 + ascii(piece) * 7) % (SELECT n FROM nvec))::BIGINT AS h0 FROM pieces0)",
     "pv AS (SELECT p.sentence_id, p.clause_id, p.clause_no, p.i, p.j, p.piece, "
     "list_transform(list_zip(v0.e, v1.e), lambda q: q[1] + q[2]) AS v FROM pieces p "

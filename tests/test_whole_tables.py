@@ -1,5 +1,6 @@
 """Queries that once read a part of their table give every row of it."""
 
+from clausewise.operators import embeddings as E
 from clausewise.plans import catalog as C
 from clausewise.plans import derived as D
 
@@ -17,15 +18,19 @@ def test_every_clause_gets_its_tokens(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_every_turn_comes_back_with_or_without_a_vector(spark):
-    sf = "/root/testdata/sf0.01"
-    stored = {r.vec_id: sum(r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
-    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn").collect()
-    got = {(r.conv_id, r.turn): r.vec_sum for r in C.q_attach_vectors(spark, sf).collect()}
-    assert set(got) == {(t.conv_id, t.turn) for t in turns} and len(got) == len(turns)
-    for (conv, turn), total in got.items():
-        want = stored.get(conv * 7 + turn)
-        assert (total is None) == (want is None) and (want is None or abs(total - want) < 1e-4)
+def test_every_clause_comes_back_with_its_stored_vector(spark):
+    stored = {r.vec_id: sum(r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    want = {c.clause_id: (len(c.clause) * 31 + ord(c.clause[0]) * 7 + c.clause_no) % len(stored)
+            for c in D.clauses(spark, SF).select("clause_id", "clause", "clause_no").collect()}
+    got = C.q_attach_vectors(spark, SF).collect()
+    assert {r.clause_id: r.vec_id for r in got} == want and len(got) == len(want)
+    assert all((r.vec_sum is None) == (r.vec_id not in stored) and (r.vec_sum is None or abs(r.vec_sum - stored[r.vec_id]) < 1e-4) for r in got)
+
+
+def test_stored_rows_may_be_missing(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, x string")
+    kept = E.attach_hidden_states(rows, stored=spark.createDataFrame([(1, 0.5)], "k int, v double"), key="k", how="left")
+    assert sorted((r.x, r.v) for r in kept.collect()) == [("a", 0.5), ("b", None), ("c", None)]
 
 
 def test_pieces_are_of_every_word(spark):
