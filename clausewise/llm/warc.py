@@ -5,8 +5,12 @@ dictionary; every record is one Zstandard frame made with it.  Records are made
 in Arrow batches and written by Spark's own text writer, so that its commit
 protocol applies and any store that Spark writes to will do: the bytes of a
 frame are the line, and the line separator is an empty skippable frame, which
-every reader of the format passes over.  A file is what one task wrote, so it
-is bounded by the size of a partition.
+every reader of the format passes over.  An archive ends at ``ARCHIVE_BYTES``: the
+writer is told to begin a file every ``ARCHIVE_LINES`` lines, and the task that
+has made so many bytes fills the file up with empty lines, that is separators, and
+leads the next one with the dictionary.  So an archive is never larger than that
+bound, one record and the separators.  Tasks are merged as far as an archive's
+size, so that small partitions do not give small archives.
 
 The reader takes whole files with Spark's ``binaryFile`` source, loads the
 dictionary from the leading frame, walks the frames by their block headers and
@@ -16,13 +20,15 @@ digest.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 smallest id is a response; the others are revisits that carry the HTTP header
-and refer to it.  The groups are found by their SHA-1 over a narrow aggregation;
-only groups of two and more are joined back to the pages.
+and refer to it.  The groups are found by their SHA-1 over ids and hashes alone;
+what a group of two and more decides goes back to its ids, and html is joined
+with it by id and hash, so that pages with one payload are spread over all tasks.
 
 Defined cases: a null html is an empty payload; a null id is larger than any
 other and has an empty place in the record id; rows that repeat the smallest id
 of a group are all responses; line breaks in a url are percent-encoded, a null
-url has no target header; an empty table gives archives without records.
+url has no target header; an empty table gives archives without records; a
+record of more than ``MAX_RECORD`` bytes is refused when it is written.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.session import ship_package
+from clausewise.session import cut_lineage, ship_package
 
 # Fixed values of the formats.
 FRAME_MAGIC = 0xFD2FB528
@@ -53,6 +59,9 @@ SAMPLE_PAGES = 400
 SAMPLE_CHARS = 16_000
 DICTIONARY_BYTES = 32_768
 MAX_RECORD = 1 << 30
+#: Bytes at which an archive ends, and the lines (records, or separators to fill up) of a file.
+ARCHIVE_BYTES = 32_000_000
+ARCHIVE_LINES = 32_768
 _ID = "urn:page:"
 
 
@@ -195,17 +204,24 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
 def with_record_type(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Adds ``_first``: the smallest id of the pages with the same payload (null: a response)."""
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    x = pages.withColumn("_sha1", F.when(F.octet_length(body) >= min_bytes, F.sha1(body)))
-    groups = (x.filter(F.col("_sha1").isNotNull()).groupBy("_sha1")
-               .agg(F.min(page_id).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
-    return x.join(groups, "_sha1", "left").drop("_sha1")
+    digest = F.when(F.octet_length(body) >= min_bytes, F.sha1(body))
+    narrow = cut_lineage(pages.select(F.col(page_id).alias("_id"), digest.alias("_sha1"))).filter(F.col("_sha1").isNotNull())
+    groups = narrow.groupBy("_sha1").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    # one row for each id and payload of a group; ids that repeat are one row here
+    decided = narrow.distinct().join(groups, "_sha1").select(F.col("_sha1").alias("_of"), F.col("_id").alias("_at"), "_first")
+    x = pages.withColumn("_sha1", digest)
+    return x.join(decided, (F.col("_sha1") == F.col("_of")) & F.col(page_id).eqNullSafe(F.col("_at")), "left").drop("_sha1", "_of", "_at")
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0,
-                   dictionary: bytes | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
-    ship_package(pages.sparkSession)
+                   dictionary: bytes | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 3,
+                   archive_bytes: int = ARCHIVE_BYTES, archive_lines: int = ARCHIVE_LINES) -> None:
+    spark = pages.sparkSession
+    ship_package(spark)
     known = train_dictionary(pages, html) if dictionary is None else dictionary
-    typed = with_record_type(pages.select(page_id, url, html), page_id, html, min_bytes)
+    pages = pages.select(page_id, url, html)
+    size = pages.agg(F.sum(F.octet_length(html) + 500)).first()[0] or 0
+    typed = with_record_type(pages, page_id, html, min_bytes)
     rows = typed.select(F.col(page_id).cast("string").alias("id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         F.col("_first").cast("string").alias("first"),
                         (F.col("_first").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("_first"))).alias("revisit"))
@@ -214,16 +230,32 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         encoder = (zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(known), write_checksum=True) if known
                    else zstandard.ZstdCompressor(level=level, write_checksum=True))
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(known)) + known
+        lines, held = 0, 0  # of the archive that is being written
+
+        def frame(r: dict) -> bytes:
+            record = make_record(r["id"], r["url"], (r["html"] or "").encode("utf-8"), r["first"], r["revisit"], date)
+            if len(record) > MAX_RECORD:
+                raise ValueError(f"a record of {len(record)} bytes, more than {MAX_RECORD}")
+            return encoder.compress(record)
+
         yield pa.record_batch({"frame": pa.array([lead], pa.binary())})
+        lines = 1
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pylist()
-                made = [encoder.compress(make_record(r["id"], r["url"], (r["html"] or "").encode("utf-8"), r["first"], r["revisit"], date))
-                        for r in part]
+            for at in range(0, batch.num_rows, 64):
+                made: list[bytes] = []
+                for r in batch.slice(at, 64).to_pylist():
+                    if lines >= archive_lines or held >= archive_bytes:
+                        made += [b""] * (archive_lines - lines) + [lead]
+                        lines, held = 1, 0
+                    made.append(frame(r))
+                    lines += 1
+                    held += len(made[-1])
                 yield pa.record_batch({"frame": pa.array(made, pa.binary())})
 
-    (rows.mapInArrow(make, "frame binary").select(F.col("frame").cast("string").alias("value"))
-         .write.option("lineSep", SEPARATOR).mode("errorifexists").text(path))
+    # html compresses to a part of its size, so a task of this much makes one archive
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // archive_bytes))
+    (rows.coalesce(tasks).mapInArrow(make, "frame binary").select(F.col("frame").cast("string").alias("value"))
+         .write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", archive_lines).mode("errorifexists").text(path))
 
 
 RECORD = ("record_type string, record_id string, url string, date string, refers_to string, payload_digest string, "
@@ -231,7 +263,9 @@ RECORD = ("record_type string, record_id string, url string, date string, refers
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row per record of the archives under ``path``; ``payload=False`` leaves the payloads out after validating them."""
+    """One row per record of the archives under ``path``; ``payload=False`` leaves the payloads out after validating them.
+
+    Every archive is one value of the ``binaryFile`` source, which the writer bounds; a task holds one batch of them."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = pa.schema([(n, {"bigint": pa.int64(), "binary": pa.binary()}.get(t, pa.string())) for n, t in (c.split() for c in RECORD.split(", "))])
