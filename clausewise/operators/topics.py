@@ -1,13 +1,12 @@
 """Topics (T1-T8): clustering precursor texts and describing the clusters.
 
-* T1 ``cluster_density`` - grid density clustering: vectors are projected by
-  fixed signed sums over all their coordinates and binned into cells of side
-  ``cell``; cells with at least ``min_pts`` points are dense,
-  dense cells that touch (3^d neighbourhood) form one cluster, points of a
-  sparse cell touching a dense one join the smallest adjacent cluster (border),
-  the rest are outliers (``-1``).  No pair of points is ever formed: only
-  cells are joined, each with at most 3^d neighbours, and components come
-  from min-label propagation with lineage cut by reliable checkpoints.
+* T1 ``cluster_density`` - exact density clustering: a vector with at least
+  ``min_pts`` vectors within ``eps`` (itself among them) is a core; cores within
+  ``eps`` are one topic; any other vector within ``eps`` of a core joins the
+  smallest core label near it; the rest are outliers (``-1``).  Neighbours come from
+  the blocked join of :mod:`clausewise.operators.neighbours`, whose groups return
+  counts and spanning edges, and components from min-label propagation with
+  lineage cut by reliable checkpoints.
 * T2/T3/T8 - Spark ML ``PCA`` / ``KMeans`` and repeated fits over seeds.
 * W4 ``precursor_job`` - precursors, their embeddings, topics and descriptions in one job.
 * T4-T7 - labels, sizes and class-based TF-IDF keywords per topic, all
@@ -16,9 +15,10 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,81 +27,103 @@ from pyspark.sql import functions as F
 
 from clausewise.constants import TOPIC_TOP_N
 from clausewise.functions.text import KEYWORD_TOKEN
+from clausewise.operators import neighbours as N
 from clausewise.session import cut_lineage
 
 OUTLIER = -1
 
 
 # ---------------------------------------------------------------- T1 density clustering
-def projection_sign(i: int, j: int) -> int:
-    """Sign of input coordinate ``i`` in output coordinate ``j`` (both 0-based): a fixed rule that SQL can repeat."""
-    return 1 if (i * i + (2 * j + 3) * i + 5 * j) % 7 < 4 else -1
-
-
-def project(vec, width: int, d: int) -> list:
-    """``d`` fixed signed sums over *all* ``width`` coordinates of a vector column, divided by sqrt(width)."""
-    v = F.transform(vec, lambda x: x.cast("double"))
-    out = []
-    for j in range(d):
-        signs = F.array(*[F.lit(float(projection_sign(i, j))) for i in range(width)])
-        total = F.aggregate(F.zip_with(v, signs, lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x)
-        out.append(total / F.lit(float(width) ** 0.5))
-    return out
-
-
-def _neighbours(cells: DataFrame, d: int, out: str = "nb") -> DataFrame:
-    offs = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    off = F.array(*[F.array(*[F.lit(v).cast("long") for v in o]) for o in offs])
-    return cells.withColumn(out, F.explode(F.transform(off, lambda o: F.zip_with(F.col("cell"), o, lambda a, b: a + b))))
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of an undirected graph: ``nodes`` (``node``), ``edges`` (``u, v``) -> ``node, label`` (the smallest node).
 
-
-def connected_cells(dense: DataFrame, d: int) -> DataFrame:
-    """Components of touching dense cells -> ``(cell, label)``; the label is the smallest cell key.
-
-    Each round takes the smallest label among a cell's neighbours and then that
+    Each round takes the smallest label among a node's neighbours and then that
     label's own label (pointer jumping), so the rounds grow with the logarithm
     of a component's diameter.  Rounds go on until no label changes; each is
     written to the checkpoint folder, and one emptiness test is the only driver
     action."""
-    edges = cut_lineage(_neighbours(dense.select("cell"), d)
-                        .join(dense.select(F.col("cell").alias("nb")), "nb", "inner")
-                        .select(F.col("cell").alias("src"), F.col("nb").alias("dst")))
-    labels = cut_lineage(dense.select("cell", F.col("cell").alias("label")))
+    both = cut_lineage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     while True:
-        offers = (edges.join(labels.select(F.col("cell").alias("dst"), "label"), "dst")
-                       .groupBy(F.col("src").alias("cell")).agg(F.min("label").alias("to")))
-        onward = labels.select(F.col("cell").alias("to"), F.col("label").alias("beyond"))
-        new = cut_lineage(labels.withColumnRenamed("label", "was").join(offers, "cell").join(onward, "to")
-                                .select("cell", "was", F.least("to", "beyond", "was").alias("label")))
-        labels = new.select("cell", "label")
+        offers = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("to"))
+        near = labels.withColumnRenamed("label", "was").join(offers, "node", "left").select("node", "was", F.least("was", "to").alias("to"))
+        onward = labels.select(F.col("node").alias("to"), F.col("label").alias("beyond"))
+        new = cut_lineage(near.join(onward, "to").select("node", "was", F.least("to", "beyond").alias("label")))
+        labels = new.select("node", "label")
         if new.filter("label < was").isEmpty():
             return labels
 
 
-def cluster_density(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", cell: float = 0.08,
-                    min_pts: int = 5, width: int = 64, d: int = 2) -> DataFrame:
-    """``(id, topic)``; topics are numbered by size (largest first), outliers ``-1``.
-
-    Vectors of ``width`` coordinates are projected to ``d`` signed sums over all
-    of them (:func:`project`) and binned into cells of side ``cell`` there."""
-    key = F.array(*[F.floor(x / F.lit(float(cell))).cast("long") for x in project(F.col(vec_col), width, d)])
-    # the points are read by four consumers below
-    pts = cut_lineage(df.select(id_col, key.alias("cell")))
-    counts = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    dense = counts.filter(F.col("n") >= min_pts).select("cell")
-    labels = connected_cells(dense, d)
-    sparse = counts.filter(F.col("n") < min_pts).select("cell")
-    border = (_neighbours(sparse, d).join(labels.select(F.col("cell").alias("nb"), "label"), "nb", "inner")
-              .groupBy("cell").agg(F.min("label").alias("label")))
-    cell_label = labels.unionByName(border)
-    lab = pts.join(cell_label, "cell", "left")
-    sizes = lab.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+def _forest(near: np.ndarray, square: bool) -> np.ndarray:
+    """Per row, then per column, the first member of its component; a square matrix is of one set with itself."""
+    n, m = near.shape
+    label = np.arange(n if square else n + m)
+    while True:
+        if square:
+            new = np.minimum(label, np.where(near, label[None, :], n).min(axis=1, initial=n))
+        else:
+            rows = np.minimum(label[:n], np.where(near, label[None, n:], n + m).min(axis=1, initial=n + m))
+            new = np.append(rows, np.minimum(label[n:], np.where(near, rows[:, None], n + m).min(axis=0, initial=n + m)))
+        if (new == label).all():
+            return label
+        label = new
+
+
+def cluster_density(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", eps: float = 0.5, min_pts: int = 5,
+                    block: int = N.BLOCK) -> DataFrame:
+    """``(id, topic)``; topics are numbered by size (largest first, then by smallest label), outliers ``-1``.
+
+    Equal vectors are one weighted point until the end.  Rows without a vector
+    are outliers; rows that repeat an id come back as often."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = cut_lineage(df.select(F.col(id_col).alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("vec")))
+    known = rows.filter("vec IS NOT NULL")
+    points, pairs = N.blocked(known.groupBy("vec").agg(F.min("id").alias("vid"), F.count(F.lit(1)).alias("w")), eps, block=block)
+    points, pairs = cut_lineage(points), cut_lineage(pairs)
+    e = float(eps)
+
+    def count(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        x, w = N.matrix(left), left.column("w").to_numpy()
+        if right is None:
+            return pa.table({"vid": left.column("vid"), "n": pa.array((N.within(x, x, e) @ w).astype(np.int64))})
+        near = N.within(x, N.matrix(right), e)
+        n = np.append(near @ right.column("w").to_numpy(), near.T @ w).astype(np.int64)
+        return pa.table({"vid": pa.concat_arrays(left.column("vid").chunks + right.column("vid").chunks), "n": pa.array(n)})
+
+    counts = N.over_pairs(points, pairs, count, f"vid {kind}, n bigint").groupBy("vid").agg(F.sum("n").alias("n"))
+    marked = cut_lineage(points.join(counts, "vid").select("vid", "vec", "bid", (F.col("n") >= min_pts).alias("core")))
+
+    def link(left: pa.Table, right: pa.Table | None) -> pa.Table:
+        """Spanning edges of the cores; and, of the others, each core near them: fewer than ``min_pts``."""
+        square = right is None
+        right = left if square else right
+        near = N.within(N.matrix(left), N.matrix(right), e)
+        a, b = left.column("core").to_numpy(), right.column("core").to_numpy()
+        at, bt = np.flatnonzero(a), np.flatnonzero(b)
+        first = _forest(near[np.ix_(at, bt)], square)
+        nodes = at if square else np.append(at, bt + len(left))
+        off = np.flatnonzero(first != np.arange(len(first)))
+        u, v = [nodes[off]], [nodes[first[off]]]
+        i, j = np.nonzero(near & ~a[:, None] & b[None, :])
+        u, v = [*u, i], [*v, j + (0 if square else len(left))]
+        if not square:
+            i, j = np.nonzero(near & a[:, None] & ~b[None, :])
+            u, v = [*u, j + len(left)], [*v, i]
+        vid = pa.chunked_array(left.column("vid").chunks + ([] if square else right.column("vid").chunks))
+        ends = [pa.array(np.concatenate(c).astype(np.int64)) for c in (u, v)]
+        return pa.table({"u": vid.take(ends[0]), "v": vid.take(ends[1]), "inner": pa.array(np.arange(len(ends[0])) < len(off))})
+
+    links = cut_lineage(N.over_pairs(marked, pairs, link, f"u {kind}, v {kind}, inner boolean"))
+    cores = connected(marked.filter("core").select(F.col("vid").alias("node")), links.filter("inner")).withColumnRenamed("node", "vid")
+    border = (links.filter("NOT inner").join(cores.withColumnRenamed("vid", "v"), "v")
+                   .groupBy(F.col("u").alias("vid")).agg(F.min("label").alias("label")))
+    label = cut_lineage(cores.unionByName(border).join(points.select("vid", "vec", "w"), "vid"))
+    sizes = label.groupBy("label").agg(F.sum("w").alias("size"))
     # topic numbers by size (largest first): a distributed consecutive index, no single-task window
     from clausewise.operators.precursors import sequence_index
-    ranked = sequence_index(sizes.withColumn("_neg", -F.col("size")), [], ["_neg", "label"]).withColumn(
-        "topic", F.col("_g").cast("long"))
-    return (lab.join(ranked.select("label", "topic"), "label", "left")
-               .select(id_col, F.coalesce("topic", F.lit(OUTLIER).cast("long")).alias("topic")))
+    ranked = sequence_index(sizes.withColumn("_neg", -F.col("size")), [], ["_neg", "label"]).select("label", F.col("_g").cast("long").alias("topic"))
+    topics = label.join(ranked, "label").select("vec", "topic")
+    return rows.join(topics, "vec", "left").select(F.col("id").alias(id_col), F.coalesce("topic", F.lit(OUTLIER).cast("long")).alias("topic"))
 
 
 def precursor_job(precursors: DataFrame, embeddings: DataFrame, key: str = "clause_id", text_col: str = "doc",

@@ -735,43 +735,37 @@ def q_topic_keywords_wide(spark, sf):
     return T.topic_keywords_wide(_keywords(spark, sf))
 
 
-_CELL, _MIN_PTS = 0.03, 5
+_MIN_PTS = 5
+#: Distances of neighbours: of unit vectors without structure, and of means of a clause's word vectors.
+_EPS, _CLAUSE_EPS = 1.15, 0.35
 
 
-def _density_ctes(points: str, key: str) -> list[str]:
-    """Topics ``dt`` (key, topic) of the vectors ``e`` of ``points``: signed sums over all 64
-    coordinates, grid cells, components of touching dense cells, borders, numbers by size."""
-    axis = ("floor(list_sum(list_transform(range(0, 64), lambda i: e[i + 1] * CASE WHEN (i * i + {k} * i + {c}) % 7 < 4 "
-            "THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)) / 8.0::DOUBLE / " + f"{_CELL}::DOUBLE)::BIGINT")
+def _density_ctes(points: str, key: str, eps: float) -> list[str]:
+    """Topics ``dt`` (key, topic) of the vectors ``e`` of ``points``: density clustering over all pairs."""
     return [
-        f"pts AS (SELECT {key}, [{axis.format(k=3, c=0)}, {axis.format(k=5, c=5)}] AS cell FROM {points})",
-        "cells AS (SELECT cell, count(*) AS n FROM pts GROUP BY cell)",
-        f"dense AS (SELECT cell FROM cells WHERE n >= {_MIN_PTS})",
-        "offs AS (SELECT [a, b] AS o FROM range(-1, 2) t1(a), range(-1, 2) t2(b))",
-        "edges AS (SELECT d.cell AS src, e.cell AS dst FROM dense d, offs, dense e "
-        "WHERE e.cell = [d.cell[1] + o[1], d.cell[2] + o[2]])",
-        "reach(c, l) AS (SELECT cell, cell FROM dense UNION SELECT e.dst, r.l FROM reach r JOIN edges e ON e.src = r.c)",
-        "lab AS (SELECT c AS cell, min(l) AS label FROM reach GROUP BY c)",
-        f"border AS (SELECT s.cell, min(lab.label) AS label FROM cells s, offs, lab WHERE s.n < {_MIN_PTS} AND "
-        "lab.cell = [s.cell[1] + o[1], s.cell[2] + o[2]] GROUP BY s.cell)",
-        "cl AS (SELECT * FROM lab UNION ALL SELECT * FROM border)",
-        f"pl AS (SELECT p.{key}, cl.label FROM pts p LEFT JOIN cl USING (cell))",
+        f"nb AS (SELECT a.{key} AS x, b.{key} AS y FROM {points} a JOIN {points} b ON list_distance(a.e, b.e) <= {eps}::DOUBLE)",
+        f"core AS (SELECT x FROM nb GROUP BY x HAVING count(*) >= {_MIN_PTS})",
+        "link AS (SELECT x, y FROM nb WHERE x IN (FROM core) AND y IN (FROM core))",
+        "reach(x, l) AS (SELECT x, x FROM core UNION SELECT link.y, r.l FROM reach r JOIN link ON link.x = r.x)",
+        "lab AS (SELECT x, min(l) AS label FROM reach GROUP BY x)",
+        "border AS (SELECT nb.x, min(lab.label) AS label FROM nb JOIN lab ON lab.x = nb.y WHERE nb.x NOT IN (FROM core) GROUP BY nb.x)",
+        f"pl AS (SELECT p.{key}, q.label FROM {points} p LEFT JOIN (FROM lab UNION ALL FROM border) q ON q.x = p.{key})",
         "rk AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::BIGINT AS topic FROM pl "
         "WHERE label IS NOT NULL GROUP BY label)",
         f"dt AS (SELECT {key}, coalesce(rk.topic, -1)::BIGINT AS topic FROM pl LEFT JOIN rk USING (label))"]
 
 
 @register("density_topics", "WITH RECURSIVE " + ", ".join(
-    ["src_e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", *_density_ctes("src_e", "vec_id")]) +
+    ["src_e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)", *_density_ctes("src_e", "vec_id", _EPS)]) +
     " SELECT vec_id, topic FROM dt")
 def q_density_topics(spark, sf):
     emb = D.table(spark, sf, "embeddings", "vec_id", "embedding")
-    return T.cluster_density(emb, "vec_id", "embedding", cell=_CELL, min_pts=_MIN_PTS)
+    return T.cluster_density(emb, "vec_id", "embedding", eps=_EPS, min_pts=_MIN_PTS)
 
 
 _JOB_CTES = [*O.VEC_CTES, *_precursor_ctes(),
              "jv AS (SELECT clause_id, e FROM cemb WHERE clause_id IN (SELECT clause_id FROM pre))",
-             *_density_ctes("jv", "clause_id"),
+             *_density_ctes("jv", "clause_id", _CLAUSE_EPS),
              "tl AS (SELECT p.report_id, p.clause_id, p.doc, dt.topic FROM pre p JOIN dt USING (clause_id))",
              *_TOPIC_CTES[_TOPIC_CTES.index(next(c for c in _TOPIC_CTES if c.startswith("tt AS"))):]]
 
@@ -779,7 +773,7 @@ _JOB_CTES = [*O.VEC_CTES, *_precursor_ctes(),
 def _precursor_job(spark, sf):
     emb = _clause_emb(spark, sf)
     return T.precursor_job(q_precursors(spark, sf).select("report_id", "clause_id", "doc"), emb, vec_col="embedding",
-                           cell=_CELL, min_pts=_MIN_PTS)
+                           eps=_CLAUSE_EPS, min_pts=_MIN_PTS)
 
 
 @register("precursor_topics", _rec(*_JOB_CTES) + "SELECT report_id, clause_id, doc, topic FROM tl")
