@@ -459,6 +459,26 @@ def q_vector_lookup(spark, sf):
     return Q.lookup_vectors(ids, ce).select(F.col("id").alias("clause_id"), *_summ("embedding", "emb"))
 
 
+_TOP = 5
+
+
+@register("top_neighbours_exact", "SELECT id AS vec_id, neighbour, round(cosine, 6) + 0.0 AS cosine, rank FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, "
+          "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine, "
+          "row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, "
+          f"b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= {_TOP}")
+def q_top_neighbours_exact(spark, sf):
+    """Q1 over all vectors: the most similar of each, compared in blocks."""
+    out = Q.top_neighbours(D.vectors(spark, sf), "vec_id", "embedding", _TOP, bits=0)
+    return out.select("vec_id", "neighbour", (F.round("cosine", 6) + 0.0).alias("cosine"), "rank")
+
+
+@register("top_neighbours")
+def q_top_neighbours(spark, sf):
+    """Q1 over all vectors by hyperplane buckets (recall against the exact form: tests/test_similarity.py)."""
+    out = Q.top_neighbours(D.vectors(spark, sf), "vec_id", "embedding", _TOP)
+    return out.select("vec_id", "neighbour", (F.round("cosine", 6) + 0.0).alias("cosine"), "rank")
+
+
 @register("compare_embeddings", _VEC(_PAIRS_SQL, *O.PIECE_CTES, O.merged_cte("mc", "sentence_id, clause_no", "i, j"),
           "bd AS (SELECT m.sentence_id, m.clause_no, d.k, avg(d.x) AS m FROM mc m, unnest(v) WITH ORDINALITY AS d(x, k) "
           "GROUP BY m.sentence_id, m.clause_no, d.k)",
