@@ -42,13 +42,13 @@ PARTS = "list_filter(list_transform(string_split({s}, ','), lambda x: trim(x)),
 
 def docs_cte(norm: bool = True) -> str:
     text = norm_sql("text") if norm else "text"
-    return f"docs AS (SELECT doc_id AS report_id, {text} AS t FROM documents)"
+    return f"docs AS MATERIALIZED (SELECT doc_id AS report_id, {text} AS t FROM documents)"
 
 
-SENTS_CTE = ("sents AS (SELECT report_id, s.sent_no::BIGINT AS sent_no, s.sentence FROM docs, "
+SENTS_CTE = ("sents AS MATERIALIZED (SELECT report_id, s.sent_no::BIGINT AS sent_no, s.sentence FROM docs, "
              f"unnest({SENT_SPLIT.format(t='t')}) WITH ORDINALITY AS s(sentence, sent_no))")
 
-CLAUSES_CTE = ("clauses AS (SELECT report_id, sent_no, p.clause_no::BIGINT AS clause_no, p.clause, "
+CLAUSES_CTE = ("clauses AS MATERIALIZED (SELECT report_id, sent_no, p.clause_no::BIGINT AS clause_no, p.clause, "
                f"{lexicon_hit_sql('p.clause')} AS trigger, "
                "concat_ws('-', report_id, sent_no) AS sentence_id, "
                "concat_ws('-', report_id, sent_no, p.clause_no) AS clause_id "
@@ -98,7 +98,7 @@ def sql_list(words) -> str:
 
 
 TOKENS_CTE = (
-    "tokens AS (SELECT report_id, sent_no AS sent_id, t.token_id::BIGINT AS token_id, t.token, "
+    "tokens AS MATERIALIZED (SELECT report_id, sent_no AS sent_id, t.token_id::BIGINT AS token_id, t.token, "
     f"CASE WHEN list_contains({sql_list(TEST_LEXICON)}, t.token) THEN 'pos' ELSE 'neg' END AS agressie, "
     f"CASE WHEN list_contains({sql_list(CAUSE_WORDS)}, t.token) THEN 'pos' ELSE 'neg' END AS aanleiding "
     "FROM sents, unnest(list_filter(string_split_regex(replace(sentence, ',', ' , '), '[ \t\n\r\f]+'), "
@@ -110,17 +110,22 @@ ALIGN_CTES = [
     "cw AS (SELECT *, len(list_filter(string_split(clause, ' '), lambda x: x <> ''))::BIGINT AS n_words FROM clauses)",
     "cspan AS (SELECT *, sum(n_words) OVER (PARTITION BY report_id ORDER BY sent_no, clause_no "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS span_end FROM cw)",
+    "cpos AS (SELECT report_id, clause_id, unnest(range(span_end - n_words + 1, span_end + 1)) AS pos FROM cspan WHERE n_words > 0)",
     "aligned AS (SELECT c.report_id, c.clause_id, t.pos, t.sent_id, t.token_id, t.token, t.agressie, t.aanleiding "
-    "FROM tokpos t ASOF JOIN (SELECT * FROM cspan WHERE n_words > 0) c ON t.report_id = c.report_id AND t.pos <= c.span_end)",
+    "FROM tokpos t JOIN cpos c ON t.report_id = c.report_id AND t.pos = c.pos)",
     "tagg AS (SELECT clause_id, bool_or(agressie = 'pos') AS a, bool_or(aanleiding = 'pos') AS c, count(*) AS n "
     "FROM aligned GROUP BY clause_id)",
-    "annot AS (SELECT cw.report_id, cw.sent_no, cw.clause_no, cw.clause_id, cw.clause, cw.n_words, "
+    "annot AS MATERIALIZED (SELECT cw.report_id, cw.sent_no, cw.clause_no, cw.clause_id, cw.clause, cw.n_words, "
     "CASE WHEN coalesce(tagg.a, false) THEN 'pos' ELSE 'neg' END AS aggression, "
     "CASE WHEN coalesce(tagg.c, false) THEN 'pos' ELSE 'neg' END AS cause, coalesce(tagg.n, 0)::BIGINT AS n_tokens "
     "FROM cw LEFT JOIN tagg USING (clause_id))",
 ]
 
 
+#: Coordinates of the vectors of the test tables.
+WIDTH = 64
+
+
 def vec_ctes(has_vector: str) -> list[str]:
     return [
         "cwords AS (SELECT report_id, sentence_id, clause_id, clause_no, (w.i - 1)::BIGINT AS i, w.word FROM clauses, "
@@ -133,9 +138,9 @@ def vec_ctes(has_vector: str) -> list[str]:
         "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
         "hits AS (SELECT c.clause_id, c.sentence_id, v.e FROM cwords c JOIN wmap m USING (sentence_id, word) "
         "JOIN vecs v USING (vec_id))",
-        "cdims AS (SELECT clause_id, d.k, avg(d.x) AS m FROM hits, unnest(e) WITH ORDINALITY AS d(x, k) GROUP BY clause_id, d.k)",
-        "cemb AS (SELECT clause_id, list(m ORDER BY k) AS e, round(sum(m), 6) + 0.0 AS emb_sum, round(sqrt(sum(m * m)), 6) "
-        "AS emb_norm FROM cdims GROUP BY clause_id)",
+        f"cmean AS (SELECT clause_id, [{', '.join(f'avg(e[{k}])' for k in range(1, WIDTH + 1))}] AS e FROM hits GROUP BY clause_id)",
+        "cemb AS MATERIALIZED (SELECT clause_id, e, round(list_sum(e), 6) + 0.0 AS emb_sum, "
+        "round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS emb_norm FROM cmean)",
         "cnt AS (SELECT clause_id, count(*)::BIGINT AS n_vec FROM hits GROUP BY clause_id)",
     ]
 
