@@ -7,6 +7,11 @@ start markers and token rows are merged in position order and one running
 window hands every token to the last clause that started before it (if the
 token lies inside that clause's span).  No clause is exploded to its
 positions, so the data stays linear even for very long clauses.
+
+``strategy="window"`` works with windows by report, one exchange for reports of
+the size of a document.  ``strategy="scan"`` gives the same rows through the scan
+with carry (:mod:`clausewise.operators.scan`), which splits a report that holds a
+large share of all rows.  Token and clause order must be total.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.functions.text import word_list
+from clausewise.operators.scan import running
 
 
 def token_ids(tokens: DataFrame, sent_col: str = "sent_id", token_col: str = "token_id",
@@ -30,14 +36,19 @@ def filter_tokens(tokens: DataFrame, text_col: str = "token", drop: Sequence[str
     return tokens.filter(~F.col(text_col).isin(*drop))
 
 
-def _spans(clauses: DataFrame, report_col: str, clause_order: Sequence[str], clause_col: str) -> DataFrame:
-    wc = Window.partitionBy(report_col).orderBy(*clause_order).rowsBetween(Window.unboundedPreceding, 0)
-    return (clauses.withColumn("n_words", F.size(word_list(F.col(clause_col))).cast("long"))
-                   .withColumn("span_end", F.sum("n_words").over(wc))
-                   .withColumn("span_start", F.col("span_end") - F.col("n_words")))
+def _spans(clauses: DataFrame, report_col: str, clause_order: Sequence[str], clause_col: str, strategy: str) -> DataFrame:
+    words = clauses.withColumn("n_words", F.size(word_list(F.col(clause_col))).cast("long"))
+    if strategy == "scan":
+        x = running(words, [report_col], clause_order, {"span_end": F.col("n_words")})
+    else:
+        wc = Window.partitionBy(report_col).orderBy(*clause_order).rowsBetween(Window.unboundedPreceding, 0)
+        x = words.withColumn("span_end", F.sum("n_words").over(wc))
+    return x.withColumn("span_start", F.col("span_end") - F.col("n_words"))
 
 
-def _ranked_tokens(tokens: DataFrame, report_col: str, token_order: Sequence[str]) -> DataFrame:
+def _ranked_tokens(tokens: DataFrame, report_col: str, token_order: Sequence[str], strategy: str) -> DataFrame:
+    if strategy == "scan":
+        return running(tokens, [report_col], token_order, {"pos": F.lit(1).cast("long")})
     wt = Window.partitionBy(report_col).orderBy(*token_order)
     return tokens.withColumn("pos", F.row_number().over(wt).cast("long"))
 
@@ -48,38 +59,43 @@ def _positions() -> Column:
 
 
 def _owned_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str, clause_order: Sequence[str],
-                  token_order: Sequence[str], clause_col: str) -> DataFrame:
+                  token_order: Sequence[str], clause_col: str, strategy: str) -> DataFrame:
     """Union of clause markers (``_kind = 1``) and tokens (``_kind = 0``) with ``_own``:
     the owning clause (a struct of its columns and span) or null."""
-    cl = _spans(clauses, report_col, clause_order, clause_col)
+    if strategy not in ("window", "scan"):
+        raise ValueError(f"no strategy {strategy!r}")
+    cl = _spans(clauses, report_col, clause_order, clause_col, strategy)
     ccols = [c for c in clauses.columns]
     own = F.struct(*[F.col(c) for c in ccols], "n_words", "span_end")
-    tk = _ranked_tokens(tokens, report_col, token_order)
+    tk = _ranked_tokens(tokens, report_col, token_order, strategy)
     tcols = [c for c in tk.columns if c not in (report_col, "pos")]
     marker = cl.select(report_col, F.col("span_start").alias("_key"), F.lit(1).alias("_kind"), own.alias("_c"),
                        *[F.lit(None).cast(tk.schema[c].dataType).alias(c) for c in tcols])
     tok = tk.select(report_col, F.col("pos").alias("_key"), F.lit(0).alias("_kind"),
                     F.lit(None).cast(marker.schema["_c"].dataType).alias("_c"), *tcols)
     u = marker.unionByName(tok)
-    w = (Window.partitionBy(report_col)
-         .orderBy("_key", "_kind", *[F.col("_c")[c] for c in clause_order])
-         .rowsBetween(Window.unboundedPreceding, 0))
-    last = F.last("_c", ignorenulls=True).over(w)
-    u = u.withColumn("_own", F.when(F.col("_kind") == 1, F.col("_c")).otherwise(last))
+    order = [F.col("_key"), F.col("_kind"), *[F.col("_c")[c] for c in clause_order]]
+    if strategy == "scan":
+        u = running(u, [report_col], order, lasts={"_last": F.col("_c")})
+    else:
+        w = Window.partitionBy(report_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_last", F.last("_c", ignorenulls=True).over(w))
+    u = u.withColumn("_own", F.when(F.col("_kind") == 1, F.col("_c")).otherwise(F.col("_last"))).drop("_last")
     inside = (F.col("_kind") == 1) | (F.col("_own").isNotNull() & (F.col("_key") <= F.col("_own")["span_end"]))
     return u.withColumn("_own", F.when(inside, F.col("_own")))
 
 
 def align_tokens(clauses: DataFrame, tokens: DataFrame, report_col: str = "report_id",
                  clause_order: Sequence[str] = ("sent_no", "clause_no"),
-                 token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause") -> DataFrame:
+                 token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause",
+                 strategy: str = "window") -> DataFrame:
     """A3: one row per (clause, covered token): ``report, clause_id, pos`` + the token's columns.
 
     Clauses get ``n_words`` and a span ``(span_start, span_end]`` from a running
     sum; tokens get their rank in the report.  A clause with no words covers no
     token (it is kept by the projection, not dropped).
     """
-    u = _owned_tokens(clauses, tokens, report_col, clause_order, token_order, clause_col)
+    u = _owned_tokens(clauses, tokens, report_col, clause_order, token_order, clause_col, strategy)
     tcols = [c for c in tokens.columns if c != report_col]
     return u.filter((F.col("_kind") == 0) & F.col("_own").isNotNull()).select(
         report_col, F.col("_own")["clause_id"].alias("clause_id"), F.col("_key").alias("pos"), *tcols)
@@ -115,7 +131,7 @@ def project_annotations(clauses: DataFrame, tokens: DataFrame, report_col: str =
                         token_text: str = "token", labels: dict[str, str] | None = None,
                         clause_order: Sequence[str] = ("sent_no", "clause_no"),
                         token_order: Sequence[str] = ("sent_id", "token_id"), clause_col: str = "clause",
-                        pos: str = "pos", neg: str = "neg") -> DataFrame:
+                        pos: str = "pos", neg: str = "neg", strategy: str = "window") -> DataFrame:
     """A2 -> A3 -> A4 in one pass over clauses and tokens.
 
     Tokens are handed to their clause by the position merge; one aggregation per
@@ -123,7 +139,7 @@ def project_annotations(clauses: DataFrame, tokens: DataFrame, report_col: str =
     the clause's own marker row (no second read of the clause table).
     """
     labels = labels or {"aggression": "agressie", "cause": "aanleiding"}
-    u = _owned_tokens(clauses, filter_tokens(tokens, token_text), report_col, clause_order, token_order, clause_col)
+    u = _owned_tokens(clauses, filter_tokens(tokens, token_text), report_col, clause_order, token_order, clause_col, strategy)
     tok = F.col("_kind") == 0
     aggs = [F.first(F.when(F.col("_kind") == 1, F.col("_own")), ignorenulls=True).alias("_c")]
     aggs += [F.bool_or(tok & (F.col(src) == pos)).alias(out) for out, src in labels.items()]

@@ -269,6 +269,19 @@ def q_project_labels(spark, sf):
     return D.annotations(spark, sf).select("report_id", "clause_id", "clause", "aggression", "cause", "n_tokens")
 
 
+@register("project_labels_scan", _ALIGN +
+          "SELECT report_id, clause_id, clause, aggression, cause, n_tokens FROM annot")
+def q_project_labels_scan(spark, sf):
+    """project_labels through the scan with carry (no window by report)."""
+    return D.annotations(spark, sf, "scan").select("report_id", "clause_id", "clause", "aggression", "cause", "n_tokens")
+
+
+@register("annotated_clauses", _ALIGN + "SELECT report_id, sent_no, clause_no, clause_id, clause, aggression, cause FROM annot")
+def q_annotated_clauses(spark, sf):
+    """The gold clause table."""
+    return A.annotated_clauses(D.annotations(spark, sf))
+
+
 @register("alignment_mismatches", _ALIGN +
           "SELECT report_id, clause_id, n_words, n_tokens FROM annot WHERE n_words <> n_tokens")
 def q_alignment_mismatches(spark, sf):
@@ -334,6 +347,18 @@ def q_cause_distance(spark, sf):
     return X.cause_distances(D.annotations(spark, sf))
 
 
+@register("cause_distance_scan", O.with_clauses(*O.ALIGN_CTES, *_DIST) + "SELECT * FROM dist")
+def q_cause_distance_scan(spark, sf):
+    """cause_distance without a window by report, over annotations made alike."""
+    return X.cause_distances(D.annotations(spark, sf, "scan"), "scan")
+
+
+@register("sentence_of_clause", O.with_clauses() + "SELECT clause_id, sent_no::VARCHAR AS sentence FROM clauses")
+def q_sentence_of_clause(spark, sf):
+    """The sentence part of every clause id."""
+    return D.clauses(spark, sf).select("clause_id", X.sentence_of_clause(F.col("clause_id")).alias("sentence"))
+
+
 @register("distance_buckets", O.with_clauses(*O.ALIGN_CTES, *_DIST,
           "bc AS (SELECT CASE WHEN distance = '0' THEN 'Same sentence' ELSE distance END AS bucket, count(*) AS n "
           "FROM dist GROUP BY 1)",
@@ -450,6 +475,20 @@ def q_pairwise_cosine(spark, sf):
     return out.select("id_a", "id_b", (F.round("cosine", 6) + 0.0).alias("cosine"))
 
 
+@register("pairwise_lower", _VEC("pairs AS (SELECT a.clause_id AS id_a, b.clause_id AS id_b FROM clauses a JOIN clauses b "
+                                "ON a.sentence_id = b.sentence_id AND a.clause_id > b.clause_id)") +
+          "SELECT id_a, id_b, (round(list_cosine_similarity(x.e, y.e), 6) + 0.0) AS cosine FROM pairs "
+          "JOIN cemb x ON x.clause_id = id_a JOIN cemb y ON y.clause_id = id_b")
+def q_pairwise_lower(spark, sf):
+    """Q2: the clauses of a sentence with each other, without the diagonal and the upper triangle."""
+    cl = D.clauses(spark, sf)
+    ce = _clause_emb(spark, sf, cl).withColumnRenamed("clause_id", "id")
+    one, two = (cl.select("sentence_id", F.col("clause_id").alias(c)) for c in ("id_a", "id_b"))
+    pairs = one.join(two, "sentence_id").drop("sentence_id")
+    out = Q.pairwise_cosine(pairs, ce, lower_triangle=True)
+    return out.select("id_a", "id_b", (F.round("cosine", 6) + 0.0).alias("cosine"))
+
+
 @register("vector_lookup", _VEC() +
           "SELECT clause_id, emb_sum, emb_norm FROM cemb WHERE clause_id IN (SELECT clause_id FROM clauses WHERE trigger)")
 def q_vector_lookup(spark, sf):
@@ -529,6 +568,18 @@ def q_token_ancestors(spark, sf):
     return an.select("clause_id", F.col("i").cast("long").alias("i"), _ids_str("ancestors").alias("ancestors"))
 
 
+@register("subtree_texts", _rec(*O.PARSE_CTES) + "SELECT s.clause_id, s.head::BIGINT AS head, string_agg(t.text, ' ' ORDER BY t.i) AS texts "
+          "FROM (SELECT clause_id, head, unnest(string_split(descendants, ','))::INTEGER AS i FROM sub) s "
+          "JOIN tok t ON t.clause_id = s.clause_id AND t.i = s.i GROUP BY s.clause_id, s.head")
+def q_subtree_texts(spark, sf):
+    """The words below every token that has any, from their ids."""
+    toks = D.parse_tokens(spark, sf)
+    words = P.token_arrays(toks).select("clause_id", "tokens")
+    out = P.subtree(toks).join(words, "clause_id")
+    return out.select("clause_id", F.col("head").cast("long").alias("head"),
+                      F.array_join(P.tokens_by_ids(F.col("tokens"), F.col("descendants")), " ").alias("texts"))
+
+
 @register("verb_frames", _rec(*O.PARSE_CTES, O.frames_cte(FRAME_RELATIONS)) +
           "SELECT clause_id, head::BIGINT AS head, lemma, head_lemma, nsubj, obj, iobj, nsubj_pass, obl_agent, "
           "descendants, quoted, n_descendants FROM frames")

@@ -106,10 +106,10 @@ def report_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.array_contains(cause, F.col("token")), F.lit("pos")).otherwise(F.lit("neg")).alias("aanleiding"))
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annotations(spark: SparkSession, sf_dir: str, strategy: str = "window") -> DataFrame:
     """Gold clause annotations (A2 -> A3 -> A4 over the token annotations)."""
     from clausewise.operators.annotate import project_annotations
-    return project_annotations(clauses(spark, sf_dir), report_tokens(spark, sf_dir))
+    return project_annotations(clauses(spark, sf_dir), report_tokens(spark, sf_dir), strategy=strategy)
 
 
 # ---------------------------------------------------------------- vectors of the test tables
