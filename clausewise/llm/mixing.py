@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership (operator 8, DataFrame functions only).
 
 1. A naive Bayes classifier over hashed words is counted from a labelled table
-   (at most ``MAX_LABELLED`` rows of a domain, those with the smallest hash) and
+   (at most ``MAX_LABELLED`` distinct texts of a domain, those with the smallest
+   hash, chosen on hashes alone; the texts are counted where they are read) and
    predicts every document's posterior over the domains.  A document speaks with
    the weight of at most ``EFFECTIVE`` words, so that long mixed texts stay soft.
 2. Document rates ``r`` between ``low`` and ``high`` (0 and infinity by default)
@@ -14,7 +15,8 @@
    descends, as it needs far fewer of them.  Each step is one aggregation of
    D + D^2 sums over a narrow checkpointed table; the driver holds those
    numbers, and a rate is an expression of the posterior alone.  Steps go on
-   until the totals settle.
+   until the totals settle, ``MAX_STEPS`` at most; what is then still missing is
+   warned of with its size.
 3. ``copies`` rounds a rate at random by a hash of the document, so that its
    expectation is the rate.
 
@@ -48,8 +50,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 MAX_DOMAINS = 64
 MAX_LABELLED = 2_000
-#: Column of a labelled table that is itself a sample: rows of the domain before it, for the prior.
-ROWS_OF = "rows_of_domain"
+#: Columns of a labelled table that is itself a sample: rows of the domain before it, for the prior, and
+#: the rows that share a text's weight.
+ROWS_OF, SHARED = "rows_of_domain", "rows_of_id"
+MAX_STEPS = 400
 EFFECTIVE = 20.0
 _SETTLED = 1e-6
 #: Steps after which the rates are written, so that their expression stays short.
@@ -71,10 +75,13 @@ class Model:
 
 
 def fit(labelled: DataFrame, domain: str = "domain", text: str = "text", max_labelled: int = MAX_LABELLED, smooth: float = 0.1) -> Model:
-    """Word counts of the labelled rows (``domain``, ``text``) by domain."""
-    size = F.max("n") if ROWS_OF in labelled.columns else F.count(F.lit(1))
-    before = F.col(ROWS_OF) if ROWS_OF in labelled.columns else F.lit(1)
-    rows = labelled.select(F.col(domain).cast("string").alias("d"), F.col(text).alias("t"), before.alias("n")).filter("d IS NOT NULL")
+    """Word counts of the labelled rows (``domain``, ``text``) by domain.
+
+    A table with the column ``ROWS_OF`` is a sample already and is taken whole."""
+    sampled = ROWS_OF in labelled.columns
+    rows = labelled.select(F.col(domain).cast("string").alias("d"), F.col(text).alias("t"), (F.col(ROWS_OF) if sampled else F.lit(1)).alias("n"),
+                           (1 / F.col(SHARED) if SHARED in labelled.columns else F.lit(1.0)).alias("w")).filter("d IS NOT NULL")
+    size = F.max("n") if sampled else F.count(F.lit(1))
     sizes = {r["d"]: r["n"] for r in rows.groupBy("d").agg(size.alias("n")).orderBy("d").limit(MAX_DOMAINS + 1).collect()}
     if len(sizes) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
@@ -83,13 +90,14 @@ def fit(labelled: DataFrame, domain: str = "domain", text: str = "text", max_lab
     if not domains:
         empty = spark.createDataFrame([], "bucket bigint, l0 double")
         return Model([None], empty, [0.0], [0.0])
-    order = F.xxhash64("t")
-    parts = [rows.filter(F.col("d") == d).orderBy(order).limit(max_labelled) for d in domains]
-    sample = reduce(DataFrame.unionByName, parts)
-    words = sample.select("d", F.explode(_buckets(F.col("t"))).alias("bucket")).filter("bucket >= 0")
-    counted = words.groupBy("bucket").agg(*[F.count(F.when(F.col("d") == d, 1)).alias(f"c{i}") for i, d in enumerate(domains)])
+    if not sampled:
+        hashes = cut_lineage(rows.groupBy("d", F.xxhash64("t").alias("h")).agg((1 / F.count(F.lit(1))).alias("w")))
+        few = reduce(DataFrame.unionByName, [hashes.filter(F.col("d") == d).orderBy("h").limit(max_labelled) for d in domains])
+        rows = rows.drop("w").withColumn("h", F.xxhash64("t")).join(F.broadcast(few), ["d", "h"])
+    words = rows.select("d", "w", F.explode(_buckets(F.col("t"))).alias("bucket")).filter("bucket >= 0")
+    counted = words.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("d") == d, F.col("w"))), F.lit(0.0)).alias(f"c{i}") for i, d in enumerate(domains)])
     counted = cut_lineage(counted)
-    totals = counted.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))]).first()
+    totals = counted.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(domains))]).first()
     below = [totals[i] + smooth * BUCKETS for i in range(len(domains))]
     logs = [F.log((F.col(f"c{i}") + smooth) / F.lit(b)).alias(f"l{i}") for i, b in enumerate(below)]
     n = sum(sizes.values())
@@ -115,7 +123,8 @@ def posteriors(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     return scored.select("_id", "_key", "times", "n_tokens", *[F.round(F.col(f"e{i}") / total, 9).alias(f"p{i}") for i in k])
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], low: float = 0.0, high: float | None = None, start: float = 1.0) -> DataFrame:
+def fit_rates(members: DataFrame, targets: Sequence[float], low: float = 0.0, high: float | None = None, start: float = 1.0,
+              max_steps: int = MAX_STEPS) -> DataFrame:
     """``members`` (times, n_tokens, p0, ...) with ``rate``."""
     k = range(len(targets))
     t = np.asarray(targets, dtype=float)
@@ -153,6 +162,10 @@ def fit_rates(members: DataFrame, targets: Sequence[float], low: float = 0.0, hi
         if moved <= _SETTLED * max(t.sum(), 1.0):
             break
         steps += 1
+        if steps >= max_steps:
+            warnings.warn(f"the totals still moved by {moved:.6g} tokens after {steps} steps; they miss the targets by {np.abs(totals - t).max():.6g} at most",
+                          stacklevel=2)
+            break
         if steps % _STEPS == 0:
             now, rate = cut_lineage(now.withColumn("rate", rate)), F.col("rate")
     return now.withColumn("rate", F.round(rate, 6))

@@ -24,7 +24,6 @@ URL_RULES = [
 SHARDS = 24
 #: Target shares of the tokens by domain.
 MIX = {"en": 0.5, "de": 0.2, "es": 0.15, "fr": 0.15}
-LABELLED = 8_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -67,11 +66,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("refers_to").cast("long").alias("refers_to"))
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
+def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = mixing.MAX_LABELLED) -> DataFrame:
     """The documents of at most ``rows`` ids of each language (those with the smallest hash) among the
     documents that ``labels`` covers, with the language as domain: the small labelled table of the mixing
     classifier.  Only documents that are there are sampled, so a rare language keeps its rows;
-    ``mixing.ROWS_OF`` carries how many a language has before the sample, for the prior."""
+    ``mixing.ROWS_OF`` carries how many a language has before the sample, for the prior, and ``mixing.SHARED``
+    the rows of an id, which share its weight.  Ids are chosen on narrow rows, and at most
+    ``rows * (mixing.MAX_DOMAINS + 1)`` are broadcast; texts are read where the classifier counts them."""
     known = labels.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
     # an id that repeats is counted before the join, so that it is one row there
     covered = cut_lineage(docs.filter("lang IS NOT NULL").groupBy("doc_id", "lang").agg(F.count(F.lit(1)).alias("_n"))
@@ -79,10 +80,11 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -
     sizes = covered.groupBy("lang").agg(F.sum("_n").alias("n")).orderBy("lang").limit(mixing.MAX_DOMAINS + 1).collect()
     order = F.xxhash64(F.col("doc_id").cast("string"))
     parts = [covered.filter(F.col("lang") == r["lang"]).orderBy(order).limit(rows)
-                    .select("doc_id", "lang", F.lit(r["n"]).alias(mixing.ROWS_OF)) for r in sizes]
-    sample = reduce(DataFrame.unionByName, parts, covered.select("doc_id", "lang", F.col("_n").alias(mixing.ROWS_OF)).limit(0))
-    return cut_lineage(docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
-                           .select(F.col("lang").alias("domain"), "text", mixing.ROWS_OF))
+                    .select("doc_id", "lang", F.lit(r["n"]).alias(mixing.ROWS_OF), F.col("_n").alias(mixing.SHARED)) for r in sizes]
+    none = covered.select("doc_id", "lang", F.col("_n").alias(mixing.ROWS_OF), F.col("_n").alias(mixing.SHARED)).limit(0)
+    sample = cut_lineage(reduce(DataFrame.unionByName, parts, none))
+    return (docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"])
+                .select(F.col("lang").alias("domain"), "text", mixing.ROWS_OF, mixing.SHARED))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
