@@ -2,10 +2,9 @@
 
 Normalisation, segmentation, lexicon triggers and the in-row precursor rule
 are stateless per report (a report is one row), so the batch code runs on a
-streaming DataFrame unchanged: no watermark or state store is needed.  The
-generic window form of W1 (ordered rows of an unbounded sequence) is a
-batch operator; streams of single events should be grouped into per-sequence
-rows first.
+streaming DataFrame unchanged: no watermark or state store is needed.
+W1 over single events of an unbounded sequence keeps state by key:
+:mod:`clausewise.streaming.events`.
 """
 
 from __future__ import annotations
