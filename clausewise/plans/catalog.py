@@ -899,6 +899,14 @@ def q_svm(spark, sf):
     return M.predict(model, data).select("vec_id", "prediction")
 
 
+@register("svm_nystroem")
+def q_svm_nystroem(spark, sf):
+    """M1 with landmarks instead of Fourier features."""
+    data = _labelled_vectors(spark, sf)
+    model = M.fit_rbf_svm(data, gamma=0.5, n_components=128, kernel="nystroem")
+    return M.predict(model, data).select("vec_id", "prediction")
+
+
 @register("logreg")
 def q_logreg(spark, sf):
     data = _labelled_vectors(spark, sf)

@@ -8,6 +8,8 @@ CSV first.
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +40,15 @@ def _snake(df: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str, id_col: str = "report_id", text_col: str = "text",
-                 fmt: str = "parquet") -> DataFrame:
-    """Reports as ``report_id BIGINT, text STRING`` (only those two columns are read)."""
+                 fmt: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """Reports as ``report_id BIGINT, text STRING`` (only those two columns are read).
+
+    ``multi_line=False`` for delimited files without line breaks inside fields: a large file is then split."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField(text_col, T.StringType())])
-        df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+        df = spark.read.csv(path, header=True, schema=schema, multiLine=multi_line, escape='"')
     return df.select(F.col(id_col).cast("long").alias("report_id"), F.col(text_col).alias("text"))
 
 
@@ -70,27 +74,30 @@ _NOTHING = "\x00null\x00"
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType = CLAUSE_SCHEMA,
-                   sep: str = "|", snake_case: bool = True) -> DataFrame:
+                   sep: str = "|", snake_case: bool = True, multi_line: bool = True) -> DataFrame:
     """Pipe-delimited table with a header (clauses or predictions); quoted fields may hold
-    separators, quotes (doubled) and line breaks."""
-    df = spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=False, multiLine=True, emptyValue="",
+    separators, quotes (doubled) and line breaks.
+
+    ``multi_line=False`` for files without line breaks inside fields: a large file is then
+    split over many tasks, where else each file is read by one."""
+    df = spark.read.csv(path, sep=sep, header=True, schema=schema, enforceSchema=False, multiLine=multi_line, emptyValue="",
                         nullValue=_NOTHING, **_CSV)
     return _snake(df) if snake_case else df
 
 
-def read_clauses(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, CLAUSE_SCHEMA)
+def read_clauses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_delimited(spark, path, CLAUSE_SCHEMA, multi_line=multi_line)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, PREDICTION_SCHEMA)
+def read_predictions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_delimited(spark, path, PREDICTION_SCHEMA, multi_line=multi_line)
 
 
-def read_annotations(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """Gold clause labels ``report_id, clause_id, clause, aggression, cause``."""
     if fmt == "parquet":
         return _snake(spark.read.parquet(path))
-    return read_delimited(spark, path, ANNOTATION_SCHEMA)
+    return read_delimited(spark, path, ANNOTATION_SCHEMA, multi_line=multi_line)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = "|", mode: str = "overwrite",
@@ -128,5 +135,12 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """A fitted Spark ML model or pipeline of any kind; its class is read from its own metadata."""
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+    metadata = DefaultParamsReader.loadMetadata(path, SparkSession.active())
+    name = metadata["class"].replace("org.apache.spark", "pyspark")
+    module, _, kind = name.rpartition(".")
+    if module == "pyspark.ml" and kind in ("PipelineModel", "Pipeline"):
+        module = "pyspark.ml.pipeline"
+    return getattr(importlib.import_module(module), kind).load(path)
