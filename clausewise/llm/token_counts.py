@@ -127,8 +127,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, text: str = "text", limit
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
     body = F.coalesce(F.col(text), F.lit(""))
-    # a bounded sample that only warms the broadcast table: the first 4,000 characters of a few texts
-    few = docs.select(F.substring(body, 1, 4000).alias("t")).limit(SAMPLE_ROWS).toLocalIterator()
+    # a bounded sample that only warms the broadcast table: the first 4,000 characters of a few texts;
+    # take() reads partitions until it has enough and shuffles none
+    few = docs.select(F.substring(body, 1, 4000).alias("t")).take(SAMPLE_ROWS)
     shared = spark.sparkContext.broadcast((spec, frequent_lengths((r["t"] for r in few), spec)))
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
