@@ -173,6 +173,10 @@ _FIRST = np.array([not x.startswith("I") for x in LABELS])
 _NEVER = -1e4
 
 
+#: Features whose scores are looked up at once.
+_SCORED = 1 << 18
+
+
 @dataclass
 class Field:
     names: dict[str, int]
@@ -184,8 +188,13 @@ class Field:
         return [[k for f in fs if (k := get(f)) is not None] for fs in features]
 
     def scores(self, batch: Sequence[Sequence[Sequence[int]]]) -> np.ndarray:
-        """Padded emission scores (sequences x longest x labels)."""
-        return self.emission[pack(batch, len(self.emission) - 1)].sum(axis=2)
+        """Padded emission scores (sequences x longest x labels), a slice of the time axis at once."""
+        x = pack(batch, len(self.emission) - 1)
+        out = np.empty((*x.shape[:2], self.emission.shape[1]))
+        step = max(_SCORED // max(x.shape[0] * x.shape[2], 1), 1)
+        for t in range(0, x.shape[1], step):
+            out[:, t:t + step] = self.emission[x[:, t:t + step]].sum(axis=2)
+        return out
 
     def decode(self, batch: Sequence[Sequence[Sequence[int]]]) -> list[np.ndarray]:
         """The best labels of each sequence: Viterbi over all of them at once."""
