@@ -7,7 +7,8 @@
   the blocked join of :mod:`clausewise.operators.neighbours`, whose groups return
   counts and spanning edges, and components from min-label propagation with
   lineage cut by reliable checkpoints.
-* T2/T3/T8 - Spark ML ``PCA`` / ``KMeans`` and repeated fits over seeds.
+* T2/T3/T8 - Spark ML ``PCA`` / ``KMeans`` and repeated fits over seeds; k-means
+  without chance (``cluster_lloyd``), and the agreement of repeated fits.
 * W4 ``precursor_job`` - precursors, their embeddings, topics and descriptions in one job.
 * T4-T7 - labels, sizes and class-based TF-IDF keywords per topic, all
   aggregations and one top-k window per topic.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.constants import TOPIC_TOP_N
@@ -162,6 +163,78 @@ def topic_runs(df: DataFrame, seeds: Sequence[int] = (1, 2, 3, 4, 5), **kw) -> D
     return out
 
 
+#: Squared distances and centres are rounded to so many digits, so that the order of summation decides nothing.
+DIGITS = 9
+
+
+def _squares(vec: Column, centres: np.ndarray) -> list[Column]:
+    """Rounded squared distances of a vector to each centre."""
+    out = []
+    for c in centres:
+        there = F.array(*[F.lit(float(v)) for v in c])
+        out.append(F.round(F.aggregate(F.zip_with(vec, there, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v), DIGITS))
+    return out
+
+
+def cluster_lloyd(df: DataFrame, key: str, vec_col: str = "embedding", k: int = 8, start: int = 0, max_iter: int = 20) -> tuple[np.ndarray, DataFrame]:
+    """T3 without chance: ``(centres, rows (key, topic))``.
+
+    The first centre is the vector with the ``start``-th smallest id, each further one the
+    vector farthest from those before it (ties: smallest id); then Lloyd steps until no
+    centre changes, ``max_iter`` at most.  A vector goes to its nearest centre (ties: the
+    first); a centre without vectors stays.  Each step is one aggregation whose result is
+    ``k`` centres, all that the driver holds.  Ids must be unique; rows without a vector
+    have no topic; with fewer vectors than ``k`` there are fewer centres."""
+    rows = df.select(F.col(key).alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("vec"))
+    known = cut_lineage(rows.filter("vec IS NOT NULL"))
+    first = known.orderBy("id").limit(start + 1).collect()
+    if len(first) <= start:
+        return np.zeros((0, 0)), rows.select(F.col("id").alias(key), F.lit(None).cast("long").alias("topic"))
+    centres = np.array([first[start]["vec"]])
+    while len(centres) < k:
+        far = F.least(*_squares(F.col("vec"), centres)) if len(centres) > 1 else _squares(F.col("vec"), centres)[0]
+        best = known.select(F.struct((-far).alias("far"), "id", "vec").alias("r")).agg(F.min("r").alias("r")).first()["r"]
+        if best["far"] == 0:
+            break
+        centres = np.vstack([centres, best["vec"]])
+
+    def topic(now: np.ndarray) -> Column:
+        nearest = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).cast("long").alias("i")) for i, d in enumerate(_squares(F.col("vec"), now))]))
+        return nearest["i"]
+
+    for _ in range(max_iter):
+        means = known.groupBy(topic(centres).alias("i")).agg(F.array(*[F.round(F.avg(F.col("vec")[j]), DIGITS) for j in range(centres.shape[1])]).alias("c")).collect()
+        moved = centres.copy()
+        for r in means:
+            moved[r["i"]] = r["c"]
+        if (moved == centres).all():
+            break
+        centres = moved
+    placed = F.when(F.col("vec").isNotNull(), topic(centres))
+    return centres, rows.select(F.col("id").alias(key), placed.alias("topic"))
+
+
+def run_agreement(runs: DataFrame, key: str, run_col: str = "run", topic_col: str = "topic") -> DataFrame:
+    """Adjusted Rand index of every pair of runs, ``(run_a, run_b, n, agreement)``, from their contingency tables.
+
+    1 for the same partition, about 0 for unrelated ones; 1 when both put all rows, or
+    none, together.  Rows without a topic are left out."""
+    x = runs.select(F.col(key).alias("id"), F.col(run_col).alias("run"), F.col(topic_col).alias("topic")).filter("topic IS NOT NULL")
+    other = x.select("id", F.col("run").alias("run_b"), F.col("topic").alias("topic_b"))
+    cells = x.join(other, "id").filter("run < run_b").groupBy(F.col("run").alias("run_a"), "run_b", "topic", "topic_b").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(cells)
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    by = ["run_a", "run_b"]
+    both = cells.groupBy(by).agg(F.sum("n").alias("n"), pairs("n").alias("both"))
+    one = cells.groupBy(*by, "topic").agg(F.sum("n").alias("m")).groupBy(by).agg(pairs("m").alias("one"))
+    two = cells.groupBy(*by, "topic_b").agg(F.sum("n").alias("m")).groupBy(by).agg(pairs("m").alias("two"))
+    chance = F.col("one") * F.col("two") / (F.col("n") * (F.col("n") - 1) / 2)
+    index = (F.col("both") - chance) / ((F.col("one") + F.col("two")) / 2 - chance)
+    x = both.join(one, by).join(two, by)
+    same = (F.col("n") < 2) | ((F.col("one") == F.col("two")) & (F.col("one") == F.col("both")))
+    return x.select(*by, "n", F.when(same, F.lit(1.0)).otherwise(index).alias("agreement"))
+
+
 # ---------------------------------------------------------------- T4-T7 descriptions
 def topic_labels(docs: DataFrame, topics: DataFrame, key: str) -> DataFrame:
     """T4: documents with their topic label."""

@@ -9,6 +9,7 @@ tables (no id subsets, no row caps).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -867,6 +868,49 @@ def q_kmeans_topics(spark, sf):
     return out.select("vec_id", "topic")
 
 
+_K, _LLOYD_STEPS, _STARTS = 6, 4, (0, 100, 200)
+
+
+def _lloyd_ctes(name: str, start: int) -> list[str]:
+    """``<name>`` (vec_id, topic): farthest-first centres and a fixed number of Lloyd steps."""
+    square = "round(list_sum(list_transform(list_zip(v.e, c.e), lambda q: (q[1] - q[2]) * (q[1] - q[2]))), 9)"
+    mean = ", ".join(f"round(avg(e[{j}]), 9)" for j in range(1, O.WIDTH + 1))
+    out = [f"{name}s1 AS (SELECT 0::BIGINT AS i, e FROM lv ORDER BY vec_id LIMIT 1 OFFSET {start})"]
+    for i in range(1, _K):
+        out.append(f"{name}s{i + 1} AS (SELECT * FROM {name}s{i} UNION ALL SELECT {i}::BIGINT, e FROM (SELECT v.vec_id, any_value(v.e) AS e, min({square}) AS d "
+                   f"FROM lv v, {name}s{i} c GROUP BY v.vec_id ORDER BY d DESC, v.vec_id LIMIT 1))")
+    out.append(f"{name}c0 AS (SELECT * FROM {name}s{_K})")
+    for t in range(_LLOYD_STEPS + 1):
+        out.append(f"{name}a{t} AS (SELECT v.vec_id, any_value(v.e) AS e, min(struct_pack(d := {square}, i := c.i)).i AS topic FROM lv v, {name}c{t} c GROUP BY v.vec_id)")
+        out.append(f"{name}c{t + 1} AS (SELECT c.i, coalesce(m.e, c.e) AS e FROM {name}c{t} c LEFT JOIN (SELECT topic, [{mean}] AS e FROM {name}a{t} GROUP BY topic) m ON m.topic = c.i)")
+    return [*out, f"{name} AS (SELECT vec_id, topic FROM {name}a{_LLOYD_STEPS})"]
+
+
+_LLOYD_VECTORS = "lv AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+
+
+@register("lloyd_topics", "WITH " + ", ".join([_LLOYD_VECTORS, *_lloyd_ctes("r0", 0)]) + " SELECT vec_id, topic FROM r0")
+def q_lloyd_topics(spark, sf):
+    """T3 without chance, a fixed number of steps."""
+    return T.cluster_lloyd(D.vectors(spark, sf), "vec_id", "embedding", _K, 0, _LLOYD_STEPS)[1]
+
+
+@register("topic_run_agreement", "WITH " + ", ".join([
+    _LLOYD_VECTORS, *[c for i, start in enumerate(_STARTS) for c in _lloyd_ctes(f"r{i}", start)],
+    "runs AS (" + " UNION ALL ".join(f"SELECT {i} AS run, vec_id, topic FROM r{i}" for i in range(len(_STARTS))) + ")",
+    "cells AS (SELECT a.run AS run_a, b.run AS run_b, a.topic AS x, b.topic AS y, count(*) AS n FROM runs a JOIN runs b ON a.vec_id = b.vec_id AND a.run < b.run GROUP BY ALL)",
+    "tot AS (SELECT run_a, run_b, sum(n) AS n, sum(n * (n - 1) / 2) AS s FROM cells GROUP BY ALL)",
+    "one AS (SELECT run_a, run_b, sum(m * (m - 1) / 2) AS s FROM (SELECT run_a, run_b, x, sum(n) AS m FROM cells GROUP BY ALL) GROUP BY ALL)",
+    "two AS (SELECT run_a, run_b, sum(m * (m - 1) / 2) AS s FROM (SELECT run_a, run_b, y, sum(n) AS m FROM cells GROUP BY ALL) GROUP BY ALL)"]) +
+    " SELECT tot.run_a, tot.run_b, tot.n::BIGINT AS n, round((tot.s - one.s * two.s / (tot.n * (tot.n - 1) / 2)) / ((one.s + two.s) / 2 - "
+    "one.s * two.s / (tot.n * (tot.n - 1) / 2)), 6) + 0.0 AS agreement FROM tot JOIN one USING (run_a, run_b) JOIN two USING (run_a, run_b)")
+def q_topic_run_agreement(spark, sf):
+    """How far fits from different first vectors agree."""
+    runs = [T.cluster_lloyd(D.vectors(spark, sf), "vec_id", "embedding", _K, start, _LLOYD_STEPS)[1].withColumn("run", F.lit(i)) for i, start in enumerate(_STARTS)]
+    out = T.run_agreement(reduce(DataFrame.unionByName, runs), "vec_id")
+    return out.select("run_a", "run_b", "n", (F.round("agreement", 6) + 0.0).alias("agreement"))
+
+
 @register("pca")
 def q_pca(spark, sf):
     _, out = T.reduce_dims(D.table(spark, sf, "embeddings", "vec_id", "embedding"), k=5)
