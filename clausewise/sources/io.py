@@ -122,6 +122,20 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_embedding_table(df: DataFrame, table: str, id_col: str = "clause_id", vec_col: str = "embedding", buckets: int = 64) -> None:
+    """S7 laid out by key: a table of the warehouse, bucketed and sorted by ``id``.
+
+    Joins of the stored vectors on their id (E6, E8, F4, F9, Q1, Q3) then shuffle only the
+    other side.  The rows are dealt by the same hash first, so that a bucket is one file."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("embedding"))
+    (rows.repartition(buckets, "id").write.mode("overwrite").format("parquet").bucketBy(buckets, "id").sortBy("id").saveAsTable(table))
+
+
+def read_embedding_table(spark: SparkSession, table: str, id_col: str = "id") -> DataFrame:
+    """The bucketed store, its id under any name (a renamed key keeps the layout)."""
+    return spark.table(table).select(F.col("id").alias(id_col), "embedding")
+
+
 def write_topic_report(labels: DataFrame, sizes: DataFrame, keywords: DataFrame, path: str) -> None:
     """The three topic outputs side by side under one folder."""
     labels.write.mode("overwrite").parquet(f"{path}/labels")

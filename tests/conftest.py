@@ -17,6 +17,7 @@ def spark():
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="clausewise-test-warehouse-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(ckpt)
