@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clausewise.constants import PRECURSOR_WINDOW, TEST_LEXICON, TOPIC_STOP_WORDS
 from clausewise.functions.text import normalize_text, remove_words
+from clausewise.operators import abbreviations as AB
 from clausewise.operators import precursors as W
 from clausewise.operators import segment as G
 from clausewise.operators.parse import classify_clauses_lexicon
@@ -60,6 +61,20 @@ def q_sentences(spark, sf):
     return G.split_sentences(D.table(spark, sf, "documents", "doc_id", "text"))
 
 
+@register("abbreviation_statistics", r"""
+WITH t AS (SELECT unnest(string_split_regex(lower(text), '[ \t\n\r\f]+')) AS t FROM documents),
+w AS (SELECT CASE WHEN ends_with(t, '.') THEN left(t, length(t) - 1) ELSE regexp_replace(t, '[,;:!?]+$', '') END AS word, ends_with(t, '.') AS stop FROM t),
+c AS (SELECT word, count_if(stop)::BIGINT AS n_stop, count_if(NOT stop)::BIGINT AS n_plain FROM w WHERE regexp_full_match(word, '\p{L}[\p{L}.]*') GROUP BY word),
+r AS (SELECT sum(n_stop)::DOUBLE / sum(n_stop + n_plain) AS r FROM c),
+l AS (SELECT c.*, r, length(replace(word, '.', '')) AS letters FROM c, r WHERE n_stop > 0)
+SELECT word, n_stop, n_plain, round(2 * (n_stop * ln(0.99::DOUBLE / r) + n_plain * ln((1 - 0.99::DOUBLE) / greatest(1 - r, 1e-12))) * exp(-letters)
+       * (length(word) - letters + 1) * power(letters::DOUBLE, -n_plain), 6) + 0.0 AS score FROM l""")
+def q_abbreviation_statistics(spark, sf):
+    """G1, trained: how much each word speaks for being an abbreviation."""
+    out = AB.abbreviation_statistics(D.table(spark, sf, "documents", "text"))
+    return out.select("word", "n_stop", "n_plain", (F.round("score", 6) + 0.0).alias("score"))
+
+
 @register("clauses", O.with_clauses() +
           "SELECT report_id, sent_no, clause_no, sentence_id, clause_id, clause FROM clauses")
 def q_clauses(spark, sf):
