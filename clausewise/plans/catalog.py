@@ -14,9 +14,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.constants import PRECURSOR_WINDOW, TEST_LEXICON, TOPIC_STOP_WORDS
+from clausewise.constants import PRECURSOR_WINDOW, TEST_LEXICON, THREAT_VERBS, TOPIC_STOP_WORDS
 from clausewise.functions.text import normalize_text, remove_words
 from clausewise.operators import abbreviations as AB
+from clausewise.operators import lexicon as LX
 from clausewise.operators import precursors as W
 from clausewise.operators import segment as G
 from clausewise.operators.parse import classify_clauses_lexicon
@@ -117,6 +118,14 @@ def q_rules_lexicon(spark, sf):
         "report_id", "sent_no", "clause_no", "clause_id", "prediction")
 
 
+@register("rules_lexicon_table", ORACLE["rules_lexicon"])
+def q_rules_lexicon_table(spark, sf):
+    """rules_lexicon with the lexicons as tables, probed by word."""
+    cl = G.split_clauses(D.table(spark, sf, "documents", "doc_id", "text"))
+    lexicon, threats = (spark.createDataFrame([(w,) for w in words], "word string") for words in (TEST_LEXICON, THREAT_VERBS))
+    return LX.classify_clauses_table(cl, lexicon, threats).select("report_id", "sent_no", "clause_no", "clause_id", "prediction")
+
+
 # ---------------------------------------------------------------- precursors
 def _precursor_ctes(n: int = PRECURSOR_WINDOW) -> list[str]:
     return [
