@@ -9,7 +9,7 @@ pieces of one word), and element-wise means per clause or sentence.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from clausewise.functions.vectors import as_double, bounded_group_mean, mean_vector, vadd, vmid, zeros
 
 
+#: Start and end of a sentence as encoders mark them (fixed values).
+SENTENCE_MARKS = ("[CLS]", "[SEP]")
+
+
 def attach_hidden_states(df: DataFrame, make_encoder: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]] | None = None,
                          schema: str | None = None, stored: DataFrame | None = None,
                          key: str | list[str] = "sentence_id", how: str = "inner") -> DataFrame:
@@ -104,14 +108,19 @@ def merge_word_pieces(pieces: DataFrame, group: list[str], order: list[str], tex
 
 def sentence_embedding(words: DataFrame, group: list[str], vec_col: str = "vector",
                        out_col: str = "embedding") -> DataFrame:
-    """Mean over the (merged) word vectors of a sentence (a bounded group)."""
+    """Mean over the (merged) word vectors of a sentence (a bounded group), with the
+    marks of its start and end where the encoder gives them."""
     return bounded_group_mean(words, list(group), vec_col, out_col, "n_words")
 
 
 def word_vectors(words: DataFrame, sentence_key: str = "sentence_id", word_col: str = "word",
-                 pos_col: str | Column = "pos", value_col: str = "vec_id") -> DataFrame:
-    """E5: word -> vector (or vector id) within a sentence; a repeated word keeps the last."""
+                 pos_col: str | Column = "pos", value_col: str = "vec_id", marks: Sequence[str] = ()) -> DataFrame:
+    """E5: word -> vector (or vector id) within a sentence; a repeated word keeps the last.
+
+    ``marks``: signs of a sentence's start and end, which are no words of the map
+    (``SENTENCE_MARKS`` of the usual encoders); E4 is worked out before, with them."""
     pos = F.col(pos_col) if isinstance(pos_col, str) else pos_col
+    words = words.filter(~F.col(word_col).isin(*marks)) if marks else words
     return words.groupBy(sentence_key, word_col).agg(F.max_by(F.col(value_col), pos).alias(value_col))
 
 

@@ -137,7 +137,11 @@ def _subtree_from_rows(hist_rows: DataFrame, key: str) -> DataFrame:
 
 def subtree(tokens: DataFrame, key: str = "clause_id") -> DataFrame:
     """All transitive children of every token that has any:
-    ``(key, head, descendants array<int>, quoted boolean, n_descendants)``."""
+    ``(key, head, descendants array<int>, quoted boolean, n_descendants)``.
+
+    The lists hold one number for every token and ancestor, tokens x depth of a
+    clause in all, and the work is as large as they are: small for sentences,
+    the square of the tokens for a parse that is one chain."""
     return _subtree_from_rows(_ancestor_history(token_arrays(tokens, key)), key)
 
 
