@@ -61,17 +61,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-#: Tasks per core that write a checkpoint at most: more files than that only burden the file system.
-CHECKPOINT_TASKS = 4
+#: A checkpoint is written by at least so many tasks a core, and by one for so many shuffle partitions.
+CHECKPOINT_TASKS, CHECKPOINT_PARTITIONS = 4, 8
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
 
-    Written by at most ``CHECKPOINT_TASKS`` tasks a core; a task reads several
-    partitions one after the other, so none holds more than a partition."""
-    checkpoint_dir(df.sparkSession)
-    return df.coalesce(CHECKPOINT_TASKS * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    Many small partitions are merged into fewer files: at most ``CHECKPOINT_PARTITIONS``
+    of the session's shuffle partitions a task, so that tasks stay small where the
+    session has partitions for the size of its data, and never below
+    ``CHECKPOINT_TASKS`` tasks a core.  A task reads its partitions one after the
+    other and holds one at a time."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    tasks = max(CHECKPOINT_TASKS * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")) // CHECKPOINT_PARTITIONS)
+    return df.coalesce(tasks).checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
