@@ -4,14 +4,17 @@ The corpus is a text of words; a phrase's count is the number of leaves below it
 node in the tree of all word suffixes, truncated at ``MAX_WORDS`` words.  The tree
 is built in independent parts, each a set of word prefixes that fits a budget:
 
-1. Counts of words by language, and of the pairs of words that are frequent
-   (``MIN_COUNT``), each pre-aggregated where it is read.  A bitmap of the hashes
-   of the frequent ones, of a fixed size, tells the next pass what it may leave
-   out.  A bitmap that fills up lets more through and loses nothing.
-2. The truncated suffixes: at each position the words up to the first pair that
-   is infrequent, the end of the piece or ``MAX_WORDS``.  No frequent phrase goes
-   over such a pair.  Equal suffixes are summed where they are read and then over
-   all: the leaves.
+1. Counts of words by language, then of the pairs of frequent words
+   (``MIN_COUNT``) and of the triples of frequent pairs, each pre-aggregated where
+   it is read; pairs and triples by their 64-bit hashes, packed into one row for each
+   bucket of them.  A bitmap of the hashes of the frequent ones, of a fixed size, tells
+   the next pass what it may leave out.  A bitmap that fills up lets more through
+   and loses nothing.
+2. The truncated suffixes: at each position the words up to the first pair or
+   triple that is infrequent, the end of the piece or ``MAX_WORDS``.  No frequent
+   phrase goes over such a place.  Equal suffixes are summed where they are read,
+   packed into one row for each bucket of their hashes, and summed over all by
+   bucket: the leaves.
 3. Vertical partitioning: a word prefix with more than ``PREFIX`` leaves is
    extended by a word, again and again; a leaf belongs to its shortest prefix
    within the budget, and prefixes are dealt over groups of about ``GROUP`` leaves.
@@ -33,6 +36,7 @@ are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,12 +51,14 @@ from clausewise.session import cut_lineage, ship_package
 MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Bits of the filters of frequent words and pairs: 1 MB and 8 MB at most.
+#: Bits of the filters of frequent words, and of pairs and triples: 1 MB and 8 MB at most.
 WORD_BITS, PAIR_BITS = 23, 26
 #: Leaves of a prefix that is not extended, and of a group of prefixes.
 PREFIX, GROUP = 50_000, 400_000
+#: Buckets of hashes at least; as many as shuffle partitions if those are more, so that a bucket is a partition's share at most.
+BUCKETS = 512
 #: Bytes of text that a worker cuts into words at once.
-SLICE = 8_000_000
+SLICE = 6_000_000
 _EXTENDED = 100_000
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -82,7 +88,7 @@ def cut_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringA
     start = np.flatnonzero(first)
     ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - start)]).astype(np.int32)
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(b[~apart])).dictionary_encode()
-    piece = np.cumsum((b == 10) | begins)[start]
+    piece = np.searchsorted(np.flatnonzero((b == 10) | begins), start, side="right")
     return words.indices.to_numpy().astype(np.int64), piece, words.dictionary
 
 
@@ -151,14 +157,28 @@ def _candidate_pairs(lang: str, codes: np.ndarray, piece: np.ndarray, words: pa.
     return np.flatnonzero(may[:-1] & may[1:] & (piece[:-1] == piece[1:])), hashes
 
 
-def truncated_suffixes(codes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs_on(lang: str, codes: np.ndarray, piece: np.ndarray, words: pa.StringArray, frequent: np.ndarray,
+              bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where a pair that may be frequent begins; where two such pairs overlap, and the hash of that triple; the words' hashes."""
+    at, hashes = _candidate_pairs(lang, codes, piece, words, frequent)
+    named = _pair_hashes(hashes[codes[at]], hashes[codes[at + 1]])
+    may = _holds(bound, named, PAIR_BITS)
+    at, named = at[may], named[may]
+    on = np.zeros(len(codes) + 1, dtype=bool)
+    on[at] = True
+    three = on[at + 1]
+    return on[:-1], at[three], _pair_hashes(named[three], hashes[codes[at[three] + 2]]), hashes
+
+
+def truncated_suffixes(codes: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct suffixes of two words and more: codes (-1 beyond their end), lengths and counts.
 
-    ``linked[i]``: the suffix at ``i`` may go on to word ``i + 1``."""
-    go = np.append(linked, np.zeros(MAX_WORDS, dtype=bool))
-    at = np.flatnonzero(linked)
-    run, length = go[at], np.full(len(at), 1)
-    for k in range(1, MAX_WORDS):
+    A suffix at ``i`` has two words if ``pairs[i]``, and goes on from its k-th word to
+    the one after the next as long as ``triples`` holds there."""
+    go = np.append(triples, np.zeros(MAX_WORDS, dtype=bool))
+    at = np.flatnonzero(pairs)
+    run, length = go[at], np.full(len(at), 2)
+    for k in range(1, MAX_WORDS - 1):
         length += run
         run = run & go[at + k]
     padded = np.append(codes, np.full(MAX_WORDS, -1))
@@ -177,9 +197,49 @@ def frequent_words(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return cut_lineage(counted.filter((F.col("f") >= min_count) | F.col("word").isNull()))
 
 
+_PACKED = "bucket bigint, h array<bigint>, n array<int>"
+
+
+def _packed(named: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Counts of hashes as one row for each bucket of them."""
+    bucket = (named >> np.uint64(33)) % np.uint64(buckets)
+    order = np.lexsort((named, bucket))
+    bucket = bucket[order]
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(n)) if len(n) else np.zeros(1, dtype=np.int64)
+    at = pa.array(cuts, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.ListArray.from_arrays(at, pa.array(named[order].view(np.int64))),
+                                       pa.ListArray.from_arrays(at, pa.array(n[order], pa.int32()))], ["bucket", "h", "n"])
+
+
+def _often(packed: DataFrame, parts: int, min_count: int) -> DataFrame:
+    """Hashes whose counts add up to ``min_count`` and more; a bucket is summed at a time."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, counts = None, [], []
+
+        def ready() -> pa.RecordBatch:
+            named, which = np.unique(np.concatenate(names), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(named[np.bincount(which, np.concatenate(counts)) >= min_count])], ["h"])
+
+        for batch in batches:
+            for i, bucket in enumerate(batch.column(0).to_pylist()):
+                if bucket != at:
+                    if names:
+                        yield ready()
+                    at, names, counts = bucket, [], []
+                names.append(batch.column(1)[i].values.to_numpy())
+                counts.append(batch.column(2)[i].values.to_numpy())
+        if names:
+            yield ready()
+
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(summed, "h bigint")
+
+
 def suffix_leaves(docs: DataFrame, words: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """``lang, words, n``: the distinct truncated suffixes and how often they occur."""
     sc = docs.sparkSession.sparkContext
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, parts)
     known = sc.broadcast(bitmap(words.filter("word IS NOT NULL").select(F.xxhash64("lang", "word").alias("h")), "h", WORD_BITS))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,25 +247,66 @@ def suffix_leaves(docs: DataFrame, words: DataFrame, min_count: int = MIN_COUNT)
         for lang, codes, piece, distinct in slices(batches):
             at, hashes = _candidate_pairs(lang, codes, piece, distinct, frequent)
             keys, n = np.unique(codes[at] * len(distinct) + codes[at + 1], return_counts=True)
-            named = _pair_hashes(hashes[keys // max(len(distinct), 1)], hashes[keys % max(len(distinct), 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(n, pa.int64())], ["pair", "n"])
+            yield _packed(_pair_hashes(hashes[keys // max(len(distinct), 1)], hashes[keys % max(len(distinct), 1)]), n, buckets)
 
-    counted = docs.mapInArrow(pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    linked = sc.broadcast(bitmap(counted, "pair", PAIR_BITS))
+    linked = sc.broadcast(bitmap(_often(docs.mapInArrow(pairs, _PACKED), parts, min_count), "h", PAIR_BITS))
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, bound = np.frombuffer(known.value, dtype=np.uint8), np.frombuffer(linked.value, dtype=np.uint8)
         for lang, codes, piece, distinct in slices(batches):
-            at, hashes = _candidate_pairs(lang, codes, piece, distinct, frequent)
-            on = np.zeros(len(codes), dtype=bool)
-            on[at[_holds(bound, _pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]), PAIR_BITS)]] = True
-            table, length, n = truncated_suffixes(codes, on)
+            named, n = np.unique(_pairs_on(lang, codes, piece, distinct, frequent, bound)[2], return_counts=True)
+            yield _packed(named, n, buckets)
+
+    chained = sc.broadcast(bitmap(_often(docs.mapInArrow(triples, _PACKED), parts, min_count), "h", PAIR_BITS))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, bound, onward = (np.frombuffer(f.value, dtype=np.uint8) for f in (known, linked, chained))
+        for lang, codes, piece, distinct in slices(batches):
+            on, at, named, hashes = _pairs_on(lang, codes, piece, distinct, frequent, bound)
+            go = np.zeros(len(codes), dtype=bool)
+            go[at[_holds(onward, named, PAIR_BITS)]] = True
+            table, length, n = truncated_suffixes(codes, on, go)
+            if not len(n):
+                continue
+            named = hashes[table[:, 0]]
+            for k in range(1, MAX_WORDS):
+                named = np.where(k < length, _pair_hashes(named, hashes[table[:, k]]), named)
+            bucket = (named >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            table, length, n, bucket = table[order], length[order], n[order], bucket[order]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(n))
+            before = np.append(0, np.cumsum(length))
             values = distinct.take(pa.array(table[np.arange(MAX_WORDS) < length[:, None]]))
-            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), rows, pa.array(n, pa.int64())], ["lang", "words", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * (len(cuts) - 1), pa.string()), pa.array(bucket[cuts[:-1]].astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(before[cuts], pa.int32()), values),
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(length, pa.int32())),
+                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n, pa.int64()))], ["lang", "bucket", "words", "sizes", "n"])
 
-    found = docs.mapInArrow(suffixes, "lang string, words array<string>, n bigint")
-    return cut_lineage(found.groupBy("lang", "words").agg(F.sum("n").alias("n")))
+    packed = docs.mapInArrow(suffixes, "lang string, bucket bigint, words array<string>, sizes array<int>, n array<bigint>")
+    dealt = packed.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return cut_lineage(dealt.mapInArrow(_summed, "lang string, words array<string>, n bigint"))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the suffixes of packed rows, a bucket at a time."""
+    at, sums = None, Counter()
+
+    def ready() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at and at[0]] * len(sums), pa.string()), pa.array(list(map(list, sums)), pa.list_(pa.string())),
+                                           pa.array(list(sums.values()), pa.int64())], ["lang", "words", "n"])
+
+    for batch in batches:
+        for lang, bucket, words, sizes, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (lang, bucket) != at:
+                if sums:
+                    yield ready()
+                at, sums = (lang, bucket), Counter()
+            begin = 0
+            for size, times in zip(sizes, n, strict=True):
+                sums[tuple(words[begin:begin + size])] += times
+                begin += size
+    yield ready()
 
 
 # ---------------------------------------------------------------- subtrees
