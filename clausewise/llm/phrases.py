@@ -42,6 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,8 +80,7 @@ def cut_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringA
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], pa.string())
     begins = np.zeros(len(b), dtype=bool)
     begins[(at[:-1] - at[0])[at[:-1] < at[-1]]] = True
-    apart = b <= 32
-    apart &= (b == 32) | (b == 10)
+    apart = (b == 32) | (b == 10)
     first = ~apart
     last = first.copy()
     first[1:] &= apart[:-1] | begins[1:]
@@ -99,7 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray,
         codes = lang.indices.to_numpy()
         for i, name in enumerate(lang.dictionary.to_pylist()):
             texts = batch.column(1).filter(pa.array(codes == i))
-            sizes = np.cumsum(texts.value_lengths().to_numpy() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts).to_numpy())
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
             begin = 0
             while begin < len(texts):
                 done = sizes[begin - 1] if begin else 0
