@@ -15,6 +15,7 @@ def test_means_of_stored_vectors(spark):
     assert got == {"a": ([2.5, 4.25], 4), "b": ([1.0, 2.0], 1), "c": (None, 0), "d": (None, None), "e": (None, None), "f": (None, None),
                    "g": ([1.0, None], 2), "h": ([None, 3.0], 2)}
     assert {r.k for r in E.attach_means(rows, vectors, {"v": "ids"}).collect()} == {"a", "b", "c", "g", "h"}
+    assert E.attach_means(rows.withColumnRenamed("k", "_block"), vectors, {"v": "ids"}).columns == ["_block", "ids", "v"]
 
 
 def test_means_over_many_blocks(spark, monkeypatch):
