@@ -45,3 +45,38 @@ def test_no_vector_of_a_piece_is_shuffled(spark, monkeypatch):
     for query in (C.q_merge_pieces, C.q_sentence_embedding, C.q_compare_embeddings):
         query(spark, "/root/testdata/sf0.001")
     assert len(seen) == 4 and not any("double" in s or "float" in s for s in seen)
+
+
+def test_texts_are_dealt_once(spark):
+    """Sentences and clauses lie within a report: dealing texts by report is the only exchange of their words."""
+    from clausewise.plans import catalog as C
+    sf = "/root/testdata/sf0.001"
+    assert exchanges(C.q_word_vectors(spark, sf)) == exchanges(C.q_token_ancestors(spark, sf)) == 1
+
+
+def test_words_without_a_vector_are_not_joined(spark):
+    words = spark.createDataFrame([(r, s, w) for r, s, w in [(1, "a", "x"), (1, "a", "y"), (1, "a", "y"), (1, "b", "x"), (None, "c", "z"), (None, "c", "x"), (2, "d", None)]], "r int, s string, word string")
+    wmap = spark.createDataFrame([(1, "a", "x", 5), (None, "c", "z", 6), (2, "d", None, 7), (3, "e", "y", 8)], "r int, s string, word string, vec_id int")
+    want = {(r.word, r["count"]) for r in words.join(wmap, ["s", "word"], "left_anti").groupBy("word").count().collect()}
+    for near in ((), ("r",)):
+        got = E.oov_counts(words, wmap, "s", near=near)
+        assert {(r.word, r.n) for r in got.collect()} == want and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_parse_is_joined_as_one_row(spark):
+    from clausewise.operators import parse as P
+    tokens = spark.createDataFrame([("go on", 0, "go"), ("go on", 1, "on"), ("no", 0, "no"), (None, 0, "lost")], "clause string, i int, text string")
+    clauses = spark.createDataFrame([(1, "go on"), (2, "go on"), (3, "no"), (4, None), (5, "new")], "clause_id int, clause string")
+    out = P.attach_tokens(clauses, tokens=tokens, key="clause")
+    assert out.columns == ["clause", "i", "text", "clause_id"]
+    assert sorted((r.clause_id, r.i, r.text) for r in out.collect()) == [(1, 0, "go"), (1, 1, "on"), (2, 0, "go"), (2, 1, "on"), (3, 0, "no")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # tokens are made again above the join
+
+
+def test_words_are_not_shuffled_for_a_short_lexicon(spark):
+    from clausewise.operators import lexicon as LX
+    df = spark.createDataFrame([(1, "a stone"), (2, "no"), (3, 'a "stone"')], "clause_id int, clause string")
+    out = LX.classify_clauses_table(df, spark.createDataFrame([("stone",)], "word string"))
+    assert {(r.clause_id, r.prediction) for r in out.collect()} == {(1, "pos"), (2, "neg"), (3, "neg")}
+    assert "hashpartitioning(run" not in out._jdf.queryExecution().executedPlan().toString()
